@@ -134,7 +134,8 @@ def head_tail_slice(arbitrage: DataFrame, n: int = 12) -> DataFrame:
     k = n // 2
     w = Window.partitionBy(*SCENARIO_KEYS)
     asc = F.row_number().over(w.orderBy(F.col("annual_delta_total").asc_nulls_last(), "area_code"))
-    desc = F.row_number().over(w.orderBy(F.col("annual_delta_total").desc_nulls_last(),
+    # "tail" of the (delta ASC NULLS LAST, area) order = head of its exact reverse
+    desc = F.row_number().over(w.orderBy(F.col("annual_delta_total").desc_nulls_first(),
                                          F.col("area_code").desc()))
     return (arbitrage.withColumn("_a", asc).withColumn("_d", desc)
             .where((F.col("_a") <= k) | (F.col("_d") <= n - k) | F.col("is_baseline"))

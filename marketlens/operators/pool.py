@@ -90,5 +90,6 @@ def pool_fact_sheet(summary: DataFrame) -> DataFrame:
         .alias("growth_direction"),
         F.when(F.col("rank_by_size") == 1, F.lit("largest"))
         .when(F.col("rank_by_size") == F.col("metros_total"), F.lit("smallest"))
-        .otherwise(F.concat(ordinal_text("rank_by_size"), F.lit(" largest")))
-        .alias("rank_note"))
+        .otherwise(F.lit("ranked")).alias("rank_note"),
+        F.concat(ordinal_text("rank_by_size"), F.lit(" largest of "),
+                 F.col("metros_total").cast("string")).alias("size_position"))

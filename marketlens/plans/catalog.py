@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.operators import (
-    adjacency, arbitrage, competition, overview, pool, profile, usage,
+    adjacency, arbitrage, competition, findings, overview, pool, profile, usage,
 )
 from marketlens.plans.oracle import (
     MARKET_CTE, SKILLS_LABEL_CTE, SKILLS_VECTOR_CTE, USAGE_CTE, with_ctes,
@@ -413,3 +413,220 @@ FROM r_spread r JOIN c_spread c ON r.target_soc = c.target_soc
 """))
 def q3j_similarity_spread(spark, sf_dir):
     return adjacency.similarity_spread(testmart.skills(spark, sf_dir, "label"))
+
+
+# ---------------------------------------------------------------- findings --
+def nest(name: str, sql: str) -> str:
+    return f"{name} AS ({sql})"
+
+
+ORDINAL_SQL = """(CAST({n} AS VARCHAR) || CASE WHEN {n} % 100 BETWEEN 10 AND 20 THEN 'th'
+    WHEN {n} % 10 = 1 THEN 'st' WHEN {n} % 10 = 2 THEN 'nd' WHEN {n} % 10 = 3 THEN 'rd'
+    ELSE 'th' END)"""
+MONEY_SQL = """(CASE WHEN {v} IS NULL THEN NULL
+    WHEN ABS({v}) >= 1000000 THEN '$' || format('{{:,.1f}}',
+        CAST(ROUND(CAST({v} / 1000000.0 AS DECIMAL(38,10)), 1) AS DOUBLE)) || 'M'
+    WHEN ABS({v}) >= 10000 THEN '$' || format('{{:,.0f}}',
+        CAST(ROUND(CAST({v} / 1000.0 AS DECIMAL(38,10)), 0) AS DOUBLE)) || 'k'
+    ELSE '$' || format('{{:,.0f}}', CAST(ROUND(CAST({v} AS DECIMAL(38,10)), 0) AS DOUBLE)) END)"""
+
+
+def _q1_index(spark, sf_dir):
+    return competition.competition_index(testmart.market(spark, sf_dir))
+
+
+@register("f1_market_extremes", "WITH " + nest("q1", Q1_SQL) + """,
+ranked AS (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY competition_index DESC, area_code) AS rn_h,
+              ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY competition_index ASC, area_code DESC) AS rn_e
+    FROM q1
+),
+pair AS (
+    SELECT h.soc_code, h.occupation, h.area_code AS hardest_area, h.metro AS hardest_metro,
+           h.competition_index AS hardest_index, e.area_code AS easiest_area,
+           e.metro AS easiest_metro, e.competition_index AS easiest_index,
+           h.scarcity_score - e.scarcity_score AS g1,
+           h.wage_premium_score - e.wage_premium_score AS g2,
+           h.growth_score - e.growth_score AS g3
+    FROM ranked h JOIN ranked e ON h.soc_code = e.soc_code AND h.rn_h = 1 AND e.rn_e = 1
+),
+driven AS (
+    SELECT *, CASE WHEN g1 >= g2 AND g1 >= g3 THEN 'thin supply'
+                   WHEN g2 >= g3 THEN 'wage premiums' ELSE 'a shrinking pool' END AS driver
+    FROM pair
+)
+SELECT soc_code, hardest_area, hardest_metro, hardest_index, easiest_area, easiest_metro,
+       easiest_index, driver,
+       hardest_metro || ' is the hardest market for ' || occupation || ' ('
+       || CAST(CAST(ROUND_EVEN(hardest_index, 0) AS BIGINT) AS VARCHAR) || '/100); '
+       || easiest_metro || ' is the easiest ('
+       || CAST(CAST(ROUND_EVEN(easiest_index, 0) AS BIGINT) AS VARCHAR) || '). Main driver: '
+       || driver || '.' AS finding
+FROM driven
+""")
+def f1_market_extremes(spark, sf_dir):
+    return findings.market_extremes(_q1_index(spark, sf_dir))
+
+
+@register("f11_top_markets", "WITH " + nest("q1", Q1_SQL) + """
+SELECT soc_code, position, area_code, metro, competition_index,
+       wage_p10, wage_p25, wage_p50, wage_p75, wage_p90
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY competition_index DESC, area_code)
+                AS position FROM q1)
+WHERE position <= 15
+""")
+def f11_top_markets(spark, sf_dir):
+    return findings.top_markets(_q1_index(spark, sf_dir), 15)
+
+
+@register("f2_pool_fact_sheet", "WITH " + nest("q5", Q5_SQL) + f"""
+SELECT soc_code, area_code,
+       CASE WHEN wage_premium >= 0 THEN 'above' ELSE 'below' END AS pay_direction,
+       CASE WHEN concentration_ratio >= 1.25 THEN 'specialist'
+            WHEN concentration_ratio <= 0.75 THEN 'under-represented'
+            ELSE 'typical' END AS concentration_band,
+       CASE WHEN growth_unavailable THEN 'unavailable'
+            WHEN supply_growth_3y >= 0 THEN 'grew' ELSE 'shrank' END AS growth_direction,
+       CASE WHEN rank_by_size = 1 THEN 'largest'
+            WHEN rank_by_size = metros_total THEN 'smallest' ELSE 'ranked' END AS rank_note,
+       {ORDINAL_SQL.format(n="rank_by_size")} || ' largest of ' || CAST(metros_total AS VARCHAR)
+           AS size_position
+FROM q5
+""")
+def f2_pool_fact_sheet(spark, sf_dir):
+    return pool.pool_fact_sheet(pool.talent_pool_summary(testmart.market(spark, sf_dir)))
+
+
+Q2_SQL = with_ctes(MARKET_CTE, Q2_BODY.format(headcount=20, percentile="p50"))
+SCEN = "soc_code, baseline_area, headcount, percentile"
+
+
+def _q2_default(spark, sf_dir):
+    return _q2(20, "p50")(spark, sf_dir)
+
+
+@register("f3_cheapest_vs_viable", "WITH " + nest("q2", Q2_SQL) + f""",
+c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {SCEN} ORDER BY annual_delta_total, area_code) AS rn
+      FROM q2 WHERE annual_delta_total IS NOT NULL),
+v AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {SCEN} ORDER BY annual_delta_total, area_code) AS rn
+      FROM q2 WHERE pool_depth <> 'Thin' AND annual_delta_total < 0),
+o AS (
+    SELECT c.soc_code, c.baseline_area, c.headcount, c.percentile, c.baseline_metro,
+           c.area_code AS cheapest_area, c.metro AS cheapest_metro,
+           c.annual_delta_total AS cheapest_annual_delta, c.pool_depth AS cheapest_pool_depth,
+           v.area_code AS viable_area, v.metro AS viable_metro,
+           v.annual_delta_total AS viable_annual_delta,
+           CASE WHEN c.annual_delta_total >= 0 THEN 'none_cheaper'
+                WHEN v.area_code IS NULL THEN 'every_cheaper_thin'
+                WHEN v.area_code = c.area_code THEN 'cheapest_viable'
+                ELSE 'cheapest_thin_with_alternative' END AS outcome
+    FROM c LEFT JOIN v ON c.soc_code = v.soc_code AND c.baseline_area = v.baseline_area
+        AND c.headcount = v.headcount AND c.percentile = v.percentile AND v.rn = 1
+    WHERE c.rn = 1
+)
+SELECT *, CASE outcome
+    WHEN 'none_cheaper' THEN 'No place is cheaper than ' || baseline_metro || '.'
+    WHEN 'every_cheaper_thin' THEN cheapest_metro || ' saves '
+        || {MONEY_SQL.format(v="ABS(cheapest_annual_delta)")} || ' a year, but every cheaper pool is thin.'
+    WHEN 'cheapest_viable' THEN cheapest_metro || ' saves '
+        || {MONEY_SQL.format(v="ABS(cheapest_annual_delta)")} || ' a year and its pool can absorb the plan.'
+    ELSE cheapest_metro || ' saves ' || {MONEY_SQL.format(v="ABS(cheapest_annual_delta)")}
+        || ' a year but is thin; ' || viable_metro || ' still saves '
+        || {MONEY_SQL.format(v="ABS(viable_annual_delta)")} || '.' END AS finding
+FROM o
+""")
+def f3_cheapest_vs_viable(spark, sf_dir):
+    return findings.arbitrage_sentence(arbitrage.cheapest_vs_viable(_q2_default(spark, sf_dir)))
+
+
+@register("f8_head_tail_slice", "WITH " + nest("q2", Q2_SQL) + f"""
+SELECT * EXCLUDE (a, d) FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY {SCEN} ORDER BY annual_delta_total ASC NULLS LAST, area_code) AS a,
+              ROW_NUMBER() OVER (PARTITION BY {SCEN} ORDER BY annual_delta_total DESC NULLS FIRST, area_code DESC) AS d
+    FROM q2)
+WHERE a <= 6 OR d <= 6 OR is_baseline
+""")
+def f8_head_tail_slice(spark, sf_dir):
+    return arbitrage.head_tail_slice(_q2_default(spark, sf_dir), 12)
+
+
+@register("f10_pool_needed", "WITH " + nest("q2", Q2_SQL) + f"""
+SELECT {SCEN}, pool_depth, COUNT(*) AS places, headcount / 0.02 AS pool_needed
+FROM q2 GROUP BY {SCEN}, pool_depth
+""")
+def f10_pool_needed(spark, sf_dir):
+    return arbitrage.pool_needed(_q2_default(spark, sf_dir))
+
+
+Q4_SQL = with_ctes(MARKET_CTE, SKILLS_LABEL_CTE, Q4_BODY)
+
+
+@register("f4_distinctive_skills", "WITH " + nest("q4", Q4_SQL) + """,
+d AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY distinctive DESC, skill) AS rn FROM q4),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY importance DESC, skill) AS rn FROM q4),
+l AS (SELECT soc_code, string_agg(skill, ', ' ORDER BY rn) AS distinctive_skills FROM d WHERE rn <= 3
+      GROUP BY soc_code)
+SELECT l.soc_code, l.distinctive_skills, r.skill AS top_raw_skill, r.importance AS top_raw_importance
+FROM l JOIN r ON l.soc_code = r.soc_code AND r.rn = 1
+""")
+def f4_distinctive_skills(spark, sf_dir):
+    return profile.distinctive_skills(profile.skill_profile(testmart.skills(spark, sf_dir, "label")))
+
+
+@register("f9_largest_deviations", "WITH " + nest("q4", Q4_SQL) + """
+SELECT * FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY ABS(distinctive) DESC, skill)
+              AS deviation_rank FROM q4)
+WHERE deviation_rank <= 14
+""")
+def f9_largest_deviations(spark, sf_dir):
+    return profile.largest_deviations(
+        profile.skill_profile(testmart.skills(spark, sf_dir, "label")), 14)
+
+
+Q3_SQL = with_ctes(MARKET_CTE, LABELS_CTE, SKILLS_LABEL_CTE, CENTERED_CTE, PAIRS_BODY + Q3_LABELLED)
+
+
+@register("f5_adjacency_bench", "WITH " + nest("q3", Q3_SQL) + """,
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_soc ORDER BY similarity DESC, soc_code) AS rn
+      FROM q3),
+s AS (SELECT target_soc, COUNT(*) FILTER (WHERE similarity >= 0.4) AS strong_neighbours
+      FROM q3 GROUP BY target_soc)
+SELECT n.target_soc, n.soc_code AS nearest_soc, n.similarity AS nearest_similarity,
+       NULLIF(array_to_string(string_split(COALESCE(n.shared_strengths, ''), ', ')[1:3], ', '), '')
+           AS nearest_shared,
+       s.strong_neighbours,
+       CASE WHEN s.strong_neighbours > 1 THEN 'bench'
+            WHEN n.similarity < 0.4 THEN 'specialised' ELSE 'single' END AS outcome
+FROM n JOIN s ON n.target_soc = s.target_soc WHERE n.rn = 1
+""")
+def f5_adjacency_bench(spark, sf_dir):
+    return adjacency.adjacency_bench(q3_skill_adjacency(spark, sf_dir))
+
+
+Q8_SQL = with_ctes(USAGE_CTE, f"""
+SELECT view_name, COUNT(*) AS events, COUNT(DISTINCT session_id) AS sessions,
+       MAX(occurred_at) AS last_seen
+FROM usage_log WHERE {USAGE_WINDOW} GROUP BY view_name
+""")
+
+
+@register("f6_usage_headline", "WITH " + nest("q8", Q8_SQL) + """,
+t AS (SELECT SUM(events) AS total_events, COUNT(*) AS views FROM q8),
+top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY events DESC, view_name) AS rn FROM q8)
+        WHERE rn = 1),
+h AS (
+    SELECT CAST(COALESCE(t.total_events, 0) AS BIGINT) AS total_events, top.view_name AS top_view,
+           ROUND(top.events / NULLIF(t.total_events, 0), 6) AS top_view_share,
+           t.views > 1 AND top.events / NULLIF(t.total_events, 0) > 0.6 AS concentrated
+    FROM t CROSS JOIN top
+)
+SELECT *, CASE WHEN total_events = 0 THEN 'No usage recorded yet.'
+    ELSE format('{:,}', total_events) || ' views over 30 days; ' || top_view || ' leads with '
+         || format('{:,.0f}', CAST(ROUND(CAST(top_view_share * 100 AS DECIMAL(38,10)), 0) AS DOUBLE))
+         || '%.' END AS finding
+FROM h
+""")
+def f6_usage_headline(spark, sf_dir):
+    return findings.usage_sentence(
+        usage.usage_headline(testmart.usage_log(spark, sf_dir), 30, testmart.AS_OF), 30)
