@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.operators import (
     adjacency, arbitrage, competition, findings, overview, pool, profile, usage,
 )
+from marketlens.plans import build
 from marketlens.plans.oracle import (
-    MARKET_CTE, SKILLS_LABEL_CTE, SKILLS_VECTOR_CTE, USAGE_CTE, with_ctes,
+    INGEST_SQL, MARKET_CTE, SKILLS_LABEL_CTE, SKILLS_VECTOR_CTE, USAGE_CTE, with_ctes,
 )
-from marketlens.sources import testmart
+from marketlens.sources import raw, testmart
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -630,3 +631,50 @@ FROM h
 def f6_usage_headline(spark, sf_dir):
     return findings.usage_sentence(
         usage.usage_headline(testmart.usage_log(spark, sf_dir), 30, testmart.AS_OF), 30)
+
+
+# ---------------------------------------------------------------- ingest ---
+def _marts(spark, sf_dir):
+    return build.build_marts(raw.raw_oes(spark, sf_dir), raw.raw_national(spark, sf_dir),
+                             raw.raw_projections(spark, sf_dir), raw.raw_onet(spark, sf_dir),
+                             raw.ingest_scope(spark, sf_dir))
+
+
+@register("i_build_market", INGEST_SQL + """
+SELECT soc_code, occupation, occupation_group, area_code, metro, state, employment,
+       employment_per_1k, employment_prior, supply_growth_3y, proj_growth_10y,
+       wage_p10, wage_p25, wage_p50, wage_p75, wage_p90, national_wage_p50
+FROM market_built
+""")
+def i_build_market(spark, sf_dir):
+    return _marts(spark, sf_dir).market
+
+
+@register("i_build_skills", INGEST_SQL + "SELECT soc_code, skill, importance FROM skills_built")
+def i_build_skills(spark, sf_dir):
+    return _marts(spark, sf_dir).skills
+
+
+@register("i_monotonic_quarantine", INGEST_SQL + """
+SELECT soc_code, area_code, metro, wage_p10, wage_p25, wage_p50, wage_p75, wage_p90
+FROM full_rows WHERE NOT monotonic
+""")
+def i_monotonic_quarantine(spark, sf_dir):
+    return _marts(spark, sf_dir).quarantine
+
+
+@register("i_row_accounting", INGEST_SQL + """
+SELECT * FROM (VALUES
+    (0, 'raw', (SELECT COUNT(*) FROM raw_oes)),
+    (1, 'scoped', (SELECT COUNT(*) FROM scoped)),
+    (2, 'single_industry', (SELECT COUNT(*) FROM single_industry)),
+    (3, 'usable', (SELECT COUNT(*) FROM usable)),
+    (4, 'deduplicated', (SELECT COUNT(*) FROM cleaned)),
+    (5, 'current_top_areas', (SELECT COUNT(*) FROM kept)),
+    (6, 'with_prior', (SELECT COUNT(*) FROM with_prior WHERE employment_prior IS NOT NULL)),
+    (7, 'market', (SELECT COUNT(*) FROM market_built)),
+    (8, 'skills', (SELECT COUNT(*) FROM skills_built))
+) AS t(step_order, step, "rows")
+""")
+def i_row_accounting(spark, sf_dir):
+    return build.row_accounting(_marts(spark, sf_dir))
