@@ -46,16 +46,20 @@ class Order:
 
 
 def cumulative_before(df: DataFrame, keys: list[str], order: Order,
-                      weight: str | None = None) -> DataFrame:
+                      weight: str | None = None, unique: bool = False) -> DataFrame:
     """Rows ``(keys, value, _w, _before, _total)``, one per distinct (keys, value).
 
     ``_before`` is the total weight of rows of the same key strictly ahead in
     ``order``; ``_total`` the key's total weight. ``weight`` names a pre-computed
-    count column; without it every input row weighs 1.
+    count column; without it every input row weighs 1. ``unique=True`` states that
+    (keys, value) is already unique with its weight in ``weight`` (skips a shuffle).
     """
     v = order.column
-    w = F.sum(weight) if weight else F.count(F.lit(1))
-    grouped = df.groupBy(*keys, v).agg(w.cast("long").alias("_w"))
+    if unique and weight:
+        grouped = df.select(*keys, v, F.col(weight).cast("long").alias("_w"))
+    else:
+        w = F.sum(weight) if weight else F.count(F.lit(1))
+        grouped = df.groupBy(*keys, v).agg(w.cast("long").alias("_w"))
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -110,11 +114,11 @@ def percent_rank_distributed(df: DataFrame, keys: list[str], order: Order,
 
 def percentile_cont_distributed(df: DataFrame, keys: list[str], value: str,
                                 fractions: dict[str, float],
-                                weight: str | None = None) -> DataFrame:
+                                weight: str | None = None, unique: bool = False) -> DataFrame:
     """Exact ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per key for each
     ``name -> p`` in ``fractions``; nulls ignored. One row per key."""
     base = df.where(F.col(value).isNotNull())
-    cum = cumulative_before(base, keys, Order(value, True, False), weight=weight)
+    cum = cumulative_before(base, keys, Order(value, True, False), weight=weight, unique=unique)
     last = F.col("_before") + F.col("_w") - 1
     aggs = []
     cols = []

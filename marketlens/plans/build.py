@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schema
 from marketlens.operators import ingest
+from marketlens.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -26,7 +27,9 @@ class Marts:
 
 def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: DataFrame | None,
                 raw_onet: DataFrame, scope: DataFrame, floor: float = schema.MIN_EMPLOYMENT,
-                top_n: int = schema.TOP_N_METROS) -> Marts:
+                top_n: int = schema.TOP_N_METROS, materialize: bool = True) -> Marts:
+    """Lazy build of both marts. ``materialize`` checkpoints the two (small) results
+    so reports that read them many times do not re-run the build."""
     typed = ingest.typed_oes(ingest.normalise_headers(raw_oes))
     scoped = ingest.scope_filter(typed, scope)
     single_industry = ingest.industry_filter(scoped)
@@ -42,6 +45,9 @@ def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: Da
     market = ingest.conform(full.where(ingest.monotonic_ok()))
     skills = ingest.drop_ragged(ingest.onet_profiles(ingest.onet_filter(raw_onet), scope))
     market, skills = ingest.coverage(market, skills)
+    if materialize:
+        ensure_checkpoint_dir(market.sparkSession)
+        market, skills = market.checkpoint(eager=True), skills.checkpoint(eager=True)
     return Marts(market, skills, ingest.monotonic_violations(full), {
         "raw": raw_oes, "scoped": scoped, "single_industry": single_industry,
         "usable": usable, "deduplicated": cleaned, "current_top_areas": kept,

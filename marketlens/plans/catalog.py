@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.operators import (
-    adjacency, arbitrage, competition, findings, overview, pool, profile, usage,
+    adjacency, arbitrage, competition, findings, overview, pool, profile, quality, usage,
 )
 from marketlens.plans import build
 from marketlens.plans.oracle import (
@@ -678,3 +678,75 @@ SELECT * FROM (VALUES
 """)
 def i_row_accounting(spark, sf_dir):
     return build.row_accounting(_marts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- quality --
+QUALITY_BODY = """
+rules AS (
+    SELECT COUNT(*) FILTER (WHERE NOT (COALESCE(wage_p10 <= wage_p25, true)
+               AND COALESCE(wage_p25 <= wage_p50, true) AND COALESCE(wage_p50 <= wage_p75, true)
+               AND COALESCE(wage_p75 <= wage_p90, true))) AS d1,
+           COUNT(*) FILTER (WHERE COALESCE(wage_p50 <= 0, false) OR COALESCE(employment <= 0, false)) AS d2,
+           {d5},
+           COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE employment_prior IS NOT NULL) AS matched
+    FROM {m}
+),
+dup_m AS (SELECT COUNT(*) AS v FROM (SELECT soc_code, area_code FROM {m} GROUP BY 1, 2 HAVING COUNT(*) > 1)),
+dup_s AS (SELECT COUNT(*) AS v FROM (SELECT soc_code, skill FROM {s} GROUP BY 1, 2 HAVING COUNT(*) > 1)),
+d7 AS (SELECT COUNT(*) AS v FROM (SELECT soc_code FROM {m} GROUP BY 1
+                                  HAVING COUNT(DISTINCT national_wage_p50) > 1)),
+d3 AS (SELECT COUNT(*) FILTER (WHERE NOT COALESCE(importance BETWEEN 1.0 AND 5.0, true)) AS v FROM {s}),
+skill_n AS (SELECT soc_code, COUNT(DISTINCT skill) AS n FROM {s} GROUP BY 1),
+d8 AS (SELECT COUNT(*) FILTER (WHERE n <> (SELECT MAX(n) FROM skill_n)) AS v FROM skill_n),
+d9 AS (SELECT COUNT(*) AS v FROM (SELECT DISTINCT soc_code FROM {m}
+                                  WHERE soc_code NOT IN (SELECT soc_code FROM {s}))),
+d16 AS (SELECT COUNT(DISTINCT area_code) AS v FROM {m})
+SELECT * FROM (VALUES
+    ('D1', 'wage percentiles ordered (adjacent pairs)', 'fatal', 'market', (SELECT d1 FROM rules), NULL),
+    ('D2', 'positive median wage and employment', 'fatal', 'market', (SELECT d2 FROM rules), NULL),
+    {d5_rows},
+    ('D11', 'share of rows matched to the prior vintage', 'warn', 'market', 0,
+        (SELECT CAST(matched AS DOUBLE) / NULLIF(n_rows, 0) FROM rules)),
+    ('D4', 'unique key (soc_code, area_code)', 'fatal', 'market', (SELECT v FROM dup_m), NULL),
+    ('D7', 'national_wage_p50 constant within soc_code', 'fatal', 'market', (SELECT v FROM d7), NULL),
+    ('D3', 'importance between 1 and 5', 'fatal', 'skills', (SELECT v FROM d3), NULL),
+    ('D4', 'unique key (soc_code, skill)', 'fatal', 'skills', (SELECT v FROM dup_s), NULL),
+    ('D8', 'every category carries the full skill vector', 'fatal', 'skills', (SELECT v FROM d8), NULL),
+    ('D9', 'every market category has a skill vector', 'warn', 'market', (SELECT v FROM d9), NULL),
+    ('D16', 'synthetic if at most 45 places', 'note', 'market', 0, (SELECT CAST(v AS DOUBLE) FROM d16))
+) AS t(rule_id, description, severity, table_name, violations, metric)
+"""
+_REQ = ["soc_code", "occupation", "occupation_group", "area_code", "metro", "state",
+        "employment", "wage_p50"]
+
+
+def _quality_sql(m: str, s: str) -> str:
+    d5 = ",\n           ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL) AS d5_{c}" for c in _REQ)
+    d5_rows = ",\n    ".join(
+        f"('D5', 'required column {c} not null', 'fatal', 'market', (SELECT d5_{c} FROM rules), NULL)"
+        for c in _REQ)
+    return QUALITY_BODY.format(m=m, s=s, d5=d5, d5_rows=d5_rows)
+
+
+@register("d_quality_report", with_ctes(MARKET_CTE, SKILLS_LABEL_CTE, _quality_sql("market", "skills")))
+def d_quality_report(spark, sf_dir):
+    return quality.quality_report(testmart.market(spark, sf_dir),
+                                  testmart.skills(spark, sf_dir, "label"))
+
+
+@register("d_quality_report_built", INGEST_SQL.rstrip() + ",\n"
+          + _quality_sql("market_built", "skills_built"))
+def d_quality_report_built(spark, sf_dir):
+    marts = _marts(spark, sf_dir)
+    return quality.quality_report(marts.market, marts.skills)
+
+
+@register("d14_load_summary", with_ctes(MARKET_CTE, SKILLS_LABEL_CTE, """
+SELECT (SELECT COUNT(*) FROM market) AS market_rows,
+       (SELECT COUNT(DISTINCT soc_code) FROM market) AS occupations,
+       (SELECT COUNT(DISTINCT area_code) FROM market) AS metros,
+       (SELECT COUNT(*) FROM skills) AS skill_rows
+"""))
+def d14_load_summary(spark, sf_dir):
+    return quality.load_summary(testmart.market(spark, sf_dir),
+                                testmart.skills(spark, sf_dir, "label"))

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.operators.ranking import percentile_cont_distributed
+from marketlens.session import ensure_checkpoint_dir
 
 # Fixed values of the mapping (shared with the SQL oracle).
 CURRENT_VINTAGE_START = "1998-07-01"
 GROWTH_PRIOR_FLOOR = 200.0
 WAGE_ROUND = 4
+ALL_PLACES = "*"          # place key of the brand-wide (national) level
 IMPORTANCE_ROUND = 6
 AS_OF = "2024-01-30"
 WAGE_FRACTIONS = {"wage_p10": 0.10, "wage_p25": 0.25, "wage_p50": 0.50,
@@ -70,25 +72,36 @@ def market_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("is_current")))
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The market mart. ``materialize`` checkpoints it (category x place rows, tiny
+    next to the line facts) so every measure and rule reads it without
+    re-deriving it from the line table."""
+    ensure_checkpoint_dir(spark)
     facts = market_facts(spark, sf_dir)
-    pools = (facts.groupBy("soc_code", "area_code").agg(
-        F.sum(F.when(F.col("is_current"), F.col("l_quantity"))).alias("employment"),
-        F.sum(F.when(~F.col("is_current"), F.col("l_quantity"))).alias("employment_prior"))
+    # One pass over the line facts: (cell, vintage, price) -> lines, quantity. The
+    # pools and both percentile levels are derived from this checkpointed table.
+    base = (facts.groupBy("soc_code", "area_code", "is_current", "l_extendedprice")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+            .checkpoint(eager=True))
+    pools = (base.groupBy("soc_code", "area_code").agg(
+        F.sum(F.when(F.col("is_current"), F.col("q"))).alias("employment"),
+        F.sum(F.when(~F.col("is_current"), F.col("q"))).alias("employment_prior"))
         .where(F.col("employment") > 0))
 
-    # exact percentiles over raw lines: pre-aggregate (cell, price) once, reuse for the brand
-    cell_prices = (facts.where("is_current")
-                   .groupBy("soc_code", "area_code", "l_extendedprice")
-                   .agg(F.count(F.lit(1)).alias("n")))
-    wages = percentile_cont_distributed(cell_prices, ["soc_code", "area_code"],
-                                        "l_extendedprice", WAGE_FRACTIONS, weight="n")
-    national = percentile_cont_distributed(
-        cell_prices.groupBy("soc_code", "l_extendedprice").agg(F.sum("n").alias("n")),
-        ["soc_code"], "l_extendedprice", {"national_wage_p50": 0.5}, weight="n")
-    projections = (table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("soc_code"))
-                   .agg(F.round(F.avg("p_retailprice") / 1000.0 - 1.0, 4)
-                        .alias("proj_growth_10y")))
+    # exact percentiles of the current vintage per cell and per brand (area "*"),
+    # both levels in one distributed pass
+    cell_prices = base.where("is_current").select("soc_code", "area_code", "l_extendedprice", "n")
+    brand_prices = (cell_prices.groupBy("soc_code", "l_extendedprice").agg(F.sum("n").alias("n"))
+                    .select("soc_code", F.lit(ALL_PLACES).alias("area_code"), "l_extendedprice", "n"))
+    levels = percentile_cont_distributed(cell_prices.unionByName(brand_prices),
+                                         ["soc_code", "area_code"], "l_extendedprice",
+                                         WAGE_FRACTIONS, weight="n", unique=True)
+    # the brand level rides along each brand's cells (one row per place + 1)
+    wages = (levels.withColumn("national_wage_p50", F.max(F.when(
+        F.col("area_code") == ALL_PLACES, F.col("wage_p50"))).over(Window.partitionBy("soc_code")))
+        .where(F.col("area_code") != ALL_PLACES))
+    brands = (table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("soc_code"))
+              .agg(F.round(F.avg("p_retailprice") / 1000.0 - 1.0, 4).alias("proj_growth_10y")))
 
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -98,21 +111,23 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     area_total = F.sum("employment").over(Window.partitionBy("area_code"))
     out = (pools.join(wages, ["soc_code", "area_code"])
-           .join(national, "soc_code", "left")
-           .join(projections, "soc_code", "left")
+           .join(brands, "soc_code")
            .join(places, "area_code")
-           .join(scope(spark, sf_dir), "soc_code")
+           .withColumn("occupation", F.concat(F.lit("Role "), brand_number().cast("string")))
+           .withColumn("occupation_group",
+                       F.concat(F.lit("Family "), (brand_number() % 5).cast("string")))
            .withColumn("employment_per_1k", 1000.0 * F.col("employment") / area_total)
            .withColumn("supply_growth_3y", F.when(
                F.col("employment_prior") >= GROWTH_PRIOR_FLOOR,
                F.col("employment") / F.col("employment_prior") - 1.0)))
     for c in list(WAGE_FRACTIONS) + ["national_wage_p50"]:
         out = out.withColumn(c, F.round(c, WAGE_ROUND))
-    return out.select(
+    out = out.select(
         "soc_code", "occupation", "occupation_group", "area_code", "metro", "state",
         F.col("employment").cast("double"), "employment_per_1k",
         F.col("employment_prior").cast("double"), "supply_growth_3y", "proj_growth_10y",
         *WAGE_FRACTIONS, "national_wage_p50")
+    return out.checkpoint(eager=True) if materialize else out
 
 
 def skills(spark: SparkSession, sf_dir: str, mode: str = "label") -> DataFrame:
