@@ -138,3 +138,10 @@ def family_share(log: DataFrame, market: DataFrame, days: int = 30,
     # one row per family (a dimension-sized table), so the global total is cheap
     return fam.withColumn("share", F.round(
         F.col("events") / F.sum("events").over(Window.partitionBy()), 6))
+
+
+def pool_shrink_alerts(market: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """Places whose pool fell by at least ``threshold`` since the prior vintage."""
+    return (market.where(F.col("supply_growth_3y") <= -abs(threshold))
+            .select("soc_code", "area_code", "metro", "employment", "employment_prior",
+                    "supply_growth_3y"))

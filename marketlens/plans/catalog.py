@@ -19,6 +19,7 @@ from marketlens.plans.oracle import (
     INGEST_SQL, MARKET_CTE, SKILLS_LABEL_CTE, SKILLS_VECTOR_CTE, USAGE_CTE, with_ctes,
 )
 from marketlens.sources import raw, testmart
+from marketlens.streaming import usage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -750,3 +751,67 @@ SELECT (SELECT COUNT(*) FROM market) AS market_rows,
 def d14_load_summary(spark, sf_dir):
     return quality.load_summary(testmart.market(spark, sf_dir),
                                 testmart.skills(spark, sf_dir, "label"))
+
+
+# ---------------------------------------------------------------- streaming --
+def _events_glob(sf_dir: str) -> str:
+    return f"{sf_dir.rstrip('/')}/events.parque[t]"
+
+
+@register("q7d_daily_counts_stream", """
+SELECT CAST(ts AS DATE) AS day, COUNT(*) AS events FROM events GROUP BY 1
+""")
+def q7d_daily_counts_stream(spark, sf_dir):
+    stream = usage_stream.events_stream(spark, _events_glob(sf_dir))
+    return usage_stream.materialize(usage_stream.daily_counts(stream), "q7d", ["day"])
+
+
+@register("q8s_view_stats_stream")
+def q8s_view_stats_stream(spark, sf_dir):
+    stream = usage_stream.events_stream(spark, _events_glob(sf_dir))
+    return usage_stream.materialize(usage_stream.view_stats(stream), "q8s", ["day", "view_name"])
+
+
+# ---------------------------------------------------------------- extensions --
+@register("x1_adoption_funnel", with_ctes(USAGE_CTE, """
+per AS (
+    SELECT session_id, MIN(occurred_at) AS first_at, MAX(occurred_at) AS last_at,
+           COUNT(DISTINCT date_trunc('week', occurred_at)) AS weeks
+    FROM usage_log WHERE session_id IS NOT NULL GROUP BY session_id
+),
+t AS (
+    SELECT COUNT(*) AS activated,
+           COUNT(*) FILTER (WHERE last_at > first_at + INTERVAL 24 HOURS) AS returned,
+           COUNT(*) FILTER (WHERE weeks >= 3) AS habitual
+    FROM per
+)
+SELECT activated, returned, habitual,
+       ROUND(CAST(returned AS DOUBLE) / NULLIF(activated, 0), 6) AS return_rate
+FROM t
+"""))
+def x1_adoption_funnel(spark, sf_dir):
+    return usage.adoption_funnel(testmart.usage_log(spark, sf_dir))
+
+
+@register("x4_family_share", with_ctes(MARKET_CTE, USAGE_CTE, LABELS_CTE, f"""
+counts AS (
+    SELECT soc_code, COUNT(*) AS events FROM usage_log
+    WHERE {USAGE_WINDOW} AND soc_code IS NOT NULL GROUP BY soc_code
+),
+fam AS (
+    SELECT COALESCE(l.occupation_group, 'Unknown') AS occupation_group, SUM(c.events) AS events
+    FROM counts c LEFT JOIN labels l ON c.soc_code = l.soc_code GROUP BY 1
+)
+SELECT occupation_group, events, ROUND(events / SUM(events) OVER (), 6) AS share FROM fam
+"""))
+def x4_family_share(spark, sf_dir):
+    return usage.family_share(testmart.usage_log(spark, sf_dir), testmart.market(spark, sf_dir),
+                              30, testmart.AS_OF)
+
+
+@register("x5_pool_shrink_alerts", with_ctes(MARKET_CTE, """
+SELECT soc_code, area_code, metro, employment, employment_prior, supply_growth_3y
+FROM market WHERE supply_growth_3y <= -0.05
+"""))
+def x5_pool_shrink_alerts(spark, sf_dir):
+    return usage.pool_shrink_alerts(testmart.market(spark, sf_dir), 0.05)
