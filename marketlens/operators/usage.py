@@ -53,7 +53,8 @@ def usage_by_view(log: DataFrame, days: int = 30, as_of: str = "2024-01-30",
 
 
 def category_labels(market: DataFrame) -> DataFrame:
-    """One label row per category (the lateral LIMIT 1, made deterministic)."""
+    """One label row per category (the lateral LIMIT 1, made deterministic).
+    Accepts the market table or any (soc_code, occupation, occupation_group) frame."""
     return market.groupBy("soc_code").agg(F.min("occupation").alias("occupation"),
                                           F.min("occupation_group").alias("occupation_group"))
 
@@ -74,8 +75,8 @@ def top_requests(log: DataFrame, market: DataFrame, days: int = 30,
     return labelled.orderBy(F.col("events").desc(), "soc_code").limit(limit)
 
 
-def usage_summary(log: DataFrame, market: DataFrame, days: int = 30,
-                  as_of: str = "2024-01-30", top_n: int = 10) -> DataFrame:
+def usage_summary(log: DataFrame, days: int = 30, as_of: str = "2024-01-30",
+                  top_n: int = 10) -> DataFrame:
     """Q10: one row. ``sessions`` and ``occupations`` keep the reference's meaning
     (max of per-view distinct sessions; rows of the top-n list); the true distinct
     counts sit alongside."""

@@ -35,6 +35,11 @@ def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: Da
     single_industry = ingest.industry_filter(scoped)
     usable = ingest.usable(single_industry, floor)
     cleaned = ingest.keep_first(usable, ["vintage", "soc_code", "area_code"])
+    if materialize:
+        # lineage cut: from here on every frame is mart-sized (one row per
+        # vintage x category x place) and is read several times
+        ensure_checkpoint_dir(cleaned.sparkSession)
+        cleaned = cleaned.checkpoint(eager=True)
 
     current = cleaned.where(F.col("vintage") == "current").drop("vintage")
     prior = cleaned.where(F.col("vintage") == "prior").drop("vintage")
@@ -43,7 +48,10 @@ def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: Da
     full = ingest.attach_dimensions(with_prior, ingest.national_medians(raw_national, scope),
                                     ingest.projections(raw_projections, scope), scope)
     market = ingest.conform(full.where(ingest.monotonic_ok()))
-    skills = ingest.drop_ragged(ingest.onet_profiles(ingest.onet_filter(raw_onet), scope))
+    profiles = ingest.onet_profiles(ingest.onet_filter(raw_onet), scope)
+    if materialize:
+        profiles = profiles.checkpoint(eager=True)       # category x skill rows
+    skills = ingest.drop_ragged(profiles)
     market, skills = ingest.coverage(market, skills)
     if materialize:
         ensure_checkpoint_dir(market.sparkSession)

@@ -294,7 +294,7 @@ FROM counts c LEFT JOIN labels l ON c.soc_code = l.soc_code
 ORDER BY c.events DESC, c.soc_code LIMIT 10
 """))
 def q9_top_requests(spark, sf_dir):
-    return usage.top_requests(testmart.usage_log(spark, sf_dir), testmart.market(spark, sf_dir),
+    return usage.top_requests(testmart.usage_log(spark, sf_dir), testmart.labels(spark, sf_dir),
                               30, testmart.AS_OF, 10)
 
 
@@ -309,8 +309,7 @@ SELECT CAST(COALESCE((SELECT SUM(events) FROM by_view), 0) AS BIGINT) AS total_e
        (SELECT COUNT(DISTINCT soc_code) FROM w) AS distinct_occupations
 """))
 def q10_usage_summary(spark, sf_dir):
-    return usage.usage_summary(testmart.usage_log(spark, sf_dir), testmart.market(spark, sf_dir),
-                               30, testmart.AS_OF, 10)
+    return usage.usage_summary(testmart.usage_log(spark, sf_dir), 30, testmart.AS_OF, 10)
 
 
 # ---------------------------------------------------------------- Q3 -------
@@ -372,7 +371,7 @@ Q3_PLAIN = Q3_SELECT.format(label_cols="", label_join="")
 def q3_skill_adjacency(spark, sf_dir):
     return adjacency.skill_adjacency(
         testmart.skills(spark, sf_dir, "label"), limit=8,
-        labels=usage.category_labels(testmart.market(spark, sf_dir)))
+        labels=testmart.labels(spark, sf_dir))
 
 
 @register("q3_skill_adjacency_vectors",
@@ -636,7 +635,8 @@ def f6_usage_headline(spark, sf_dir):
 
 # ---------------------------------------------------------------- ingest ---
 def _marts(spark, sf_dir):
-    return build.build_marts(raw.raw_oes(spark, sf_dir), raw.raw_national(spark, sf_dir),
+    cube = raw._line_cube(spark, sf_dir)
+    return build.build_marts(raw.raw_oes(spark, sf_dir, cube), raw.raw_national(spark, sf_dir, cube),
                              raw.raw_projections(spark, sf_dir), raw.raw_onet(spark, sf_dir),
                              raw.ingest_scope(spark, sf_dir))
 
@@ -805,7 +805,7 @@ fam AS (
 SELECT occupation_group, events, ROUND(events / SUM(events) OVER (), 6) AS share FROM fam
 """))
 def x4_family_share(spark, sf_dir):
-    return usage.family_share(testmart.usage_log(spark, sf_dir), testmart.market(spark, sf_dir),
+    return usage.family_share(testmart.usage_log(spark, sf_dir), testmart.labels(spark, sf_dir),
                               30, testmart.AS_OF)
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schema
 from marketlens.functions.columns import exact_mean
+from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources.testmart import CURRENT_VINTAGE_START, table
 
 
@@ -91,11 +92,24 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "r_name", "l_returnflag", "l_quantity", "l_extendedprice"))
 
 
+def _line_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the line facts at the finest grain any raw row needs; every
+    raw row kind rolls up from this (small, checkpointed) cube."""
+    ensure_checkpoint_dir(spark)
+    lines = _lines(spark, sf_dir)
+    return (lines.groupBy("vintage", "brand", "s_nationkey", "n_name", "n_regionkey", "r_name",
+                          "l_returnflag")
+            .agg(F.sum("l_quantity").alias("_emp"), F.count(F.lit(1)).alias("_n"),
+                 F.min("l_extendedprice").alias("_mn"), F.max("l_extendedprice").alias("_mx"),
+                 F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("_sx"))
+            .checkpoint(eager=True))
+
+
 def _measures():
-    return [F.sum("l_quantity").alias("_emp"), F.count(F.lit(1)).alias("_n"),
-            F.min("l_extendedprice").alias("_mn"),
-            exact_mean("l_extendedprice", 2).alias("_av"),
-            F.max("l_extendedprice").alias("_mx")]
+    """Roll-up of the cube measures (sums exact: the price sum is fixed point)."""
+    return [F.sum("_emp").alias("_emp"), F.sum("_n").alias("_n"), F.min("_mn").alias("_mn"),
+            (F.sum("_sx").cast("double") / F.sum("_n").cast("double")).alias("_av"),
+            F.max("_mx").alias("_mx")]
 
 
 def _render(df: DataFrame, area, area_title, area_type, state, naics, occ, occ_title, o_group,
@@ -122,9 +136,9 @@ def _render(df: DataFrame, area, area_title, area_type, state, naics, occ, occ_t
     )
 
 
-def raw_oes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_oes(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
     """All-string OES-style rows for both vintages (see module docstring)."""
-    lines = _lines(spark, sf_dir)
+    lines = cube if cube is not None else _line_cube(spark, sf_dir)
     occ = soc_code(F.col("brand"))
     title = F.concat(F.lit("Role "), F.col("brand").cast("string"))
     place = F.col("s_nationkey").cast("string")
@@ -138,7 +152,7 @@ def raw_oes(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("4"), F.col("r_name"), F.lit(schema.NAICS_ALL_INDUSTRIES), occ,
                        title, F.lit("detailed"), 4, emp_factor=2.0)
 
-    naics_num = 540000 + F.ascii("l_returnflag")
+    naics_num = F.lit(540000) + F.ascii("l_returnflag")
     industry = (lines.groupBy("vintage", "brand", "s_nationkey", "n_name", "r_name",
                               "l_returnflag")
                 .agg(*_measures()).withColumn("NAICS_NUM", naics_num))
@@ -165,10 +179,11 @@ def raw_oes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(summary))
 
 
-def raw_national(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_national(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
     """National rows (current vintage, all places per category). Categories whose
     number is divisible by 5 get an earlier suppressed duplicate row."""
-    lines = _lines(spark, sf_dir).where(F.col("vintage") == "current")
+    lines = (cube if cube is not None else _line_cube(spark, sf_dir)) \
+        .where(F.col("vintage") == "current")
     nat = lines.groupBy("vintage", "brand").agg(*_measures()).withColumn("NAICS_NUM", F.lit(0))
     occ = soc_code(F.col("brand"))
     title = F.concat(F.lit("Role "), F.col("brand").cast("string"))

@@ -24,7 +24,7 @@ def test_empty_log(spark, market):
     days = usage.usage_by_day(log, 7, "2024-01-30").collect()
     assert len(days) == 7 and all(r.events == 0 for r in days)
     assert usage.usage_by_view(log).count() == 0
-    (s,) = usage.usage_summary(log, market).collect()
+    (s,) = usage.usage_summary(log).collect()
     assert s.total_events == 0 and s.sessions == 0
 
 
