@@ -145,15 +145,16 @@ def skill_adjacency(skills: DataFrame, limit: int = 8, centered: bool = True,
                     labels: DataFrame | None = None, block_size: int = 2048) -> DataFrame:
     """Q3 for every target: neighbours with similarity, shared strengths and labels."""
     top = neighbour_candidates(skills, limit, centered, block_size)
-    dev = centred(skills, centered)
+    # only skills where both deviations are positive contribute, so both sides are
+    # filtered before the join; pairs without any keep count 0 and NULL strengths
+    dev = centred(skills, centered).where(F.col("deviation") > 0)
     t = dev.select(F.col("soc_code").alias("target_soc"), "skill",
                    F.col("deviation").alias("t_dev"))
     c = dev.select("soc_code", "skill", F.col("deviation").alias("c_dev"))
-    both = "c_dev > 0 AND t_dev > 0"
     shared = (top.select("target_soc", "soc_code").join(t, "target_soc").join(c, ["soc_code", "skill"])
               .groupBy("target_soc", "soc_code")
-              .agg(F.count_if(F.expr(both)).alias("shared_strength_count"),
-                   F.expr(f"listagg(CASE WHEN {both} THEN skill END, ', ') "
+              .agg(F.count(F.lit(1)).alias("shared_strength_count"),
+                   F.expr("listagg(skill, ', ') "
                           "WITHIN GROUP (ORDER BY least(c_dev, t_dev) DESC, skill)")
                    .alias("shared_strengths")))
     out = (top.join(shared, ["target_soc", "soc_code"], "left")
