@@ -762,13 +762,13 @@ def _events_glob(sf_dir: str) -> str:
 SELECT CAST(ts AS DATE) AS day, COUNT(*) AS events FROM events GROUP BY 1
 """)
 def q7d_daily_counts_stream(spark, sf_dir):
-    stream = usage_stream.events_stream(spark, _events_glob(sf_dir))
+    stream = usage_stream.events_stream(usage_stream.stream_session(spark), _events_glob(sf_dir))
     return usage_stream.materialize(usage_stream.daily_counts(stream), "q7d", ["day"])
 
 
 @register("q8s_view_stats_stream")
 def q8s_view_stats_stream(spark, sf_dir):
-    stream = usage_stream.events_stream(spark, _events_glob(sf_dir))
+    stream = usage_stream.events_stream(usage_stream.stream_session(spark), _events_glob(sf_dir))
     return usage_stream.materialize(usage_stream.view_stats(stream), "q8s", ["day", "view_name"])
 
 

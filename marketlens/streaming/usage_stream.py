@@ -40,6 +40,17 @@ def usage_from_events(ev: DataFrame) -> DataFrame:
         F.col("props").alias("detail"))
 
 
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for a streaming query whose state-store partition count is sized for
+    the stream (it is fixed at the first start and kept in the checkpoint), not
+    inherited from the batch shuffle setting. Shares the SparkContext."""
+    child = spark.newSession()
+    n = state_partitions or max(1, min(spark.sparkContext.defaultParallelism, 64))
+    child.conf.set("spark.sql.shuffle.partitions", str(n))
+    child.conf.set("spark.sql.session.timeZone", "UTC")
+    return child
+
+
 def events_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream of usage-log rows from event Parquet files under ``path`` (a folder
     or a glob)."""

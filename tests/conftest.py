@@ -21,6 +21,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ml-test-ckpt-"))
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ml-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     configure(s)
