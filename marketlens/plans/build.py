@@ -1,15 +1,16 @@
 """Entry B: raw vintages -> market and skills marts (I1-I21), plus row accounting.
 
-``build_marts`` is lazy. ``row_accounting`` reports kept rows per step as one
-DataFrame; :func:`marketlens.plans.publish.publish` runs the build once and
-collects the same counts from ``Observation`` metrics of that single pass.
+Row accounting (I21) comes two ways: ``Marts.observed_counts()`` reads
+``Observation`` metrics gathered during the materializing pass itself (no extra
+scan; what a production build logs), and ``row_accounting`` returns the kept
+rows of every step as one DataFrame (a report that re-reads each step).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marketlens import schema
@@ -23,6 +24,19 @@ class Marts:
     skills: DataFrame
     quarantine: DataFrame           # rows with crossed wage percentiles (fatal if any)
     steps: dict[str, DataFrame]     # intermediate frames, for accounting
+    observed: dict[str, Observation] = field(default_factory=dict)
+
+    def observed_counts(self) -> dict[str, dict]:
+        """Step metrics gathered during the materializing pass (I21), no extra scan.
+        Only meaningful after the build ran with ``materialize=True``."""
+        return {name: obs.get for name, obs in self.observed.items()}
+
+
+def _observe(df: DataFrame, name: str, observed: dict, extra=None) -> DataFrame:
+    obs = Observation(name)
+    observed[name] = obs
+    metrics = [F.count(F.lit(1)).alias("rows")] + (extra or [])
+    return df.observe(obs, *metrics)
 
 
 def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: DataFrame | None,
@@ -30,11 +44,15 @@ def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: Da
                 top_n: int = schema.TOP_N_METROS, materialize: bool = True) -> Marts:
     """Lazy build of both marts. ``materialize`` checkpoints the two (small) results
     so reports that read them many times do not re-run the build."""
+    observed: dict[str, Observation] = {}
     typed = ingest.typed_oes(ingest.normalise_headers(raw_oes))
     scoped = ingest.scope_filter(typed, scope)
     single_industry = ingest.industry_filter(scoped)
-    usable = ingest.usable(single_industry, floor)
-    cleaned = ingest.keep_first(usable, ["vintage", "soc_code", "area_code"])
+    single_industry_obs = _observe(single_industry, "single_industry", observed, [
+        F.count_if(F.col("employment").isNull() | F.col("wage_p50").isNull()).alias("suppressed")])
+    usable = ingest.usable(single_industry_obs, floor)
+    usable_obs = _observe(usable, "usable", observed)
+    cleaned = ingest.keep_first(usable_obs, ["vintage", "soc_code", "area_code"])
     if materialize:
         # lineage cut: from here on every frame is mart-sized (one row per
         # vintage x category x place) and is read several times
@@ -61,7 +79,7 @@ def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: Da
         "usable": usable, "deduplicated": cleaned, "current_top_areas": kept,
         "with_prior": with_prior.where(F.col("employment_prior").isNotNull()),
         "market": market, "skills": skills,
-    })
+    }, observed if materialize else {})
 
 
 def row_accounting(marts: Marts) -> DataFrame:

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,10 +111,12 @@ def _build_market(spark: SparkSession, sf_dir: str, materialize: bool) -> DataFr
     ensure_checkpoint_dir(spark)
     facts = market_facts(spark, sf_dir)
     # One pass over the line facts: (cell, vintage, price) -> lines, quantity. The
-    # pools and both percentile levels are derived from this checkpointed table.
+    # pools, the range sampling and both percentile levels read this table, so it
+    # is persisted (recomputable from lineage if an executor is lost; the range
+    # table that needs stable partition ids is checkpointed inside the percentile).
     base = (facts.groupBy("soc_code", "area_code", "is_current", "l_extendedprice")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
-            .checkpoint(eager=True))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     pools = (base.groupBy("soc_code", "area_code").agg(
         F.sum(F.when(F.col("is_current"), F.col("q"))).alias("employment"),
         F.sum(F.when(~F.col("is_current"), F.col("q"))).alias("employment_prior"))
@@ -158,7 +161,11 @@ def _build_market(spark: SparkSession, sf_dir: str, materialize: bool) -> DataFr
         F.col("employment").cast("double"), "employment_per_1k",
         F.col("employment_prior").cast("double"), "supply_growth_3y", "proj_growth_10y",
         *WAGE_FRACTIONS, "national_wage_p50")
-    return out.checkpoint(eager=True) if materialize else out
+    if not materialize:
+        return out
+    out = out.checkpoint(eager=True)
+    base.unpersist()
+    return out
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
