@@ -100,3 +100,17 @@ def test_stream_view_stats_events_exact(spark):
     m = got.join(want, ["day", "view_name"], "full").toPandas()
     assert (m.events == m.want_events).all()
     assert ((m.sessions_approx - m.sessions).abs() <= (0.05 * m.sessions).clip(lower=1)).all()
+
+
+def test_single_category_filter_reaches_scan(spark, market, skills):
+    """A one-category question over the all-category index is pushed below the
+    windows into the Parquet scan (row-group skipping on sorted soc_code)."""
+    from marketlens.operators import competition
+    base = tempfile.mkdtemp(prefix="ml-push-")
+    publish.publish(market, skills, base, version="v1")
+    pm, _ = publish.read_published(spark, base)
+    q = competition.competition_index(pm).where(F.col("soc_code") == "Brand#7")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(soc_code,Brand#7)" in plan
+    assert plan.count("Exchange hashpartitioning") == 1      # one shuffle feeds every window
+    assert q.count() == market.where("soc_code = 'Brand#7' AND employment >= 100").count()
