@@ -110,6 +110,7 @@ def test_single_category_filter_reaches_scan(spark, market, skills):
     publish.publish(market, skills, base, version="v1")
     pm, _ = publish.read_published(spark, base)
     q = competition.competition_index(pm).where(F.col("soc_code") == "Brand#7")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")   # untruncated scan text
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(soc_code,Brand#7)" in plan
     assert plan.count("Exchange hashpartitioning") == 1      # one shuffle feeds every window
