@@ -56,7 +56,7 @@ def market_extremes(index: DataFrame) -> DataFrame:
 def top_markets(index: DataFrame, n: int = 15) -> DataFrame:
     """the first ``n`` places per category by index (area breaks ties)."""
     w = Window.partitionBy("soc_code").orderBy(F.col("competition_index").desc(), "area_code")
-    return (index.withColumn("position", F.row_number().over(w))
+    return (index.withColumn("position", F.row_number().over(w).cast("long"))
             .where(F.col("position") <= n)
             .select("soc_code", "position", "area_code", "metro", "competition_index",
                     "wage_p10", "wage_p25", "wage_p50", "wage_p75", "wage_p90"))

@@ -60,5 +60,5 @@ def distinctive_skills(profile: DataFrame, n: int = 3) -> DataFrame:
 def largest_deviations(profile: DataFrame, n: int = 14) -> DataFrame:
     """the n skills with the largest |distinctive| per category."""
     w = Window.partitionBy("soc_code").orderBy(F.abs("distinctive").desc(), "skill")
-    return (profile.withColumn("deviation_rank", F.row_number().over(w))
+    return (profile.withColumn("deviation_rank", F.row_number().over(w).cast("long"))
             .where(F.col("deviation_rank") <= n))

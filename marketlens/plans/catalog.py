@@ -799,7 +799,8 @@ counts AS (
     WHERE {USAGE_WINDOW} AND soc_code IS NOT NULL GROUP BY soc_code
 ),
 fam AS (
-    SELECT COALESCE(l.occupation_group, 'Unknown') AS occupation_group, SUM(c.events) AS events
+    SELECT COALESCE(l.occupation_group, 'Unknown') AS occupation_group,
+           CAST(SUM(c.events) AS BIGINT) AS events
     FROM counts c LEFT JOIN labels l ON c.soc_code = l.soc_code GROUP BY 1
 )
 SELECT occupation_group, events, ROUND(events / SUM(events) OVER (), 6) AS share FROM fam
