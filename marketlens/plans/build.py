@@ -47,12 +47,17 @@ def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: Da
     observed: dict[str, Observation] = {}
     typed = ingest.typed_oes(ingest.normalise_headers(raw_oes))
     scoped = ingest.scope_filter(typed, scope)
+    is_total = F.col("naics") == schema.NAICS_ALL_INDUSTRIES
+    ok = (F.col("employment").isNotNull() & F.col("wage_p50").isNotNull()
+          & (F.col("employment") >= F.lit(float(floor))))
+    scoped_obs = _observe(scoped, "scoped", observed, [
+        F.count_if(is_total).alias("total_rows"),
+        F.count_if(ok).alias("usable_rows"),
+        F.count_if(ok & is_total).alias("usable_total_rows")])
+    cleaned = ingest.select_rows(scoped_obs, floor)
+    # step frames for the (re-reading) accounting report
     single_industry = ingest.industry_filter(scoped)
-    single_industry_obs = _observe(single_industry, "single_industry", observed, [
-        F.count_if(F.col("employment").isNull() | F.col("wage_p50").isNull()).alias("suppressed")])
-    usable = ingest.usable(single_industry_obs, floor)
-    usable_obs = _observe(usable, "usable", observed)
-    cleaned = ingest.keep_first(usable_obs, ["vintage", "soc_code", "area_code"])
+    usable = ingest.usable(single_industry, floor)
     if materialize:
         # lineage cut: from here on every frame is mart-sized (one row per
         # vintage x category x place) and is read several times
