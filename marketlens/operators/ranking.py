@@ -55,19 +55,7 @@ def cumulative_before(df: DataFrame, keys: list[str], order: Order,
     (keys, value) is already unique with its weight in ``weight`` (skips a shuffle).
     """
     v = order.column
-    if unique and weight:
-        grouped = df.select(*keys, v, F.col(weight).cast("long").alias("_w"))
-    else:
-        w = F.sum(weight) if weight else F.count(F.lit(1))
-        grouped = df.groupBy(*keys, v).agg(w.cast("long").alias("_w"))
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = max(1, shuffle_partitions(spark))
-    ranged = (grouped
-              .repartitionByRange(parts, *[F.col(k).asc() for k in keys], order.sort())
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = range_layout(df, keys, order, weight, unique)
 
     local_w = (Window.partitionBy(*keys, "_pid").orderBy(order.sort())
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -87,6 +75,26 @@ def cumulative_before(df: DataFrame, keys: list[str], order: Order,
                     (F.col("_offset") + F.col("_local")).alias("_before"), "_total"))
 
 
+def range_layout(df: DataFrame, keys: list[str], order: Order, weight: str | None = None,
+                 unique: bool = False) -> DataFrame:
+    """``(keys, value, _w, _pid)``: the pre-aggregated rows range-partitioned on
+    (keys, value) and checkpointed, so a hot key spans many partitions and the
+    partition ids are stable under recomputation."""
+    v = order.column
+    if unique and weight:
+        grouped = df.select(*keys, v, F.col(weight).cast("long").alias("_w"))
+    else:
+        w = F.sum(weight) if weight else F.count(F.lit(1))
+        grouped = df.groupBy(*keys, v).agg(w.cast("long").alias("_w"))
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = max(1, shuffle_partitions(spark))
+    return (grouped
+            .repartitionByRange(parts, *[F.col(k).asc() for k in keys], order.sort())
+            .withColumn("_pid", F.spark_partition_id())
+            .checkpoint(eager=True))
+
+
 def percent_rank_window(keys: list[str], order: Order) -> Column:
     """``PERCENT_RANK() OVER (PARTITION BY keys ORDER BY order)``."""
     return F.percent_rank().over(Window.partitionBy(*keys).orderBy(order.sort()))

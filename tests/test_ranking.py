@@ -61,3 +61,20 @@ def test_percentile_single_value_and_weights(spark):
                                                          weight="w").collect()}
     # b expands to [1, 1, 1, 9]: median = 1
     assert got == {"a": 5.0, "b": 1.0}
+
+
+def test_hot_key_is_split_across_partitions(spark):
+    """One key holds ~90 % of the rows: the range layout spreads it over most
+    partitions (no single task owns it) and the percentile stays exact."""
+    from marketlens.operators.ranking import range_layout
+    hot = [("H", float(i)) for i in range(9000)]
+    cold = [(f"c{k}", float(i)) for k in range(10) for i in range(100)]
+    df = spark.createDataFrame(hot + cold, "k string, v double")
+    layout = range_layout(df, ["k"], Order("v", True, False))
+    per_pid = {r._pid: r.n for r in layout.where("k = 'H'").groupBy("_pid")
+               .agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(per_pid) >= parts - 1
+    assert max(per_pid.values()) <= 2 * 9000 / len(per_pid)
+    got = {r.k: r.m for r in percentile_cont_distributed(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got["H"] == 4499.5 and got["c3"] == 49.5
