@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import schema
@@ -136,9 +136,8 @@ def family_share(log: DataFrame, market: DataFrame, days: int = 30,
     fam = (counts.join(category_labels(market), "soc_code", "left")
            .groupBy(F.coalesce("occupation_group", F.lit("Unknown")).alias("occupation_group"))
            .agg(F.sum("events").alias("events")))
-    # one row per family (a dimension-sized table), so the global total is cheap
-    return fam.withColumn("share", F.round(
-        F.col("events") / F.sum("events").over(Window.partitionBy()), 6))
+    total = fam.select(F.sum("events")).scalar()       # one value, a scalar subquery
+    return fam.withColumn("share", F.round(F.col("events") / total, 6))
 
 
 def pool_shrink_alerts(market: DataFrame, threshold: float = 0.05) -> DataFrame:
