@@ -766,12 +766,26 @@ def q7d_daily_counts_stream(spark, sf_dir):
     return usage_stream.materialize(usage_stream.daily_counts(stream), "q7d", ["day"])
 
 
-@register("q8s_view_stats_stream")
+@register("q8s_view_stats_stream", """
+SELECT CAST(ts AS DATE) AS day, event_type AS view_name, COUNT(*) AS events, MAX(ts) AS last_seen
+FROM events GROUP BY 1, 2
+""")
 def q8s_view_stats_stream(spark, sf_dir):
     stream = usage_stream.events_stream(usage_stream.stream_session(spark), _events_glob(sf_dir))
     return usage_stream.materialize(usage_stream.view_stats(stream), "q8s", ["day", "view_name"])
 
 
+@register("q8s_view_sessions_stream", """
+SELECT CAST(ts AS DATE) AS day, event_type AS view_name,
+       COUNT(DISTINCT CAST(user_id AS VARCHAR)) AS sessions
+FROM events GROUP BY 1, 2
+""")
+def q8s_view_sessions_stream(spark, sf_dir):
+    stream = usage_stream.events_stream(usage_stream.stream_session(spark), _events_glob(sf_dir))
+    return usage_stream.materialize(usage_stream.view_sessions(stream), "q8sess",
+                                    ["day", "view_name"])
+
+
 # ---------------------------------------------------------------- extensions --
 @register("x1_adoption_funnel", with_ctes(USAGE_CTE, """
 per AS (

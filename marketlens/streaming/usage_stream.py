@@ -5,8 +5,9 @@
 * :func:`daily_counts` is the streaming twin of Q7: a 1-day event-time window
   with a watermark; rows later than the watermark are dropped by Spark (and
   counted in the query progress as ``numRowsDroppedByWatermark``).
-* :func:`view_stats` is the streaming twin of Q8 with a HyperLogLog session
-  count (exact distinct counts need unbounded state in a stream).
+* :func:`view_stats` / :func:`view_sessions` are the streaming twins of Q8:
+  events and last event per (day, view), and exact distinct sessions through a
+  watermark-bounded deduplication (a HyperLogLog estimate is optional).
 * :func:`run_to_table` executes a streaming aggregate in update mode through
   ``foreachBatch``: each micro-batch's changed rows are written under
   ``batch_id=N`` (overwrite, so a replayed batch is idempotent) and
@@ -68,14 +69,31 @@ def daily_counts(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
             .select(F.to_date(F.col("w.start")).alias("day"), "events"))
 
 
-def view_stats(stream: DataFrame, watermark: str = "1 day", rsd: float = 0.01) -> DataFrame:
-    return (stream.withWatermark("occurred_at", watermark)
-            .groupBy(F.window("occurred_at", "1 day").alias("w"), "view_name")
-            .agg(F.count(F.lit(1)).alias("events"),
-                 F.approx_count_distinct("session_id", rsd).alias("sessions_approx"),
-                 F.max("occurred_at").alias("last_seen"))
-            .select(F.to_date(F.col("w.start")).alias("day"), "view_name", "events",
-                    "sessions_approx", "last_seen"))
+def view_stats(stream: DataFrame, watermark: str = "1 day",
+               approx_sessions: float | None = None) -> DataFrame:
+    """Events and last event per (day, view); ``approx_sessions=rsd`` adds a
+    HyperLogLog session estimate in the same aggregate."""
+    aggs = [F.count(F.lit(1)).alias("events"), F.max("occurred_at").alias("last_seen")]
+    if approx_sessions:
+        aggs.append(F.approx_count_distinct("session_id", approx_sessions).alias("sessions_approx"))
+    out = (stream.withWatermark("occurred_at", watermark)
+           .groupBy(F.window("occurred_at", "1 day").alias("w"), "view_name").agg(*aggs))
+    cols = ["events", F.col("last_seen").cast("timestamp_ntz").alias("last_seen")]
+    if approx_sessions:
+        cols.append("sessions_approx")
+    return out.select(F.to_date(F.col("w.start")).alias("day"), "view_name", *cols)
+
+
+def view_sessions(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Exact distinct sessions per (day, view): each (day window, view, session) is
+    kept once by a deduplication whose key carries the event-time window, so its
+    state is evicted as the watermark passes; the count of the survivors is exact."""
+    first = (stream.withWatermark("occurred_at", watermark)
+             .withColumn("w", F.window("occurred_at", "1 day"))
+             .dropDuplicates(["w", "view_name", "session_id"])
+             .where(F.col("session_id").isNotNull()))
+    return (first.groupBy("w", "view_name").agg(F.count(F.lit(1)).alias("sessions"))
+            .select(F.to_date(F.col("w.start")).alias("day"), "view_name", "sessions"))
 
 
 def run_to_table(agg: DataFrame, name: str, keys: list[str], root: str | None = None,

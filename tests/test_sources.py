@@ -93,7 +93,8 @@ def test_profile_top_n(skills):
 def test_stream_view_stats_events_exact(spark):
     path = "/root/testdata/sf0.001/events.parque[t]"
     s = usage_stream.events_stream(usage_stream.stream_session(spark, 4), path)
-    got = usage_stream.materialize(usage_stream.view_stats(s), "vs", ["day", "view_name"])
+    got = usage_stream.materialize(usage_stream.view_stats(s, approx_sessions=0.01), "vs",
+                                   ["day", "view_name"])
     ev = usage_stream.usage_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     want = ev.groupBy(F.to_date("occurred_at").alias("day"), "view_name").agg(
         F.count(F.lit(1)).alias("want_events"), F.countDistinct("session_id").alias("sessions"))

@@ -71,3 +71,18 @@ def test_batch_append(spark, usage_log):
     usage_stream.append_events(usage_log.limit(10), path)
     usage_stream.append_events(usage_log.limit(5), path)
     assert spark.read.parquet(path).count() == 15
+
+
+def test_stream_sessions_exact_over_many_batches(spark):
+    ev = testmart.table(spark, "/root/testdata/sf0.001", "events")
+    folder = tempfile.mkdtemp(prefix="ml-sess-")
+    (ev.withColumn("d", F.to_date("ts")).repartition("d").write.mode("overwrite")
+     .partitionBy("d").parquet(os.path.join(folder, "landing")))
+    ss = usage_stream.stream_session(spark, 4)
+    stream = usage_stream.events_stream(ss, os.path.join(folder, "landing"), max_files=2)
+    got = usage_stream.materialize(usage_stream.view_sessions(stream, "30 days"), "s",
+                                   ["day", "view_name"])
+    want = (usage_stream.usage_from_events(ev)
+            .groupBy(F.to_date("occurred_at").alias("day"), "view_name")
+            .agg(F.countDistinct("session_id").alias("sessions")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
