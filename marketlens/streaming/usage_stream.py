@@ -3,8 +3,8 @@
 * :func:`events_stream` reads event files as they land (``maxFilesPerTrigger``
   bounds each micro-batch) and maps them to the usage-log columns.
 * :func:`daily_counts` is the streaming twin of Q7: a 1-day event-time window
-  with a watermark; rows later than the watermark are dropped by Spark (and
-  counted in the query progress as ``numRowsDroppedByWatermark``).
+  with a watermark; rows older than the watermark are read but dropped (they
+  never reach the result), and state for closed days is evicted.
 * :func:`view_stats` / :func:`view_sessions` are the streaming twins of Q8:
   events and last event per (day, view), and exact distinct sessions through a
   watermark-bounded deduplication (a HyperLogLog estimate is optional).
@@ -113,16 +113,27 @@ def run_to_table(agg: DataFrame, name: str, keys: list[str], root: str | None =
     return writer.start(), sink
 
 
-def latest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
-    """Current value per key: the row from the highest batch that updated it."""
+def latest(spark: SparkSession, sink: str, keys: list[str], monotone: bool = True) -> DataFrame:
+    """Current value per key from the per-batch sink.
+
+    Late-event filtering uses the previous batch's watermark, so rows arriving
+    right after the watermark moved can re-create a day window whose state was
+    already evicted; update mode then emits that window with a *partial* value.
+    For monotone measures (counts, maxima, distinct counts) the largest emitted
+    value per column is the final one, and a re-created partial never wins.
+    ``monotone=False`` takes the row of the latest batch instead.
+    """
     rows = spark.read.parquet(sink)
     values = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    if monotone:
+        return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
     picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
     return picked.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
 def materialize(agg: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Run the stream over everything available now and return its result table."""
+    """Run the stream over everything available now and return its result table
+    (the measures here are monotone; see :func:`latest`)."""
     query, sink = run_to_table(agg, name, keys)
     query.awaitTermination()
     return latest(agg.sparkSession, sink, keys)
