@@ -96,3 +96,34 @@ def row_accounting(marts: Marts) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+class BuildError(RuntimeError):
+    pass
+
+
+def run_build(spark, oes_path: str, national_path: str, onet_path: str,
+              projections_path: str | None, scope: DataFrame, base: str,
+              floor: float = schema.MIN_EMPLOYMENT, top_n: int = schema.TOP_N_METROS,
+              version: str | None = None) -> tuple[str, dict]:
+    """Entry B end to end: landing files -> marts -> validated, committed version.
+
+    ``oes_path`` holds ``vintage=current`` / ``vintage=prior`` folders of
+    delimited files; the national and projection files are read the same way,
+    the skills file tab-separated. Crossed wage percentiles are fatal and named
+    (at most ten rows are fetched for the message). Returns the committed
+    version and the step counts observed during the build pass.
+    """
+    from marketlens.plans import publish
+    from marketlens.sources import raw
+
+    proj = raw.read_delimited(spark, projections_path) if projections_path else None
+    marts = build_marts(raw.read_oes(spark, oes_path), raw.read_oes(spark, national_path),
+                        proj, raw.read_onet(spark, onet_path), scope, floor, top_n)
+    crossed = marts.quarantine.limit(10).collect()
+    if crossed:
+        names = ", ".join(f"{r.soc_code}@{r.metro}" for r in crossed)
+        raise BuildError(f"non-monotonic wage percentiles (first rows: {names}); "
+                         "the wage columns are crossed somewhere in the parse")
+    committed = publish.publish(marts.market, marts.skills, base, scope, version)
+    return committed, marts.observed_counts()
