@@ -701,7 +701,12 @@ skill_n AS (SELECT soc_code, COUNT(DISTINCT skill) AS n FROM {s} GROUP BY 1),
 d8 AS (SELECT COUNT(*) FILTER (WHERE n <> (SELECT MAX(n) FROM skill_n)) AS v FROM skill_n),
 d9 AS (SELECT COUNT(*) AS v FROM (SELECT DISTINCT soc_code FROM {m}
                                   WHERE soc_code NOT IN (SELECT soc_code FROM {s}))),
-d16 AS (SELECT COUNT(DISTINCT area_code) AS v FROM {m})
+d16 AS (SELECT COUNT(DISTINCT area_code) AS v FROM {m}),
+d6a AS (SELECT COUNT(*) AS v FROM {m} WHERE soc_code NOT IN (SELECT soc_code FROM {sc})),
+d6b AS (SELECT COUNT(*) AS v FROM (SELECT DISTINCT soc_code, occupation, occupation_group FROM {m}) x
+        JOIN {sc} y ON x.soc_code = y.soc_code
+        WHERE x.occupation IS DISTINCT FROM y.occupation
+           OR x.occupation_group IS DISTINCT FROM y.occupation_group)
 SELECT * FROM (VALUES
     ('D1', 'wage percentiles ordered (adjacent pairs)', 'fatal', 'market', (SELECT d1 FROM rules), NULL),
     ('D2', 'positive median wage and employment', 'fatal', 'market', (SELECT d2 FROM rules), NULL),
@@ -714,32 +719,47 @@ SELECT * FROM (VALUES
     ('D4', 'unique key (soc_code, skill)', 'fatal', 'skills', (SELECT v FROM dup_s), NULL),
     ('D8', 'every category carries the full skill vector', 'fatal', 'skills', (SELECT v FROM d8), NULL),
     ('D9', 'every market category has a skill vector', 'warn', 'market', (SELECT v FROM d9), NULL),
-    ('D16', 'synthetic if at most 45 places', 'note', 'market', 0, (SELECT CAST(v AS DOUBLE) FROM d16))
+    ('D16', 'synthetic if at most 45 places', 'note', 'market', 0, (SELECT CAST(v AS DOUBLE) FROM d16)),
+    ('D6', 'category in scope', 'fatal', 'market', (SELECT v FROM d6a), NULL),
+    ('D6', 'labels agree with the scope dimension', 'fatal', 'market', (SELECT v FROM d6b), NULL)
 ) AS t(rule_id, description, severity, table_name, violations, metric)
 """
 _REQ = ["soc_code", "occupation", "occupation_group", "area_code", "metro", "state",
         "employment", "wage_p50"]
 
 
-def _quality_sql(m: str, s: str) -> str:
+TEST_SCOPE_CTE = """
+scope_dim AS (
+    SELECT DISTINCT p_brand AS soc_code,
+           'Role ' || CAST(CAST(split_part(p_brand, '#', 2) AS INTEGER) AS VARCHAR) AS occupation,
+           'Family ' || CAST(CAST(split_part(p_brand, '#', 2) AS INTEGER) % 5 AS VARCHAR)
+               AS occupation_group
+    FROM part
+)
+"""
+
+
+def _quality_sql(m: str, s: str, sc: str) -> str:
     d5 = ",\n           ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL) AS d5_{c}" for c in _REQ)
     d5_rows = ",\n    ".join(
         f"('D5', 'required column {c} not null', 'fatal', 'market', (SELECT d5_{c} FROM rules), NULL)"
         for c in _REQ)
-    return QUALITY_BODY.format(m=m, s=s, d5=d5, d5_rows=d5_rows)
+    return QUALITY_BODY.format(m=m, s=s, sc=sc, d5=d5, d5_rows=d5_rows)
 
 
-@register("d_quality_report", with_ctes(MARKET_CTE, SKILLS_LABEL_CTE, _quality_sql("market", "skills")))
+@register("d_quality_report", with_ctes(MARKET_CTE, SKILLS_LABEL_CTE, TEST_SCOPE_CTE,
+                                        _quality_sql("market", "skills", "scope_dim")))
 def d_quality_report(spark, sf_dir):
     return quality.quality_report(testmart.market(spark, sf_dir),
-                                  testmart.skills(spark, sf_dir, "label"))
+                                  testmart.skills(spark, sf_dir, "label"),
+                                  testmart.scope(spark, sf_dir))
 
 
 @register("d_quality_report_built", INGEST_SQL.rstrip() + ",\n"
-          + _quality_sql("market_built", "skills_built"))
+          + _quality_sql("market_built", "skills_built", "scope"))
 def d_quality_report_built(spark, sf_dir):
     marts = _marts(spark, sf_dir)
-    return quality.quality_report(marts.market, marts.skills)
+    return quality.quality_report(marts.market, marts.skills, raw.ingest_scope(spark, sf_dir))
 
 
 @register("d14_load_summary", with_ctes(MARKET_CTE, SKILLS_LABEL_CTE, """
