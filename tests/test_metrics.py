@@ -1,7 +1,5 @@
 """Invariants on real measure output (test mart at sf0.01)."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

@@ -5,7 +5,6 @@ import glob
 import os
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from marketlens import schema

@@ -1,7 +1,5 @@
 """Formatting cases (ordinals, money) as Catalyst expressions."""
 
-from pyspark.sql import functions as F
-
 from marketlens.functions.text import money_text, ordinal_text
 
 
