@@ -36,7 +36,7 @@ def register(name: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- Q1 -------
-Q1_SQL = with_ctes(MARKET_CTE, """
+Q1_BODY = """
 scoped AS (SELECT * FROM market WHERE employment >= 100.0),
 growth_fallback AS (
     SELECT soc_code, quantile_cont(supply_growth_3y, 0.5) AS median_growth
@@ -68,7 +68,8 @@ SELECT soc_code, occupation, occupation_group, area_code, metro, state, employme
            (0.5 * scarcity_score + 0.3 * wage_premium_score + 0.2 * growth_score) DESC NULLS FIRST)
            AS BIGINT) AS difficulty_rank
 FROM ranked
-""")
+"""
+Q1_SQL = with_ctes(MARKET_CTE, Q1_BODY)
 
 
 @register("q1_competition_index", Q1_SQL)
@@ -170,7 +171,7 @@ def q4_skill_profile_vectors(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- Q5 -------
-Q5_SQL = with_ctes(MARKET_CTE, """
+Q5_BODY = """
 nat_agg AS (
     SELECT soc_code,
            SUM(employment) AS national_employment,
@@ -209,7 +210,8 @@ SELECT t.soc_code, t.occupation, t.occupation_group, t.area_code, t.metro, t.sta
 FROM market t
 JOIN nat_agg n ON t.soc_code = n.soc_code
 JOIN metro_rank r ON t.soc_code = r.soc_code AND t.area_code = r.area_code
-""")
+"""
+Q5_SQL = with_ctes(MARKET_CTE, Q5_BODY)
 
 
 @register("q5_talent_pool_summary", Q5_SQL)
