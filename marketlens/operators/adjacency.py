@@ -66,7 +66,8 @@ def _blocks(n_vectors: int, block_size: int, parallelism: int) -> int:
     return max(1, min(max(by_size, by_parallelism), max(1, n_vectors)))
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Dense deviations (absent skill = 0) and the 0/1 presence matrix."""
     lengths = pdf["skills"].map(len).to_numpy()
     flat_sk = np.concatenate(pdf["skills"].to_numpy()) if len(pdf) else np.array([])
     flat_dv = (np.concatenate(pdf["devs"].to_numpy()).astype("float64")
@@ -75,14 +76,16 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     rows = np.repeat(np.arange(len(pdf)), lengths)
     m = np.zeros((len(pdf), len(names)))
     m[rows, cols] = flat_dv
-    return m
+    present = np.zeros((len(pdf), len(names)))
+    present[rows, cols] = 1.0
+    return m, present
 
 
 def _pair_group(k: int, spreads: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
         lo, hi = int(pdf["_bi"].iat[0]), int(pdf["_bj"].iat[0])
-        m = _matrix(pdf)
+        m, present = _matrix(pdf)
         socs = pdf["soc_code"].to_numpy().astype(object)
         norms = pdf["norm"].to_numpy().astype("float64")
         blk = pdf["_block"].to_numpy()
@@ -94,13 +97,14 @@ def _pair_group(k: int, spreads: bool):
             if len(t_idx) == 0 or len(c_idx) == 0:
                 continue
             dots = m[t_idx] @ m[c_idx].T
+            shared = (present[t_idx] @ present[c_idx].T) > 0     # pairs meet only on a common skill
             denom = np.outer(norms[t_idx], norms[c_idx])
             with np.errstate(divide="ignore", invalid="ignore"):
                 sims = np.where(denom != 0, dots / denom, np.nan)
             c_socs = socs[c_idx]
             soc_order = np.argsort(c_socs, kind="stable")
             for r, t in enumerate(t_idx):
-                valid = ~np.isnan(sims[r]) & (c_socs != socs[t])
+                valid = ~np.isnan(sims[r]) & shared[r] & (c_socs != socs[t])
                 if spreads:
                     if valid.any():
                         out.append((socs[t], float(np.min(sims[r][valid])),

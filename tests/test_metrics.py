@@ -163,3 +163,12 @@ def test_block_sizes_agree(spark):
     key = ["target_soc", "soc_code"]
     a, b = a.sort_values(key).reset_index(drop=True), b.sort_values(key).reset_index(drop=True)
     assert (a[key] == b[key]).all().all() and np.allclose(a.similarity, b.similarity)
+
+
+def test_adjacency_needs_a_common_skill(spark):
+    rows = [("a", "x", 1.0), ("a", "y", 3.0), ("b", "x", 3.0), ("b", "y", 1.0),
+            ("c", "z", 2.0), ("c", "w", 4.0), ("d", "z", 4.0), ("d", "w", 2.0)]
+    sk = spark.createDataFrame(rows, "soc_code string, skill string, importance double")
+    got = {(r.target_soc, r.soc_code) for r in adjacency.neighbour_candidates(sk, 5).collect()}
+    # a/b share skills x, y; c/d share z, w; no pair crosses the two groups
+    assert got == {("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")}
