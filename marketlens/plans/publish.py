@@ -107,3 +107,32 @@ def ready(spark: SparkSession, base: str) -> bool:
     except LookupError:
         return False
     return not market.isEmpty() and not skills.isEmpty()
+
+
+def publish_tables(market: DataFrame, skills: DataFrame, name: str = "ml",
+                   buckets: int | None = None, scope: DataFrame | None = None,
+                   version: str | None = None) -> str:
+    """Publish both marts as catalog tables bucketed and sorted by ``soc_code``.
+
+    Every measure partitions by the category key, so a bucketed scan already
+    satisfies that distribution: windows and joins on ``soc_code`` over the
+    published tables run without an exchange. Versioned tables are written and
+    validated first; the stable names (``{name}_market``, ``{name}_skills``) are
+    views switched to the new version only afterwards (D12).
+    """
+    spark = market.sparkSession
+    v = version or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    n = buckets or max(1, shuffle_partitions(spark))
+    m_table, s_table = f"{name}_market_v{v}", f"{name}_skills_v{v}"
+    (market.write.bucketBy(n, "soc_code").sortBy("soc_code", "area_code")
+     .mode("errorifexists").saveAsTable(m_table))
+    (skills.write.bucketBy(n, "soc_code").sortBy("soc_code", "skill")
+     .mode("errorifexists").saveAsTable(s_table))
+    fatal = quality.fatal_violations(
+        quality.quality_report(spark.table(m_table), spark.table(s_table), scope)).collect()
+    if fatal:
+        raise PublishError(f"version {v} rejected: {len(fatal)} fatal rule(s) failed; "
+                           "the previous version stays live", fatal)
+    spark.sql(f"CREATE OR REPLACE VIEW {name}_market AS SELECT * FROM {m_table}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name}_skills AS SELECT * FROM {s_table}")
+    return v

@@ -48,3 +48,19 @@ def test_not_ready_without_commit(spark):
 def test_drift(market):
     (r,) = quality.row_count_drift(market.limit(600), market, ["soc_code", "area_code"]).collect()
     assert r.added == 0 and r.removed == market.count() - 600
+
+
+def test_bucketed_tables_need_no_shuffle(spark, market, skills):
+    from marketlens.operators import competition, profile
+    v = publish.publish_tables(market, skills, name="mlb", buckets=4, version="1")
+    m = spark.table("mlb_market")
+    plan = competition.competition_index(m)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan                       # bucketed on soc_code: windows co-located
+    assert competition.competition_index(m).count() == competition.competition_index(market).count()
+    assert spark.table("mlb_skills").count() == skills.count() and v == "1"
+    # a failing version leaves the views on the previous one
+    bad = market.withColumn("wage_p25", F.col("wage_p90") + 1)
+    with pytest.raises(publish.PublishError):
+        publish.publish_tables(bad, skills, name="mlb", buckets=4, version="2")
+    assert spark.table("mlb_market").count() == market.count()
+    assert "mlb_market_v1" in spark.sql("SHOW CREATE TABLE mlb_market").first()[0]
