@@ -10,7 +10,7 @@ with what is asked, not with all place pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens import schema
@@ -100,19 +100,31 @@ def ordered(result: DataFrame) -> DataFrame:
                           "area_code")
 
 
+def viable() -> Column:
+    """A place is a viable alternative when it is cheaper than the baseline and its
+    pool is not Thin."""
+    return (F.col("pool_depth") != "Thin") & (F.col("annual_delta_total") < 0)
+
+
+def viable_alternatives(arbitrage: DataFrame) -> DataFrame:
+    """Scenario rows worth keeping when scenarios are many: the filter runs on the
+    executors before anything is written (SURVEY §4.6)."""
+    return arbitrage.where(viable())
+
+
 # ---------------------------------------------------------------- findings --
 def cheapest_vs_viable(arbitrage: DataFrame) -> DataFrame:
     """per scenario, the cheapest place and the first viable one (not Thin and
     cheaper than the baseline) in delta order, with the outcome class."""
     order_key = F.struct(F.col("annual_delta_total"), F.col("area_code"))
-    viable = (F.col("pool_depth") != "Thin") & (F.col("annual_delta_total") < 0)
+    is_viable = viable()
     pick = F.struct("area_code", "metro", "annual_delta_total", "wage_delta_pct",
                     "employment", "hires_supportable", "pool_depth")
     agg = (arbitrage.where(F.col("annual_delta_total").isNotNull())
            .groupBy(*SCENARIO_KEYS)
            .agg(F.first("baseline_metro").alias("baseline_metro"),
                 F.min_by(pick, order_key).alias("cheapest"),
-                F.min_by(F.when(viable, pick), F.when(viable, order_key)).alias("best_viable")))
+                F.min_by(F.when(is_viable, pick), F.when(is_viable, order_key)).alias("best_viable")))
     outcome = (F.when(F.col("cheapest.annual_delta_total") >= 0, F.lit("none_cheaper"))
                .when(F.col("best_viable").isNull(), F.lit("every_cheaper_thin"))
                .when(F.col("best_viable.area_code") == F.col("cheapest.area_code"),

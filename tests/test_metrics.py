@@ -172,3 +172,10 @@ def test_adjacency_needs_a_common_skill(spark):
     got = {(r.target_soc, r.soc_code) for r in adjacency.neighbour_candidates(sk, 5).collect()}
     # a/b share skills x, y; c/d share z, w; no pair crosses the two groups
     assert got == {("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")}
+
+
+def test_viable_alternatives_filter(arb):
+    v = arbitrage.viable_alternatives(arb).toPandas()
+    assert (v.annual_delta_total < 0).all() and (v.pool_depth != "Thin").all()
+    full = arb.toPandas()
+    assert len(v) == ((full.annual_delta_total < 0) & (full.pool_depth != "Thin")).sum()
