@@ -52,11 +52,18 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``marketlens`` importable by Python workers (pandas UDFs reference it):
-    zip the package once per application and distribute it with ``addPyFile``."""
+    zip the package once per application and distribute it with ``addPyFile``.
+
+    Automatic only for local masters (``spark.marketlens.shipPackage=auto``). On a
+    cluster the package is deployed with the job (``--py-files`` or a wheel);
+    ``spark.marketlens.shipPackage=true`` forces shipping from the driver."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    mode = (spark.conf.get("spark.marketlens.shipPackage", None) or "auto").lower()
+    if mode == "false" or (mode == "auto" and not sc.master.startswith("local")):
+        return
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
