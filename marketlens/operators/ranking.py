@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.session import ensure_checkpoint_dir, shuffle_partitions
+from marketlens.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -76,21 +76,25 @@ def cumulative_before(df: DataFrame, keys: list[str], order: Order,
 
 
 def range_layout(df: DataFrame, keys: list[str], order: Order, weight: str | None = None,
-                 unique: bool = False) -> DataFrame:
+                 unique: bool = False, partitions: int | None = None) -> DataFrame:
     """``(keys, value, _w, _pid)``: the pre-aggregated rows range-partitioned on
     (keys, value) and checkpointed, so a hot key spans many partitions and the
-    partition ids are stable under recomputation."""
+    partition ids are stable under recomputation.
+
+    Without ``partitions`` the range count starts at ``spark.sql.shuffle.partitions``
+    and AQE sizes it by data volume; coalescing only merges neighbouring ranges, so
+    partition ids stay in key/value order."""
     v = order.column
     if unique and weight:
         grouped = df.select(*keys, v, F.col(weight).cast("long").alias("_w"))
     else:
         w = F.sum(weight) if weight else F.count(F.lit(1))
         grouped = df.groupBy(*keys, v).agg(w.cast("long").alias("_w"))
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = max(1, shuffle_partitions(spark))
-    return (grouped
-            .repartitionByRange(parts, *[F.col(k).asc() for k in keys], order.sort())
+    ensure_checkpoint_dir(df.sparkSession)
+    sort = [*[F.col(k).asc() for k in keys], order.sort()]
+    ranged = (grouped.repartitionByRange(partitions, *sort) if partitions
+              else grouped.repartitionByRange(*sort))
+    return (ranged
             .withColumn("_pid", F.spark_partition_id())
             .checkpoint(eager=True))
 

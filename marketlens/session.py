@@ -40,8 +40,16 @@ def build_session(master: str | None = None, app: str = "marketlens",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings every job relies on, applied to any session (ours or the platform's)."""
+    """Settings every job relies on, applied to any session (ours or the platform's).
+
+    In local mode, when the launcher left ``spark.sql.shuffle.partitions`` unset,
+    it is sized to the local cores (the default 200 only adds empty tasks on one
+    machine); a cluster's setting is never touched."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.getConf().contains("spark.sql.shuffle.partitions") \
+            and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(1, sc.defaultParallelism)))
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark

@@ -17,6 +17,9 @@ def spark():
     from marketlens.session import configure
     s = (SparkSession.builder.master("local[4]")
          .config("spark.sql.shuffle.partitions", "8")
+         # keep 8 ranges even for tiny inputs so the distributed rank / percentile
+         # paths always run across several partitions
+         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")

@@ -70,10 +70,10 @@ def test_hot_key_is_split_across_partitions(spark):
     hot = [("H", float(i)) for i in range(9000)]
     cold = [(f"c{k}", float(i)) for k in range(10) for i in range(100)]
     df = spark.createDataFrame(hot + cold, "k string, v double")
-    layout = range_layout(df, ["k"], Order("v", True, False))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layout = range_layout(df, ["k"], Order("v", True, False), partitions=parts)
     per_pid = {r._pid: r.n for r in layout.where("k = 'H'").groupBy("_pid")
                .agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert len(per_pid) >= parts - 1
     assert max(per_pid.values()) <= 2 * 9000 / len(per_pid)
     got = {r.k: r.m for r in percentile_cont_distributed(df, ["k"], "v", {"m": 0.5}).collect()}
