@@ -55,7 +55,7 @@ market AS (
     JOIN region r ON n.n_regionkey = r.r_regionkey
     LEFT JOIN national na ON na.soc_code = po.soc_code
     LEFT JOIN projections pr ON pr.soc_code = po.soc_code
-    WHERE po.employment > 0
+    WHERE po.employment > 0 AND po.wage_p50 IS NOT NULL
 )
 """
 

@@ -170,14 +170,16 @@ def _build_market(spark: SparkSession, sf_dir: str, materialize: bool) -> DataFr
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(soc_code, occupation, occupation_group) for exactly the categories of the
-    market mart (cells with current employment), without computing its wages.
+    market mart (cells with current employment and a priced line), without
+    computing its wages.
     Read from the published mart when this application already materialized it."""
     key = (spark.sparkContext.applicationId, _version(sf_dir))
     if key in _MARTS:
         return _MARTS[key].select("soc_code", "occupation", "occupation_group").distinct()
     facts = market_facts(spark, sf_dir).where("is_current")
-    cells = (facts.groupBy("soc_code", "area_code").agg(F.sum("l_quantity").alias("e"))
-             .where(F.col("e") > 0).select("soc_code").distinct())
+    cells = (facts.groupBy("soc_code", "area_code")
+             .agg(F.sum("l_quantity").alias("e"), F.max("l_extendedprice").alias("p"))
+             .where((F.col("e") > 0) & F.col("p").isNotNull()).select("soc_code").distinct())
     return cells.select(
         "soc_code", F.concat(F.lit("Role "), brand_number().cast("string")).alias("occupation"),
         F.concat(F.lit("Family "), (brand_number() % 5).cast("string")).alias("occupation_group"))
