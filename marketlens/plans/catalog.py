@@ -852,3 +852,59 @@ FROM market WHERE supply_growth_3y <= -0.05
 """))
 def x5_pool_shrink_alerts(spark, sf_dir):
     return usage.pool_shrink_alerts(testmart.market(spark, sf_dir), 0.05)
+
+
+# ---------------------------------------------------------------- lookups / drift --
+REQUESTS_CTE = """
+requests AS (
+    SELECT DISTINCT soc_code, area_code FROM usage_log
+    WHERE soc_code IS NOT NULL AND area_code IS NOT NULL
+)
+"""
+
+
+def _requests(spark, sf_dir):
+    return (testmart.usage_log(spark, sf_dir)
+            .where("soc_code IS NOT NULL AND area_code IS NOT NULL")
+            .select("soc_code", "area_code"))
+
+
+@register("q5g_requested_pools", "WITH " + nest("q5", Q5_SQL) + ",\n" + USAGE_CTE.strip() + ",\n"
+          + REQUESTS_CTE.strip() + """
+SELECT q5.* FROM q5 WHERE (soc_code, area_code) IN (SELECT soc_code, area_code FROM requests)
+""")
+def q5g_requested_pools(spark, sf_dir):
+    summary = pool.talent_pool_summary(testmart.market(spark, sf_dir))
+    return pool.lookup(summary, _requests(spark, sf_dir))[0]
+
+
+@register("q5g_absent_requests", "WITH " + nest("q5", Q5_SQL) + ",\n" + USAGE_CTE.strip() + ",\n"
+          + REQUESTS_CTE.strip() + """
+SELECT r.soc_code, r.area_code FROM requests r
+WHERE NOT EXISTS (SELECT 1 FROM q5 WHERE q5.soc_code = r.soc_code AND q5.area_code = r.area_code)
+""")
+def q5g_absent_requests(spark, sf_dir):
+    summary = pool.talent_pool_summary(testmart.market(spark, sf_dir))
+    return pool.lookup(summary, _requests(spark, sf_dir))[1]
+
+
+@register("q4d_skill_profile_top5", "WITH " + nest("q4", with_ctes(SKILLS_LABEL_CTE, Q4_BODY)) + """
+SELECT * EXCLUDE (rn) FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY importance DESC, skill) AS rn FROM q4)
+WHERE rn <= 5
+""")
+def q4d_skill_profile_top5(spark, sf_dir):
+    return profile.skill_profile(testmart.skills(spark, sf_dir, "label"), top_n=5)
+
+
+@register("d17_vintage_drift", INGEST_SQL.rstrip() + """
+SELECT (SELECT COUNT(*) FROM (SELECT soc_code, area_code FROM cur EXCEPT SELECT soc_code, area_code FROM pri))
+           AS added,
+       (SELECT COUNT(*) FROM (SELECT soc_code, area_code FROM pri EXCEPT SELECT soc_code, area_code FROM cur))
+           AS removed
+""")
+def d17_vintage_drift(spark, sf_dir):
+    cleaned = _marts(spark, sf_dir).steps["deduplicated"]
+    keys = ["soc_code", "area_code"]
+    return quality.row_count_drift(cleaned.where("vintage = 'current'"),
+                                   cleaned.where("vintage = 'prior'"), keys)
