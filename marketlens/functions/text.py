@@ -48,5 +48,6 @@ def plural_text(n, singular: str, plural: str | None = None) -> Column:
 
 
 def percent_text(x, places: int = 0) -> Column:
-    """``{x:.0%}`` equivalent (half-up on the percentage)."""
-    return F.concat(F.format_number(_half_up(_c(x) * 100, places), places), F.lit("%"))
+    """``{x:.0%}`` equivalent: the share times 100, rounded half-to-even on the
+    binary value as Python's format does."""
+    return F.concat(F.format_number(_c(x).cast("double") * 100, places), F.lit("%"))

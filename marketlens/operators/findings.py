@@ -86,5 +86,5 @@ def usage_sentence(headline: DataFrame, days: int) -> DataFrame:
         F.col("total_events") == 0, F.lit("No usage recorded yet.")).otherwise(F.concat(
             F.format_number(F.col("total_events"), 0), F.lit(" views over "), F.lit(str(days)),
             F.lit(" days; "), F.col("top_view"), F.lit(" leads with "),
-            percent_text(F.col("top_view_share")), F.lit(".")))
+            percent_text(F.col("top_view_events") / F.col("total_events")), F.lit(".")))
     )

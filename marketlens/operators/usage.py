@@ -108,6 +108,7 @@ def usage_headline(log: DataFrame, days: int = 30, as_of: str = "2024-01-30") ->
     return agg.select(
         F.coalesce("total_events", F.lit(0)).cast("long").alias("total_events"),
         F.col("_top.view_name").alias("top_view"),
+        F.col("_top.events").alias("top_view_events"),
         F.round(share, 6).alias("top_view_share"),
         ((F.col("views") > 1) & (share > schema.USAGE_CONCENTRATION_SHARE)).alias("concentrated"))
 

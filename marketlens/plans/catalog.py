@@ -620,13 +620,14 @@ top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY events DESC, view_n
         WHERE rn = 1),
 h AS (
     SELECT CAST(COALESCE(t.total_events, 0) AS BIGINT) AS total_events, top.view_name AS top_view,
+           top.events AS top_view_events,
            ROUND(top.events / NULLIF(t.total_events, 0), 6) AS top_view_share,
            t.views > 1 AND top.events / NULLIF(t.total_events, 0) > 0.6 AS concentrated
     FROM t CROSS JOIN top
 )
 SELECT *, CASE WHEN total_events = 0 THEN 'No usage recorded yet.'
     ELSE format('{:,}', total_events) || ' views over 30 days; ' || top_view || ' leads with '
-         || format('{:,.0f}', CAST(ROUND(CAST(top_view_share * 100 AS DECIMAL(38,10)), 0) AS DOUBLE))
+         || format('{:,.0f}', CAST(top_view_events AS DOUBLE) / total_events * 100)
          || '%.' END AS finding
 FROM h
 """)

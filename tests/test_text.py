@@ -15,3 +15,11 @@ def test_money(spark):
     df = spark.createDataFrame([(v,) for v in vs], "v double")
     got = [r[0] for r in df.select(money_text("v")).collect()]
     assert got == ["$500", "$13k", "$14k", "$1.5M", "$-2.4M"]
+
+
+def test_percent_rounds_like_python_format(spark):
+    from marketlens.functions.text import percent_text
+    vals = [0.125, 0.705, 0.015, 0.7, 1 / 3, 0.995]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(percent_text("v")).collect()]
+    assert got == [f"{v:.0%}" for v in vals]
