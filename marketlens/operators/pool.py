@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schema
 from marketlens.functions.columns import nullif_zero, safe_div
-from marketlens.functions.text import ordinal_text
+from marketlens.functions.text import ordinal_text, percent_text
 
 OUTPUT_COLUMNS = [
     "soc_code", "occupation", "occupation_group", "area_code", "metro", "state",
@@ -76,7 +76,38 @@ def available_metros(market: DataFrame, per_category: bool = True) -> DataFrame:
 
 # ---------------------------------------------------------------- findings --
 def pool_fact_sheet(summary: DataFrame) -> DataFrame:
-    """F2 + F12: direction words and bands that agree with the numbers' signs."""
+    """F2 + F12: direction words and bands that agree with the numbers' signs, and
+    a one-paragraph finding built from them."""
+    words = _fact_words(summary)
+    s = summary.alias("s")
+    conc = F.col("s.concentration_ratio")
+    pay = F.when(F.col("s.wage_premium").isNull(),
+                 F.lit(" No national median to compare pay with.")).otherwise(F.concat(
+                     F.lit(" Median pay $"), F.format_number("s.wage_p50", 0), F.lit(", "),
+                     percent_text(F.abs(F.col("s.wage_premium"))), F.lit(" "),
+                     F.col("w.pay_direction"), F.lit(" the national median.")))
+    band = (F.when(F.col("w.concentration_band") == "specialist",
+                   F.concat(F.lit(" A specialist market ("), F.format_number(conc, 1),
+                            F.lit("x the average concentration).")))
+            .when(F.col("w.concentration_band") == "under-represented",
+                  F.concat(F.lit(" Under-represented here ("), F.format_number(conc, 1),
+                           F.lit("x the average concentration).")))
+            .otherwise(F.lit("")))
+    growth = (F.when(F.col("w.growth_direction") == "unavailable",
+                     F.lit(" Three-year growth is unavailable (prior estimate suppressed)."))
+              .otherwise(F.concat(F.lit(" The pool "), F.col("w.growth_direction"), F.lit(" "),
+                                  percent_text(F.abs(F.col("s.supply_growth_3y"))),
+                                  F.lit(" over three years."))))
+    text = F.concat(F.col("s.metro"), F.lit(": "), F.format_number("s.employment", 0),
+                    F.lit(" employed, the "), F.col("w.size_position"), F.lit(" ("),
+                    percent_text(F.col("s.share_of_national_pool"), 1),
+                    F.lit(" of the national pool)."), pay, band, growth)
+    return (words.alias("w").join(s, ["soc_code", "area_code"])
+            .select("soc_code", "area_code", "w.pay_direction", "w.concentration_band",
+                    "w.growth_direction", "w.rank_note", "w.size_position", text.alias("finding")))
+
+
+def _fact_words(summary: DataFrame) -> DataFrame:
     conc = F.col("concentration_ratio")
     return summary.select(
         "soc_code", "area_code",

@@ -482,19 +482,40 @@ def f11_top_markets(spark, sf_dir):
     return findings.top_markets(_q1_index(spark, sf_dir), 15)
 
 
-@register("f2_pool_fact_sheet", "WITH " + nest("q5", Q5_SQL) + f"""
-SELECT soc_code, area_code,
-       CASE WHEN wage_premium >= 0 THEN 'above' ELSE 'below' END AS pay_direction,
-       CASE WHEN concentration_ratio >= 1.25 THEN 'specialist'
-            WHEN concentration_ratio <= 0.75 THEN 'under-represented'
-            ELSE 'typical' END AS concentration_band,
-       CASE WHEN growth_unavailable THEN 'unavailable'
-            WHEN supply_growth_3y >= 0 THEN 'grew' ELSE 'shrank' END AS growth_direction,
-       CASE WHEN rank_by_size = 1 THEN 'largest'
-            WHEN rank_by_size = metros_total THEN 'smallest' ELSE 'ranked' END AS rank_note,
-       {ORDINAL_SQL.format(n="rank_by_size")} || ' largest of ' || CAST(metros_total AS VARCHAR)
-           AS size_position
-FROM q5
+@register("f2_pool_fact_sheet", "WITH " + nest("q5", Q5_SQL) + f""",
+w AS (
+    SELECT soc_code, area_code,
+           CASE WHEN wage_premium >= 0 THEN 'above' ELSE 'below' END AS pay_direction,
+           CASE WHEN concentration_ratio >= 1.25 THEN 'specialist'
+                WHEN concentration_ratio <= 0.75 THEN 'under-represented'
+                ELSE 'typical' END AS concentration_band,
+           CASE WHEN growth_unavailable THEN 'unavailable'
+                WHEN supply_growth_3y >= 0 THEN 'grew' ELSE 'shrank' END AS growth_direction,
+           CASE WHEN rank_by_size = 1 THEN 'largest'
+                WHEN rank_by_size = metros_total THEN 'smallest' ELSE 'ranked' END AS rank_note,
+           {ORDINAL_SQL.format(n="rank_by_size")} || ' largest of ' || CAST(metros_total AS VARCHAR)
+               AS size_position
+    FROM q5
+)
+SELECT w.*,
+       q5.metro || ': ' || format('{{:,.0f}}', q5.employment) || ' employed, the ' || w.size_position
+       || ' (' || format('{{:,.1f}}', q5.share_of_national_pool * 100) || '% of the national pool).'
+       || CASE WHEN q5.wage_premium IS NULL THEN ' No national median to compare pay with.'
+               ELSE ' Median pay $' || format('{{:,.0f}}', q5.wage_p50) || ', '
+                    || format('{{:,.0f}}', ABS(q5.wage_premium) * 100) || '% ' || w.pay_direction
+                    || ' the national median.' END
+       || CASE w.concentration_band
+              WHEN 'specialist' THEN ' A specialist market ('
+                   || format('{{:,.1f}}', q5.concentration_ratio) || 'x the average concentration).'
+              WHEN 'under-represented' THEN ' Under-represented here ('
+                   || format('{{:,.1f}}', q5.concentration_ratio) || 'x the average concentration).'
+              ELSE '' END
+       || CASE w.growth_direction
+              WHEN 'unavailable' THEN ' Three-year growth is unavailable (prior estimate suppressed).'
+              ELSE ' The pool ' || w.growth_direction || ' '
+                   || format('{{:,.0f}}', ABS(q5.supply_growth_3y) * 100) || '% over three years.' END
+           AS finding
+FROM w JOIN q5 ON w.soc_code = q5.soc_code AND w.area_code = q5.area_code
 """)
 def f2_pool_fact_sheet(spark, sf_dir):
     return pool.pool_fact_sheet(pool.talent_pool_summary(testmart.market(spark, sf_dir)))

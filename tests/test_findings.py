@@ -57,6 +57,7 @@ def test_no_null_text(market, skills, usage_log):
         usage.usage_headline(usage_log, 30, "2024-01-30"), 30).collect())
     _no_leaks(r.distinctive_skills for r in profile.distinctive_skills(
         profile.skill_profile(skills)).collect())
+    _no_leaks(r.finding for r in pool.pool_fact_sheet(pool.talent_pool_summary(market)).collect())
 
 
 def test_adjacency_bench_outcomes(skills):
