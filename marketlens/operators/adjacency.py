@@ -203,7 +203,7 @@ def adjacency_bench(adjacency: DataFrame) -> DataFrame:
         F.count_if(strong).alias("strong_neighbours"))
     first3 = F.array_join(F.slice(F.split(F.coalesce(F.col("_n.shared_strengths"), F.lit("")),
                                           ", "), 1, 3), ", ")
-    return agg.select(
+    out = agg.select(
         "target_soc", F.col("_n.soc_code").alias("nearest_soc"),
         F.col("_n.similarity").alias("nearest_similarity"),
         F.when(F.length(first3) > 0, first3).alias("nearest_shared"),
@@ -211,3 +211,14 @@ def adjacency_bench(adjacency: DataFrame) -> DataFrame:
         F.when(F.col("strong_neighbours") > 1, F.lit("bench"))
         .when(F.col("_n.similarity") < schema.STRONG_ADJACENCY, F.lit("specialised"))
         .otherwise(F.lit("single")).alias("outcome"))
+    shared = F.when(F.col("nearest_shared").isNotNull(),
+                    F.concat(F.lit(", sharing strength in "), F.col("nearest_shared"))).otherwise(F.lit(""))
+    tail = (F.when(F.col("outcome") == "bench",
+                   F.concat(F.lit(" "), F.col("strong_neighbours").cast("string"),
+                            F.lit(" listed neighbours reach 0.40: a real adjacent bench.")))
+            .when(F.col("outcome") == "specialised",
+                  F.lit(" None reaches 0.40: a specialised profile."))
+            .otherwise(F.lit("")))
+    return out.withColumn("finding", F.concat(
+        F.lit("Closest: "), F.col("nearest_soc"), F.lit(" (similarity "),
+        F.format_number("nearest_similarity", 2), F.lit(")"), shared, F.lit("."), tail))

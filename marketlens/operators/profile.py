@@ -51,10 +51,13 @@ def distinctive_skills(profile: DataFrame, n: int = 3) -> DataFrame:
     raw = profile.groupBy("soc_code").agg(
         F.min_by(F.struct("skill", "importance"),
                  F.struct(-F.col("importance"), F.col("skill"))).alias("_top"))
-    return (listed.join(raw, "soc_code")
-            .select("soc_code", "distinctive_skills",
-                    F.col("_top.skill").alias("top_raw_skill"),
-                    F.col("_top.importance").alias("top_raw_importance")))
+    out = (listed.join(raw, "soc_code")
+           .select("soc_code", "distinctive_skills",
+                   F.col("_top.skill").alias("top_raw_skill"),
+                   F.col("_top.importance").alias("top_raw_importance")))
+    return out.withColumn("finding", F.concat(
+        F.lit("Most distinctive: "), F.col("distinctive_skills"), F.lit(". Top raw skill: "),
+        F.col("top_raw_skill"), F.lit(" ("), F.format_number("top_raw_importance", 1), F.lit(" / 5).")))
 
 
 def largest_deviations(profile: DataFrame, n: int = 14) -> DataFrame:

@@ -590,7 +590,9 @@ d AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY distinctive DE
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY soc_code ORDER BY importance DESC, skill) AS rn FROM q4),
 l AS (SELECT soc_code, string_agg(skill, ', ' ORDER BY rn) AS distinctive_skills FROM d WHERE rn <= 3
       GROUP BY soc_code)
-SELECT l.soc_code, l.distinctive_skills, r.skill AS top_raw_skill, r.importance AS top_raw_importance
+SELECT l.soc_code, l.distinctive_skills, r.skill AS top_raw_skill, r.importance AS top_raw_importance,
+       'Most distinctive: ' || l.distinctive_skills || '. Top raw skill: ' || r.skill || ' ('
+       || format('{:,.1f}', r.importance) || ' / 5).' AS finding
 FROM l JOIN r ON l.soc_code = r.soc_code AND r.rn = 1
 """)
 def f4_distinctive_skills(spark, sf_dir):
@@ -615,14 +617,24 @@ Q3_SQL = with_ctes(MARKET_CTE, LABELS_CTE, SKILLS_LABEL_CTE, CENTERED_CTE, PAIRS
 n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_soc ORDER BY similarity DESC, soc_code) AS rn
       FROM q3),
 s AS (SELECT target_soc, COUNT(*) FILTER (WHERE similarity >= 0.4) AS strong_neighbours
-      FROM q3 GROUP BY target_soc)
-SELECT n.target_soc, n.soc_code AS nearest_soc, n.similarity AS nearest_similarity,
-       NULLIF(array_to_string(string_split(COALESCE(n.shared_strengths, ''), ', ')[1:3], ', '), '')
-           AS nearest_shared,
-       s.strong_neighbours,
-       CASE WHEN s.strong_neighbours > 1 THEN 'bench'
-            WHEN n.similarity < 0.4 THEN 'specialised' ELSE 'single' END AS outcome
-FROM n JOIN s ON n.target_soc = s.target_soc WHERE n.rn = 1
+      FROM q3 GROUP BY target_soc),
+o AS (
+    SELECT n.target_soc, n.soc_code AS nearest_soc, n.similarity AS nearest_similarity,
+           NULLIF(array_to_string(string_split(COALESCE(n.shared_strengths, ''), ', ')[1:3], ', '), '')
+               AS nearest_shared,
+           s.strong_neighbours,
+           CASE WHEN s.strong_neighbours > 1 THEN 'bench'
+                WHEN n.similarity < 0.4 THEN 'specialised' ELSE 'single' END AS outcome
+    FROM n JOIN s ON n.target_soc = s.target_soc WHERE n.rn = 1
+)
+SELECT *, 'Closest: ' || nearest_soc || ' (similarity ' || format('{:,.2f}', nearest_similarity) || ')'
+       || CASE WHEN nearest_shared IS NOT NULL THEN ', sharing strength in ' || nearest_shared ELSE '' END
+       || '.'
+       || CASE outcome WHEN 'bench' THEN ' ' || CAST(strong_neighbours AS VARCHAR)
+                                         || ' listed neighbours reach 0.40: a real adjacent bench.'
+                       WHEN 'specialised' THEN ' None reaches 0.40: a specialised profile.'
+                       ELSE '' END AS finding
+FROM o
 """)
 def f5_adjacency_bench(spark, sf_dir):
     return adjacency.adjacency_bench(q3_skill_adjacency(spark, sf_dir))

@@ -58,6 +58,9 @@ def test_no_null_text(market, skills, usage_log):
     _no_leaks(r.distinctive_skills for r in profile.distinctive_skills(
         profile.skill_profile(skills)).collect())
     _no_leaks(r.finding for r in pool.pool_fact_sheet(pool.talent_pool_summary(market)).collect())
+    _no_leaks(r.finding for r in profile.distinctive_skills(profile.skill_profile(skills)).collect())
+    _no_leaks(r.finding for r in adjacency.adjacency_bench(
+        adjacency.skill_adjacency(skills, limit=8)).collect())
 
 
 def test_adjacency_bench_outcomes(skills):
