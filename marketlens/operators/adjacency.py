@@ -217,7 +217,7 @@ def adjacency_bench(adjacency: DataFrame) -> DataFrame:
                    F.concat(F.lit(" "), F.col("strong_neighbours").cast("string"),
                             F.lit(" listed neighbours reach 0.40: a real adjacent bench.")))
             .when(F.col("outcome") == "specialised",
-                  F.lit(" None reaches 0.40: a specialised profile."))
+                  F.lit(" No neighbour reaches 0.40: a specialised profile."))
             .otherwise(F.lit("")))
     return out.withColumn("finding", F.concat(
         F.lit("Closest: "), F.col("nearest_soc"), F.lit(" (similarity "),

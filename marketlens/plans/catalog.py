@@ -632,7 +632,7 @@ SELECT *, 'Closest: ' || nearest_soc || ' (similarity ' || format('{:,.2f}', nea
        || '.'
        || CASE outcome WHEN 'bench' THEN ' ' || CAST(strong_neighbours AS VARCHAR)
                                          || ' listed neighbours reach 0.40: a real adjacent bench.'
-                       WHEN 'specialised' THEN ' None reaches 0.40: a specialised profile.'
+                       WHEN 'specialised' THEN ' No neighbour reaches 0.40: a specialised profile.'
                        ELSE '' END AS finding
 FROM o
 """)
