@@ -87,9 +87,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, creating a private one only if unset.
+    """Return the reliable checkpoint folder.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that setting wins.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; that setting wins
+    and is required there. Only a local session without it gets a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -98,7 +99,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="marketlens-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared, cluster-visible folder: "
+                               "marketlens cuts lineage with reliable checkpoints")
+        configured = tempfile.mkdtemp(prefix="marketlens-ckpt-")   # local runs and tests only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
