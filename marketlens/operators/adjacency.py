@@ -60,10 +60,17 @@ def vectors(dev: DataFrame) -> DataFrame:
                     F.col("_v.deviation").alias("devs"), "norm")
 
 
+MIN_BLOCK = 256      # below this many vectors a block product is all overhead
+
+
 def _blocks(n_vectors: int, block_size: int, parallelism: int) -> int:
+    """Blocks ``B``: enough that no block exceeds ``block_size`` vectors (memory
+    bound), up to ``sqrt(2 * parallelism)`` for parallelism (B(B+1)/2 groups), but
+    not so many that blocks fall below ``MIN_BLOCK`` vectors."""
     by_size = math.ceil(n_vectors / max(1, block_size))
-    by_parallelism = math.ceil(math.sqrt(2 * max(1, parallelism)))
-    return max(1, min(max(by_size, by_parallelism), max(1, n_vectors)))
+    by_parallelism = min(math.ceil(math.sqrt(2 * max(1, parallelism))),
+                         max(1, math.ceil(n_vectors / MIN_BLOCK)))
+    return max(1, by_size, by_parallelism)
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
