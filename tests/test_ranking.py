@@ -78,3 +78,26 @@ def test_hot_key_is_split_across_partitions(spark):
     assert max(per_pid.values()) <= 2 * 9000 / len(per_pid)
     got = {r.k: r.m for r in percentile_cont_distributed(df, ["k"], "v", {"m": 0.5}).collect()}
     assert got["H"] == 4499.5 and got["c3"] == 49.5
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rows = st.lists(
+    st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]),
+              st.one_of(st.none(), st.integers(-5, 5).map(float))),
+    min_size=1, max_size=60)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=_rows, p=st.sampled_from([0.0, 0.1, 0.5, 0.9, 1.0]))
+def test_property_percentile_and_rank(spark, rows, p):
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(rows)],
+                               "id long, k string, v double")
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.percentile("v", p).alias("m")).collect()}
+    got = {r.k: r.m for r in percentile_cont_distributed(df, ["k"], "v", {"m": p}).collect()}
+    assert {k: m for k, m in want.items() if m is not None} == pytest.approx(got)
+    order = Order("v", False, True)
+    w = {r.id: r.pr for r in df.select("id", percent_rank_window(["k"], order).alias("pr")).collect()}
+    d = {r.id: r.pr for r in percent_rank_distributed(df, ["k"], order, "pr").select("id", "pr").collect()}
+    assert d == pytest.approx(w)
