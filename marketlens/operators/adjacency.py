@@ -229,3 +229,39 @@ def adjacency_bench(adjacency: DataFrame) -> DataFrame:
     return out.withColumn("finding", F.concat(
         F.lit("Closest: "), F.col("nearest_soc"), F.lit(" (similarity "),
         F.format_number("nearest_similarity", 2), F.lit(")"), shared, F.lit("."), tail))
+
+
+def neighbours_of(skills: DataFrame, soc_code: str, limit: int = 8, centered: bool = True,
+                  labels: DataFrame | None = None) -> DataFrame:
+    """Q3 for one target: its K-row vector is joined to every other vector on
+    ``skill`` and summed per candidate (work linear in categories x skills; the
+    target side is one category's skills). Same result as the all-target form
+    filtered to ``soc_code``."""
+    if limit < 1:
+        raise ValueError(f"limit must be at least 1, got {limit}")
+    dev = centred(skills, centered)
+    norms = dev.groupBy("soc_code").agg(
+        F.sqrt(F.sum(F.col("deviation") * F.col("deviation"))).alias("norm"))
+    t = dev.where(F.col("soc_code") == soc_code).select("skill", F.col("deviation").alias("t_dev"))
+    c = dev.where(F.col("soc_code") != soc_code).select(
+        "soc_code", "skill", F.col("deviation").alias("c_dev"))
+    both = "c_dev > 0 AND t_dev > 0"
+    pairs = (c.join(t, "skill").groupBy("soc_code").agg(
+        F.sum(F.col("c_dev") * F.col("t_dev")).alias("dot_product"),
+        F.count_if(F.expr(both)).alias("shared_strength_count"),
+        F.expr(f"listagg(CASE WHEN {both} THEN skill END, ', ') "
+               "WITHIN GROUP (ORDER BY least(c_dev, t_dev) DESC, skill)").alias("shared_strengths")))
+    t_norm = norms.where(F.col("soc_code") == soc_code).select("norm").scalar()   # one value
+    denom = F.col("norm") * t_norm
+    scored = (pairs.join(norms, "soc_code")
+              .withColumn("similarity", F.col("dot_product") / F.when(denom != 0, denom))
+              .where(F.col("similarity").isNotNull()))
+    out = (scored.orderBy(F.col("similarity").desc(), "soc_code").limit(limit)
+           .select(F.lit(soc_code).alias("target_soc"), "soc_code",
+                   F.round("dot_product", SIM_ROUND).alias("dot_product"),
+                   F.round("similarity", SIM_ROUND).alias("similarity"),
+                   "shared_strength_count", "shared_strengths"))
+    if labels is not None:
+        out = out.join(labels.select("soc_code", "occupation", "occupation_group"),
+                       "soc_code", "left")
+    return out

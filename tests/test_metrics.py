@@ -179,3 +179,16 @@ def test_viable_alternatives_filter(arb):
     assert (v.annual_delta_total < 0).all() and (v.pool_depth != "Thin").all()
     full = arb.toPandas()
     assert len(v) == ((full.annual_delta_total < 0) & (full.pool_depth != "Thin")).sum()
+
+
+@pytest.mark.parametrize("target", ["Brand#1", "Brand#6"])
+def test_single_target_equals_all_targets(skills, target):
+    one = adjacency.neighbours_of(skills, target, 5).toPandas()
+    all_ = adjacency.skill_adjacency(skills, 5).toPandas()
+    all_ = all_[all_.target_soc == target]
+    cols = ["soc_code", "similarity", "shared_strength_count", "shared_strengths"]
+    a = one[cols].sort_values("soc_code").reset_index(drop=True)
+    b = all_[cols].sort_values("soc_code").reset_index(drop=True)
+    assert list(a.soc_code) == list(b.soc_code)
+    assert np.allclose(a.similarity, b.similarity, atol=1e-8)
+    assert list(a.shared_strengths) == list(b.shared_strengths)
