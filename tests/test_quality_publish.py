@@ -64,3 +64,17 @@ def test_bucketed_tables_need_no_shuffle(spark, market, skills):
         publish.publish_tables(bad, skills, name="mlb", buckets=4, version="2")
     assert spark.table("mlb_market").count() == market.count()
     assert "mlb_market_v1" in spark.sql("SHOW CREATE TABLE mlb_market").first()[0]
+
+
+def test_crash_mid_publish_leaves_previous_version(spark, market, skills):
+    base = tempfile.mkdtemp(prefix="ml-crash-")
+    publish.publish(market, skills, base, version="v1")
+    # the skills write fails while executing (after the market table was written)
+    broken = skills.withColumn("importance", F.when(F.col("skill") == "skill_63",
+                                                    F.raise_error(F.lit("disk gone")))
+                               .otherwise(F.col("importance")))
+    with pytest.raises(Exception):
+        publish.publish(market, broken, base, version="v2")
+    assert publish.latest_version(spark, base) == "v1"
+    m, s = publish.read_published(spark, base)
+    assert m.count() == market.count() and s.count() == skills.count()
