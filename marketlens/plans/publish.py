@@ -133,6 +133,8 @@ def publish_tables(market: DataFrame, skills: DataFrame, name: str = "ml",
     if fatal:
         raise PublishError(f"version {v} rejected: {len(fatal)} fatal rule(s) failed; "
                            "the previous version stays live", fatal)
+    analyze(spark, m_table)                      # D13: statistics for the optimizer
+    analyze(spark, s_table)
     spark.sql(f"CREATE OR REPLACE VIEW {name}_market AS SELECT * FROM {m_table}")
     spark.sql(f"CREATE OR REPLACE VIEW {name}_skills AS SELECT * FROM {s_table}")
     return v

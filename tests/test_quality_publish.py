@@ -58,6 +58,8 @@ def test_bucketed_tables_need_no_shuffle(spark, market, skills):
     assert "Exchange" not in plan                       # bucketed on soc_code: windows co-located
     assert competition.competition_index(m).count() == competition.competition_index(market).count()
     assert spark.table("mlb_skills").count() == skills.count() and v == "1"
+    stats = spark.sql("DESCRIBE TABLE EXTENDED mlb_market_v1").where("col_name = 'Statistics'").collect()
+    assert stats and "rows" in stats[0].data_type                # analyzed on publish (D13)
     # a failing version leaves the views on the previous one
     bad = market.withColumn("wage_p25", F.col("wage_p90") + 1)
     with pytest.raises(publish.PublishError):
