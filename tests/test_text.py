@@ -23,3 +23,32 @@ def test_percent_rounds_like_python_format(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(percent_text("v")).collect()]
     assert got == [f"{v:.0%}" for v in vals]
+
+
+from decimal import ROUND_HALF_UP, Decimal  # noqa: E402
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _money_rule(v: float) -> str:
+    """The documented rule, stated independently: half away from zero on the
+    decimal value, millions to one place, thousands from 10,000, else dollars."""
+    def r(x, places):
+        return Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP)
+    if abs(v) >= 1_000_000:
+        return f"${r(v / 1_000_000, 1):,.1f}M"
+    if abs(v) >= 10_000:
+        return f"${r(v / 1_000, 0):,.0f}k"
+    return f"${r(v, 0):,.0f}"
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.integers(-5_000_000, 5_000_000).map(lambda i: i / 2.0),
+                          st.sampled_from([12_500.0, 13_500.0, 1_250_000.0, -2_450_000.0, 9_999.5])),
+                min_size=1, max_size=20))
+def test_money_matches_rule(spark, values):
+    from marketlens.functions.text import money_text
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(money_text("v")).collect()]
+    assert got == [_money_rule(v) for v in values]
