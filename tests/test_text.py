@@ -52,3 +52,16 @@ def test_money_matches_rule(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.select(money_text("v")).collect()]
     assert got == [_money_rule(v) for v in values]
+
+
+def _ordinal_rule(n: int) -> str:
+    last_two, last = n % 100, n % 10
+    suffix = "th" if 10 <= last_two <= 20 else {1: "st", 2: "nd", 3: "rd"}.get(last, "th")
+    return f"{n}{suffix}"
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(1, 100_000), min_size=1, max_size=30))
+def test_ordinal_matches_rule(spark, ns):
+    df = spark.createDataFrame([(n,) for n in ns], "n long")
+    assert [r[0] for r in df.select(ordinal_text("n")).collect()] == [_ordinal_rule(n) for n in ns]
