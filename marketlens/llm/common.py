@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.session import ensure_checkpoint_dir
+from marketlens.session import configure, ensure_checkpoint_dir
 
 #: Rows of one Arrow batch; small enough that a batch of very long texts fits in a Python worker.
 BATCH_ROWS = 256
@@ -20,7 +20,7 @@ BLOCK_BYTES = 1 << 21
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the operators of this subpackage count on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    ensure_checkpoint_dir(spark)
+    configure(spark)
     return spark
 
 

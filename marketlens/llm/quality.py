@@ -19,7 +19,7 @@ BUCKETS = 1 << 14
 #: Added to each bucket's count, in counts per million features.
 SMOOTH = 1.0
 #: A document whose mean log-likelihood ratio per feature is below this is rejected.
-THRESHOLD = -0.5
+THRESHOLD = -0.1
 MIN_WORDS = 50
 #: Bits of a packed long that hold a window's place; longer texts take a slower exact form.
 _PLACE = 20
