@@ -17,9 +17,9 @@ BATCH_ROWS = 256
 BLOCK_BYTES = 1 << 21
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
     """Session settings that the operators of this subpackage count on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     configure(spark)
     return spark
 

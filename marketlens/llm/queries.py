@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, decontam, mixing, pii, quality, simhash, urls
-from marketlens.llm.common import prepare
+from marketlens.llm import chat, debruijn, decontam, mixing, pii, quality, simhash, urls
+from marketlens.llm.common import BATCH_ROWS, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,10 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, rows: int = BATCH_ROWS):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
+            prepare(spark, rows)
             return fn(lambda t: _read(spark, sf_dir, t))
         run.__name__ = name
         QUERIES[name] = run
@@ -50,6 +50,28 @@ def op3(read):
     return decontam.leaks(read("documents"), read("benchmark"))
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')"
+
+
+@register("op4_substring_dedup", rf"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+edges AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS e FROM starts),
+twice AS (SELECT e FROM edges GROUP BY e HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM edges WHERE e IN (SELECT e FROM twice)),
+lost AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+words AS (SELECT d.doc_id, len(w) AS n, coalesce(len(g), 0) AS r,
+                 CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
+                      lambda x: NOT list_contains(g, x[2])), lambda x: x[1]) END AS k,
+                 list_sort(coalesce(g, [])) AS s FROM docs d LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed,
+       len(list_filter(s, lambda x, j: j = 1 OR s[j - 1] <> x - 1))::BIGINT AS n_spans,
+       sha256(array_to_string(k, ' ')) AS kept_sha256 FROM words
+""", rows=16)
+def op4(read):
+    return debruijn.repeated_spans(read("documents"))
+
+
 @register("op6_personal_data")
 def op6(read):
     return pii.annotate(read("documents"))
