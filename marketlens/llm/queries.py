@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, debruijn, decontam, mixing, pii, quality, simhash, urls
+from marketlens.llm import brown, chat, debruijn, decontam, mixing, pii, quality, simhash, urls
 from marketlens.llm.common import BATCH_ROWS, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op4(read):
     return debruijn.repeated_spans(read("documents"))
 
 
+@register("op5_class_ngrams", rows=16)
+def op5(read):
+    return brown.score(read("documents"))
+
+
 @register("op6_personal_data")
 def op6(read):
     return pii.annotate(read("documents"))
