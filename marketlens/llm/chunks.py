@@ -67,12 +67,18 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> flat.U(40)) * flat.U(n) >> flat.U(24)).astype(np.int64)
 
 
-def pack(x: np.ndarray, width: int = 7) -> bytes:
-    """The low ``width`` bytes of each value."""
+def pack(x, width: int = 7) -> bytes:
+    """The low ``width`` bytes of each value; width 0: byte strings, their lengths first."""
+    if not width:
+        return len(x).to_bytes(8, "little") + pack(np.array([len(t) for t in x], np.uint64), 4) + b"".join(x)
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def unpack(b: bytes, width: int = 7) -> np.ndarray:
+def unpack(b: bytes, width: int = 7):
+    if not width:
+        n = int.from_bytes(b[:8], "little")
+        ends = 8 + 4 * n + np.cumsum(unpack(b[8:8 + 4 * n], 4).astype(np.int64))
+        return [b[x:z] for x, z in zip([8 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
     out = np.zeros((len(b) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
@@ -94,7 +100,7 @@ def ask(rows: DataFrame, n: int, question: Callable, answer: Callable, widths: d
                 found = [i for i in range(n) if cut[i] < cut[i + 1]]
                 cols = [pa.array(found, pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64())]
                 for f in names:
-                    v = fields[f][order]
+                    v = fields[f][order] if widths[f] else [fields[f][i] for i in order]
                     cols.append(pa.array([zstandard.compress(pack(v[cut[i]:cut[i + 1]], widths[f]), 1) for i in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", *names])
 
@@ -104,7 +110,7 @@ def ask(rows: DataFrame, n: int, question: Callable, answer: Callable, widths: d
         for f in names:
             parts = [unpack(opener.decompress(x), widths[f]) for x in t.column(f).to_pylist()]
             sizes = [len(p) for p in parts]
-            fields[f] = np.concatenate(parts)
+            fields[f] = np.concatenate(parts) if widths[f] else [x for p in parts for x in p]
         out = answer(fields)
         ends = np.cumsum(sizes)
         cols = [t.column("bucket").combine_chunks(), t.column("chunk").combine_chunks()]
@@ -121,13 +127,16 @@ def ask(rows: DataFrame, n: int, question: Callable, answer: Callable, widths: d
 def replied(answers: list, h: np.ndarray, n: int, reply: str, width: int) -> np.ndarray:
     """A chunk's answers in the order of its hashes ``h``."""
     opener = zstandard.ZstdDecompressor()
-    out = np.zeros(len(h), np.uint64)
+    out = np.zeros(len(h), np.uint64) if width else np.empty(len(h), object)
     at = bucket_of(h, n)
     order = np.argsort(at, kind="stable")
     cut = np.searchsorted(at[order], np.arange(n + 1))
     for a in answers or ():
         i = a["bucket"]
-        out[order[cut[i]:cut[i + 1]]] = unpack(opener.decompress(a[reply]), width)
+        got = unpack(opener.decompress(a[reply]), width)
+        if not width:
+            got = np.fromiter(got, object, len(got))
+        out[order[cut[i]:cut[i + 1]]] = got
     return out
 
 

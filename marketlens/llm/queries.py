@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import brown, chat, debruijn, decontam, mixing, pii, quality, simhash, urls
+from marketlens.llm import brown, chat, debruijn, decontam, lyndon, mixing, pii, quality, simhash, urls
 from marketlens.llm.common import BATCH_ROWS, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,29 @@ def _escaped(x: str) -> str:
             f"len(regexp_extract_all({x}, '<\\||</?s>|\\[/?INST\\]')))")
 
 
+@register("op8_suffix_dedup", """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM docs WHERE length(h) >= 100),
+strings AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS s FROM starts),
+least AS (SELECT s, min(doc_id) AS m FROM strings GROUP BY s),
+hits AS (SELECT doc_id, i FROM strings JOIN least USING (s) WHERE m < doc_id),
+edge AS (SELECT *, lag(i) OVER w AS p, lead(i) OVER w AS q FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+heads AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edge WHERE p IS NULL OR i - p > 50),
+tails AS (SELECT doc_id, i + 50 AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edge WHERE q IS NULL OR q - i > 50),
+runs AS (SELECT heads.doc_id, i, e, lag(e, 1, 0) OVER (PARTITION BY heads.doc_id ORDER BY i) AS before
+         FROM heads JOIN tails ON heads.doc_id = tails.doc_id AND heads.k = tails.k),
+kept AS (SELECT r.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (i - before)), '' ORDER BY i) AS t,
+                max(e) AS e, sum(r.e - r.i) AS removed, count(*) AS spans
+         FROM runs r JOIN docs ON docs.doc_id = r.doc_id GROUP BY r.doc_id)
+SELECT docs.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+       coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN t IS NULL THEN h ELSE t || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id
+""", rows=16)
+def op8(read):
+    return lyndon.repeated_bytes(read("documents"))
+
+
 @register("op9_chat_formatting", f"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
