@@ -3,8 +3,8 @@ are classed by the size of their count; class transitions and word emissions sco
 
 Counts cover every training document and every word. Frequent words are those with at least SHARE
 of all tokens, so there are at most 1 / SHARE of them, whatever the corpus: their classes, and class
-by class tables, may pass the driver. Exchange runs in rounds on all words' counts at once, half of the
-words moving in each, as in distributed exchange clustering."""
+by class tables, may pass the driver or one task. The words' context counts are gathered from the whole
+corpus once a round, and half of the words move in each, as in distributed exchange clustering."""
 
 from __future__ import annotations
 
@@ -183,27 +183,31 @@ def _xlogx(x):
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_class(own: int, left: np.ndarray, right: np.ndarray, t: np.ndarray) -> int:
-    """The exchange step of one word: the class where the class bigrams' likelihood is highest once the
-    word has left its own."""
+def move(own: int, left: np.ndarray, right: np.ndarray, t: np.ndarray) -> int:
+    """The exchange step of one word: it leaves its class in the class bigrams ``t`` and joins, in
+    ``t`` too, the class where their likelihood is highest."""
     n = left.sum()
-    t = t.copy()
     t[:, own] = np.maximum(t[:, own] - left, 0)
     t[own] = np.maximum(t[own] - right, 0)
-    size = np.maximum(t.sum(axis=0)[:CLASSES], 0)
+    size = t.sum(axis=0)[:CLASSES]
     into, outof = t[:, :CLASSES], t[:CLASSES]
     gain = ((_xlogx(into + left[:, None]) - _xlogx(into)).sum(axis=0)
             + (_xlogx(outof + right[None]) - _xlogx(outof)).sum(axis=1) - 2 * (_xlogx(size + n) - _xlogx(size)))
     gain[own] += 1e-9 * max(1.0, abs(gain[own]))
-    return int(gain.argmax())
+    best = int(gain.argmax())
+    t[:, best] += left
+    t[best] += right
+    return best
 
 
 def _exchange(counts: DataFrame, model: Model, half: int) -> np.ndarray:
-    spark = counts.sparkSession
-    held = spark.sparkContext.broadcast((model.classes, _transitions(counts)))
+    """Half of the words in turn, by falling count. The words' counts are those of the round's start,
+    the class bigrams follow each move; at most 1 / SHARE words with a class table row each meet here."""
+    held = counts.sparkSession.sparkContext.broadcast((model.classes, _transitions(counts)))
 
     def run(batches):
         classes, t = held.value
+        t = t.copy()
         for b in batches:
             ws, cs = [], []
             for row in b.to_pylist():
@@ -211,11 +215,12 @@ def _exchange(counts: DataFrame, model: Model, half: int) -> np.ndarray:
                 for e in row["x"]:
                     x[e["side"], e["c"]] = e["n"]
                 ws.append(row["w"])
-                cs.append(best_class(int(classes[row["w"]]), x[0], x[1], t))
+                cs.append(move(int(classes[row["w"]]), x[0], x[1], t))
             yield pa.RecordBatch.from_arrays([pa.array(ws, pa.int64()), pa.array(cs, pa.int32())], ["w", "class"])
 
     moved = (counts.where(f"w >= 0 AND w % 2 = {half}").groupBy("w")
-             .agg(F.collect_list(F.struct("side", "c", "n")).alias("x")).mapInArrow(run, "w bigint, class int"))
+             .agg(F.collect_list(F.struct("side", "c", "n")).alias("x"), F.sum("n").alias("n"))
+             .repartition(1).sortWithinPartitions(F.desc("n"), "w").select("w", "x").mapInArrow(run, "w bigint, class int"))
     classes = model.classes.copy()
     for r in moved.collect():
         classes[r.w] = r["class"]

@@ -214,4 +214,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged by a leak among rows without a doc_id."""
     from marketlens.llm.common import broadcast_if_small, table
     bad = table(leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "leaked")
-    return docs.join(broadcast_if_small(bad), F.expr("doc_id <=> _bad"), "left_anti")
+    bad = broadcast_if_small(bad)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")

@@ -131,6 +131,8 @@ def em(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
     """Pattern -> posterior of being personal data. One prior per kind; each labeler has, per class,
     a probability for every vote, shared by the kinds. At most len(KINDS) * 3**6 patterns exist."""
     codes = sorted(counts)
+    if not codes:
+        return {}
     votes = np.array([[c // 3 ** (len(LABELERS) - 1 - j) % 3 for j in range(len(LABELERS))] for c in codes])
     kind = np.array([c // 3 ** len(LABELERS) for c in codes])
     n = np.array([counts[c] for c in codes], float)
