@@ -117,7 +117,7 @@ def run_build(spark, oes_path: str, national_path: str, onet_path: str,
     from marketlens.plans import publish
     from marketlens.sources import raw
 
-    proj = raw.read_delimited(spark, projections_path) if projections_path else None
+    proj = raw.read_projections(spark, projections_path) if projections_path else None
     marts = build_marts(raw.read_oes(spark, oes_path), raw.read_oes(spark, national_path),
                         proj, raw.read_onet(spark, onet_path), scope, floor, top_n)
     crossed = marts.quarantine.limit(10).collect()

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +53,19 @@ def _commits(base: str) -> str:
 
 
 def committed_versions(spark: SparkSession, base: str) -> DataFrame:
+    """Committed versions; a base without a commit has none. Any other storage error is raised."""
     try:
         return spark.read.schema("version string, committed_at string").json(_commits(base))
-    except Exception:  # noqa: BLE001 - no commit yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "version string, committed_at string")
 
 
 def latest_version(spark: SparkSession, base: str) -> str | None:
-    row = committed_versions(spark, base).agg(F.max("version")).first()
-    return row[0] if row else None
+    """The version committed last, whatever its name."""
+    row = committed_versions(spark, base).agg(F.max(F.struct("committed_at", "version"))).first()
+    return row[0]["version"] if row and row[0] else None
 
 
 def read_published(spark: SparkSession, base: str, version: str | None = None
@@ -80,6 +85,8 @@ def publish(market: DataFrame, skills: DataFrame, base: str, scope: DataFrame |
     spark = market.sparkSession
     v = version or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     root = f"{base.rstrip('/')}/version={v}"
+    if not committed_versions(spark, base).where(F.col("version") == v).isEmpty():
+        raise PublishError(f"version {v} is committed; a committed version is never rewritten", [])
     write_market(market, f"{root}/market")
     write_skills(skills, f"{root}/skills")
     written_m = spark.read.schema(schema.MARKET_SCHEMA).parquet(f"{root}/market")
@@ -89,7 +96,7 @@ def publish(market: DataFrame, skills: DataFrame, base: str, scope: DataFrame |
         raise PublishError(f"version {v} rejected: {len(fatal)} fatal rule(s) failed; "
                            "the previous version stays live", fatal)
     marker = spark.range(1).select(F.lit(v).alias("version"),
-                                   F.lit(dt.datetime.now(dt.timezone.utc).isoformat())
+                                   F.lit(dt.datetime.now(dt.timezone.utc).isoformat(timespec="microseconds"))
                                    .alias("committed_at"))
     marker.coalesce(1).write.mode("errorifexists").json(f"{_commits(base)}/version={v}")
     return v
@@ -117,8 +124,9 @@ def publish_tables(market: DataFrame, skills: DataFrame, name: str = "ml",
     Every measure partitions by the category key, so a bucketed scan already
     satisfies that distribution: windows and joins on ``soc_code`` over the
     published tables run without an exchange. Versioned tables are written and
-    validated first; the stable names (``{name}_market``, ``{name}_skills``) are
-    views switched to the new version only afterwards (D12).
+    validated first; then the view ``{name}_live``, which names both tables of a version,
+    is switched in one step (D12). ``read_tables`` goes through it. The stable names
+    (``{name}_market``, ``{name}_skills``) follow it for readers of one table.
     """
     spark = market.sparkSession
     v = version or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
@@ -135,6 +143,13 @@ def publish_tables(market: DataFrame, skills: DataFrame, name: str = "ml",
                            "the previous version stays live", fatal)
     analyze(spark, m_table)                      # D13: statistics for the optimizer
     analyze(spark, s_table)
+    spark.sql(f"CREATE OR REPLACE VIEW {name}_live AS SELECT '{m_table}' AS market, '{s_table}' AS skills")
     spark.sql(f"CREATE OR REPLACE VIEW {name}_market AS SELECT * FROM {m_table}")
     spark.sql(f"CREATE OR REPLACE VIEW {name}_skills AS SELECT * FROM {s_table}")
     return v
+
+
+def read_tables(spark: SparkSession, name: str = "ml") -> tuple[DataFrame, DataFrame]:
+    """Both tables of the live version, named by one view, so never of two versions."""
+    live = spark.table(f"{name}_live").first()
+    return spark.table(live["market"]), spark.table(live["skills"])

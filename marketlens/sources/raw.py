@@ -23,6 +23,8 @@ lines, ``#`` for p90 at or above 100,000.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +35,72 @@ from marketlens.sources.testmart import CURRENT_VINTAGE_START, table
 
 
 # ---------------------------------------------------------------- readers --
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", header_row: int = 0
-                   ) -> DataFrame:
-    """All-string delimited files; ``vintage`` from ``vintage=`` folders."""
-    reader = spark.read.option("header", True).option("sep", sep)
-    if header_row:
-        reader = reader.option("skipRows", header_row)
-    df = reader.option("inferSchema", False).csv(path)
-    df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    return df.withColumn("src_row", F.monotonically_increasing_id())
+def _landing_files(spark: SparkSession, path: str) -> dict[str | None, list[str]]:
+    """The landing files by vintage (None: not in a ``vintage=`` folder), in path order."""
+    found = spark.read.format("binaryFile").load(path)
+    if "vintage" not in found.columns:
+        found = found.withColumn("vintage", F.lit(None))
+    files: dict[str | None, list[str]] = {}
+    for r in found.select("path", F.col("vintage").cast("string")).orderBy("path").collect():
+        files.setdefault(r["vintage"], []).append(r["path"])
+    return files
+
+
+def _heading(spark: SparkSession, file: str, sep: str, header_row: int | None,
+             wanted: tuple[str, ...]) -> tuple[list[str], list[list[str]]]:
+    """Column names, and the lines up to them. Without a ``header_row`` the first line (of five)
+    whose cells hold every wanted word is the header, else the first line."""
+    lines = [next(csv.reader([r[0]], delimiter=sep), []) for r in spark.read.text(file).head(5)]
+    if header_row is None:
+        header_row = next((i for i, cells in enumerate(lines) if all(
+            any(w in c.lower() for c in cells) for w in wanted)), 0) if wanted else 0
+    if header_row >= len(lines):
+        raise ValueError(f"{file} has no line {header_row} to take headers from")
+    return lines[header_row], lines[:header_row + 1]
+
+
+def _read_vintage(spark: SparkSession, files: list[str], vintage: str | None, sep: str,
+                  header_row: int | None, wanted: tuple[str, ...]) -> DataFrame:
+    """One vintage under its own header; every file must have the same one."""
+    names, above = _heading(spark, files[0], sep, header_row, wanted)
+    for f in files[1:]:
+        if _heading(spark, f, sep, len(above) - 1, ())[0] != names:
+            raise ValueError(f"files of one vintage disagree in their headers: {files[0]} and {f}")
+    cells = [f"_c{i}" for i in range(len(names))]
+    df = (spark.read.schema(", ".join(f"{c} string" for c in cells)).option("sep", sep)
+          .option("header", False).csv(files)
+          .withColumn("src_row", F.struct("_metadata.file_path", "_metadata.file_block_start",
+                                          F.monotonically_increasing_id().alias("row"))))
+    for line in above:          # the title and header lines are known by their whole content
+        padded = (line + [None] * len(cells))[:len(cells)]
+        same = F.lit(True)
+        for c, v in zip(cells, padded):
+            same = same & F.coalesce(F.col(c), F.lit("")).eqNullSafe(F.lit(v or ""))
+        df = df.where(~same)
+    out = df.select(*[F.col(c).alias(n) for c, n in zip(cells, names)], "src_row")
+    return out if vintage is None else out.withColumn("vintage", F.lit(vintage))
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", header_row: int | None = 0,
+                   wanted: tuple[str, ...] = ()) -> DataFrame:
+    """All-string delimited files; ``vintage`` from ``vintage=`` folders.
+
+    Each vintage is read under its own header and the vintages are united by column name, so
+    neither column order nor further columns of one vintage move another's values. ``src_row``
+    orders rows by file, block and place in it, whatever order Spark reads the files in."""
+    parts = [_read_vintage(spark, files, vintage, sep, header_row, wanted)
+             for vintage, files in _landing_files(spark, path).items()]
+    if not parts:
+        raise FileNotFoundError(f"no landing file under {path}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def read_projections(spark: SparkSession, path: str) -> DataFrame:
+    """Projection files; a title line above the header is skipped."""
+    return read_delimited(spark, path, header_row=None, wanted=("code", "percent", "change"))
 
 
 def read_oes(spark: SparkSession, path: str) -> DataFrame:
