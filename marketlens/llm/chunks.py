@@ -19,8 +19,8 @@ from marketlens.llm import flat
 from marketlens.llm.common import table
 
 #: Text bytes of a chunk (more only if one document is longer), and of all chunks for one bucket.
-CHUNK_BYTES = 1 << 22
-BUCKET_BYTES = 1 << 26
+CHUNK_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 24
 MIN_BUCKETS = 24
 CHUNK_SCHEMA = "ids array<bigint>, sizes array<bigint>, blob binary"
 
@@ -143,7 +143,9 @@ def replied(answers: list, h: np.ndarray, n: int, reply: str, width: int) -> np.
 def counted(key: np.ndarray, times: np.ndarray) -> np.ndarray:
     """For each entry, the sum of ``times`` over the entries with its key."""
     _, back = np.unique(key, return_inverse=True)
-    return np.bincount(back, weights=times.astype(float))[back]
+    total = np.zeros(back.max() + 1 if len(back) else 0, np.int64)
+    np.add.at(total, back, times.astype(np.int64))
+    return total[back]
 
 
 def joined(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:

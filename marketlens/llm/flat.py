@@ -95,21 +95,24 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return byte_prefix(data).spans(start, end)
 
 
+_PLACE = 24
+
+
 def window_minima(values: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost minimum of each w consecutive values."""
-    n = len(values) - w + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    best, at, span = values, np.arange(len(values)), 1
-    while span * 2 <= w:
-        right = best[span:] < best[:-span]
-        at = np.where(right, at[span:], at[:-span])
-        best, span = values[at], span * 2
-    if span < w:
-        rest = w - span
-        right = best[rest:] < best[:-rest]
-        at = np.where(right, at[rest:], at[:-rest])
-    return at[:n]
+    """Position of the leftmost least of each w consecutive values, by their high 40 bits. The place
+    rides in the low bits, so long arrays are taken in stretches; equal windows get the same place."""
+    n, low, step = len(values) - w + 1, U((1 << _PLACE) - 1), (1 << _PLACE) - w
+    out = np.empty(max(n, 0), np.int64)
+    for at in range(0, n, step):
+        part = values[at:at + step + w - 1]
+        best, span = (part & ~low) | np.arange(len(part), dtype=U), 1
+        while span * 2 <= w:
+            best = np.minimum(best[:-span], best[span:])
+            span *= 2
+        if span < w:
+            best = np.minimum(best[:span - w], best[w - span:])
+        out[at:at + step] = (best & low).astype(np.int64) + at
+    return out
 
 
 def inside(first: np.ndarray, n: int, k: int) -> np.ndarray:

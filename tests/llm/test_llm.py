@@ -376,3 +376,25 @@ def test_pipeline_runs_every_stage(sp):
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids))
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_window_minima(monkeypatch):
+    import numpy as np
+
+    from marketlens.llm import flat
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 6, 300).astype(np.uint64) << np.uint64(40)
+    for bits in (24, 6):                    # one stretch, several stretches
+        monkeypatch.setattr(flat, "_PLACE", bits)
+        for w in (1, 2, 7, 18, 25):
+            want = [i + int(v[i:i + w].argmin()) for i in range(len(v) - w + 1)]
+            assert flat.window_minima(v, w).tolist() == want
+    assert len(flat.window_minima(v[:3], 7)) == 0
+
+
+def test_repeats_within_one_text(sp):
+    """A short period puts a window several times into one path."""
+    rows = [(1, "a b c d e f g " * 30), (2, "x y z " * 20 + " ".join(f"w{i}" for i in range(40)))]
+    got = _by_id(debruijn.repeated_spans(sp.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got[1].n_removed == got[1].n_words == 210
+    assert got[2].n_removed == 60
