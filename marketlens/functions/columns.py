@@ -48,26 +48,13 @@ def pick_percentile(percentile) -> Column:
     return expr
 
 
-def exact_sum(x, scale: int = 6) -> Column:
-    """Sum in fixed point: exact and independent of partitioning or merge order.
+def exact_sum(x) -> Column:
+    """Sum in fixed point, independent of partitioning or merge order, converted once to
+    double. Eighteen decimals keep every digit that a double of 0.01 or more prints; a total
+    of 1e20 or more fails as an overflow (ANSI) rather than being cut."""
+    return F.sum(_c(x).cast("decimal(38,18)")).cast("double")
 
-    ``x`` is a double holding at most ``scale`` decimals (e.g. a rating stored to
-    6 places); the result is the exact sum converted once to double.
-    """
-    return F.sum(_c(x).cast(f"decimal(18,{scale})")).cast("double")
 
-
-def exact_mean(x, scale: int = 6) -> Column:
+def exact_mean(x) -> Column:
     """Mean whose sum is exact (see :func:`exact_sum`); one IEEE division."""
-    return exact_sum(x, scale) / F.count(_c(x)).cast("double")
-
-
-def exact_stddev_samp(x, scale: int = 6) -> Column:
-    """Sample standard deviation from exact fixed-point sums of x and x^2
-    (null for fewer than two values)."""
-    c = _c(x)
-    n = F.count(c).cast("double")
-    sx = exact_sum(c, scale)
-    sxx = F.sum(c.cast(f"decimal(18,{scale})") * c.cast(f"decimal(18,{scale})")).cast("double")
-    var = (sxx - sx * sx / n) / (n - 1.0)
-    return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))
+    return exact_sum(x) / F.count(_c(x)).cast("double")

@@ -36,7 +36,6 @@ from marketlens import schema
 from marketlens.functions.columns import exact_mean
 from marketlens.session import shuffle_partitions
 
-SIM_ROUND = 8
 PAIR_SCHEMA = "target_soc string, soc_code string, dot_product double, similarity double"
 SPREAD_SCHEMA = "target_soc string, sim_min double, sim_max double, candidates long"
 
@@ -169,8 +168,7 @@ def skill_adjacency(skills: DataFrame, limit: int = 8, centered: bool = True,
                           "WITHIN GROUP (ORDER BY least(c_dev, t_dev) DESC, skill)")
                    .alias("shared_strengths")))
     out = (top.join(shared, ["target_soc", "soc_code"], "left")
-           .select("target_soc", "soc_code", F.round("dot_product", SIM_ROUND).alias("dot_product"),
-                   F.round("similarity", SIM_ROUND).alias("similarity"),
+           .select("target_soc", "soc_code", "dot_product", "similarity",
                    F.coalesce("shared_strength_count", F.lit(0)).alias("shared_strength_count"),
                    "shared_strengths"))
     if labels is not None:
@@ -190,13 +188,11 @@ def similarity_spread(skills: DataFrame, block_size: int = 2048) -> DataFrame:
                                                F.max("sim_max").alias("hi"),
                                                F.sum("candidates").alias("candidates"))
     raw, cen = spread(False), spread(True)
-    return (raw.select("target_soc", F.round("lo", SIM_ROUND).alias("raw_min"),
-                       F.round("hi", SIM_ROUND).alias("raw_max"), "candidates")
-            .join(cen.select("target_soc", F.round("lo", SIM_ROUND).alias("centered_min"),
-                             F.round("hi", SIM_ROUND).alias("centered_max")), "target_soc")
-            .withColumn("raw_spread", F.round(F.col("raw_max") - F.col("raw_min"), SIM_ROUND))
-            .withColumn("centered_spread",
-                        F.round(F.col("centered_max") - F.col("centered_min"), SIM_ROUND)))
+    return (raw.select("target_soc", F.col("lo").alias("raw_min"), F.col("hi").alias("raw_max"), "candidates")
+            .join(cen.select("target_soc", F.col("lo").alias("centered_min"),
+                             F.col("hi").alias("centered_max")), "target_soc")
+            .withColumn("raw_spread", F.col("raw_max") - F.col("raw_min"))
+            .withColumn("centered_spread", F.col("centered_max") - F.col("centered_min")))
 
 
 # ---------------------------------------------------------------- findings --
@@ -258,8 +254,7 @@ def neighbours_of(skills: DataFrame, soc_code: str, limit: int = 8, centered: bo
               .where(F.col("similarity").isNotNull()))
     out = (scored.orderBy(F.col("similarity").desc(), "soc_code").limit(limit)
            .select(F.lit(soc_code).alias("target_soc"), "soc_code",
-                   F.round("dot_product", SIM_ROUND).alias("dot_product"),
-                   F.round("similarity", SIM_ROUND).alias("similarity"),
+                   "dot_product", "similarity",
                    "shared_strength_count", "shared_strengths"))
     if labels is not None:
         out = out.join(labels.select("soc_code", "occupation", "occupation_group"),

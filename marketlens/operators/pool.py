@@ -30,11 +30,11 @@ def national_aggregates(market: DataFrame) -> DataFrame:
     has_growth = F.col("supply_growth_3y").isNotNull()
     return market.groupBy("soc_code").agg(
         F.sum("employment").alias("national_employment"),
-        F.round(safe_div(F.sum(F.col("employment") * F.col("wage_p50")), F.sum("employment")),
-                4).alias("national_wage_weighted"),
+        safe_div(F.sum(F.col("employment") * F.col("wage_p50")), F.sum("employment"))
+        .alias("national_wage_weighted"),
         F.avg("employment_per_1k").alias("_per_1k_avg"),
-        F.round(safe_div(F.sum(F.when(has_growth, F.col("employment") * F.col("supply_growth_3y"))),
-                         F.sum(F.when(has_growth, F.col("employment")))), 8)
+        safe_div(F.sum(F.when(has_growth, F.col("employment") * F.col("supply_growth_3y"))),
+                 F.sum(F.when(has_growth, F.col("employment"))))
         .alias("national_growth_weighted"),
         F.count(F.lit(1)).alias("metros_reporting"))
 
@@ -53,8 +53,8 @@ def talent_pool_summary(market: DataFrame) -> DataFrame:
             .withColumn("growth_unavailable", F.col("supply_growth_3y").isNull())
             .withColumn("share_of_national_pool", safe_div("employment", "national_employment"))
             .withColumn("concentration_ratio",
-                        F.round(F.col("employment_per_1k") / nullif_zero("_per_1k_avg"), 8))
-            .withColumn("national_per_1k_avg", F.round("_per_1k_avg", 8))
+                        F.col("employment_per_1k") / nullif_zero("_per_1k_avg"))
+            .withColumn("national_per_1k_avg", F.col("_per_1k_avg"))
             .withColumn("wage_premium", safe_div("wage_p50", "national_wage_p50") - 1.0)
             .withColumn("wage_dispersion",
                         safe_div(F.col("wage_p75") - F.col("wage_p25"), "wage_p50"))

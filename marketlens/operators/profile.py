@@ -11,18 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import exact_mean, exact_stddev_samp, safe_div
+from marketlens.functions.columns import exact_mean, safe_div
 
 ROUND = 6
 
 
 def skill_stats(skills: DataFrame) -> DataFrame:
-    """Per-skill mean and sample deviation over all categories. Ratings carry six
-    decimals, so the sums are taken in fixed point: exact, and identical for any
-    partitioning of the input."""
+    """Per-skill mean and sample deviation over all categories. The mean's sum is taken in fixed
+    point, so it is identical for any partitioning of the input; the deviation is the built-in one."""
     return skills.groupBy("skill").agg(
         exact_mean("importance").alias("mean_importance"),
-        exact_stddev_samp("importance").alias("sd_importance"))
+        F.stddev_samp("importance").alias("sd_importance"))
 
 
 def skill_profile(skills: DataFrame, top_n: int | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def in_window(log: DataFrame, days: int, as_of: str) -> DataFrame:
     return log.where(F.col("occurred_at") >= F.lit(start).cast(ts_type))
 
 
-def usage_by_day(log: DataFrame, days: int = 30, as_of: str = "2024-01-30") -> DataFrame:
+def usage_by_day(log: DataFrame, days: int, as_of: str) -> DataFrame:
     """Q7: views per calendar day over the window, empty days filled with 0."""
     start = _start(days, as_of)
     spine = log.sparkSession.range(1).select(F.explode(F.sequence(
@@ -42,7 +42,7 @@ def usage_by_day(log: DataFrame, days: int = 30, as_of: str = "2024-01-30") -> D
             .select("day", F.coalesce("events", F.lit(0)).cast("long").alias("events")))
 
 
-def usage_by_view(log: DataFrame, days: int = 30, as_of: str = "2024-01-30",
+def usage_by_view(log: DataFrame, days: int, as_of: str,
                   approximate: bool = False) -> DataFrame:
     """Q8: events, distinct sessions and last event per view."""
     distinct = F.approx_count_distinct if approximate else F.countDistinct
@@ -59,8 +59,8 @@ def category_labels(market: DataFrame) -> DataFrame:
                                           F.min("occupation_group").alias("occupation_group"))
 
 
-def top_requests(log: DataFrame, market: DataFrame, days: int = 30,
-                 as_of: str = "2024-01-30", limit: int = 10) -> DataFrame:
+def top_requests(log: DataFrame, market: DataFrame, days: int,
+                 as_of: str, limit: int = 10) -> DataFrame:
     """Q9: most requested categories; counted before the label join so a label can
     never fan the counts out; top ``limit`` by events (category breaks ties)."""
     counts = (in_window(log, days, as_of).where(F.col("soc_code").isNotNull())
@@ -75,7 +75,7 @@ def top_requests(log: DataFrame, market: DataFrame, days: int = 30,
     return labelled.orderBy(F.col("events").desc(), "soc_code").limit(limit)
 
 
-def usage_summary(log: DataFrame, days: int = 30, as_of: str = "2024-01-30",
+def usage_summary(log: DataFrame, days: int, as_of: str,
                   top_n: int = 10) -> DataFrame:
     """Q10: one row. ``sessions`` and ``occupations`` keep the reference's meaning
     (max of per-view distinct sessions; rows of the top-n list); the true distinct
@@ -97,7 +97,7 @@ def usage_summary(log: DataFrame, days: int = 30, as_of: str = "2024-01-30",
 
 
 # ---------------------------------------------------------------- findings --
-def usage_headline(log: DataFrame, days: int = 30, as_of: str = "2024-01-30") -> DataFrame:
+def usage_headline(log: DataFrame, days: int, as_of: str) -> DataFrame:
     """total views, the top view, its share and the concentration flag."""
     by_view = usage_by_view(log, days, as_of)
     agg = by_view.agg(F.sum("events").alias("total_events"),
@@ -109,7 +109,7 @@ def usage_headline(log: DataFrame, days: int = 30, as_of: str = "2024-01-30") ->
         F.coalesce("total_events", F.lit(0)).cast("long").alias("total_events"),
         F.col("_top.view_name").alias("top_view"),
         F.col("_top.events").alias("top_view_events"),
-        F.round(share, 6).alias("top_view_share"),
+        share.alias("top_view_share"),
         ((F.col("views") > 1) & (share > schema.USAGE_CONCENTRATION_SHARE)).alias("concentrated"))
 
 
@@ -125,12 +125,10 @@ def adoption_funnel(log: DataFrame) -> DataFrame:
     totals = per.agg(F.count(F.lit(1)).alias("activated"),
                      F.count_if(returned).alias("returned"),
                      F.count_if(F.col("weeks") >= 3).alias("habitual"))
-    return totals.withColumn("return_rate", F.round(safe_div(
-        F.col("returned").cast("double"), "activated"), 6))
+    return totals.withColumn("return_rate", safe_div(F.col("returned").cast("double"), "activated"))
 
 
-def family_share(log: DataFrame, market: DataFrame, days: int = 30,
-                 as_of: str = "2024-01-30") -> DataFrame:
+def family_share(log: DataFrame, market: DataFrame, days: int, as_of: str) -> DataFrame:
     """Share of windowed lookups per category family (unlabelled -> Unknown)."""
     counts = (in_window(log, days, as_of).where(F.col("soc_code").isNotNull())
               .groupBy("soc_code").agg(F.count(F.lit(1)).alias("events")))
@@ -138,7 +136,7 @@ def family_share(log: DataFrame, market: DataFrame, days: int = 30,
            .groupBy(F.coalesce("occupation_group", F.lit("Unknown")).alias("occupation_group"))
            .agg(F.sum("events").alias("events")))
     total = fam.select(F.sum("events")).scalar()       # one value, a scalar subquery
-    return fam.withColumn("share", F.round(F.col("events") / total, 6))
+    return fam.withColumn("share", F.col("events") / total)
 
 
 def pool_shrink_alerts(market: DataFrame, threshold: float = 0.05) -> DataFrame:

@@ -123,7 +123,7 @@ def run_build(spark, oes_path: str, national_path: str, onet_path: str,
     crossed = marts.quarantine.limit(10).collect()
     if crossed:
         names = ", ".join(f"{r.soc_code}@{r.metro}" for r in crossed)
-        raise BuildError(f"non-monotonic wage percentiles (first rows: {names}); "
-                         "the wage columns are crossed somewhere in the parse")
+        raise BuildError(f"wages fall from one percentile to the next, for instance at {names}; "
+                         "check the landing headers")
     committed = publish.publish(marts.market, marts.skills, base, scope, version)
     return committed, marts.observed_counts()

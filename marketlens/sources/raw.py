@@ -259,7 +259,7 @@ def raw_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projection rows: code and a percent change, from the part catalogue."""
     part = table(spark, sf_dir, "part").select(
         F.substring_index("p_brand", "#", -1).cast("int").alias("brand"), "p_retailprice")
-    g = part.groupBy("brand").agg(exact_mean("p_retailprice", 2).alias("_avg"))
+    g = part.groupBy("brand").agg(exact_mean("p_retailprice").alias("_avg"))
     return g.select(soc_code(F.col("brand")).alias("Occupation code"),
                     F.format_number((F.col("_avg") / 1000.0 - 1.0) * 100.0, 1)
                     .alias("Employment change, percent"),

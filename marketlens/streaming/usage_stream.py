@@ -11,8 +11,8 @@
 * :func:`run_to_table` executes a streaming aggregate in update mode through
   ``foreachBatch``: each micro-batch's changed rows are written under
   ``batch_id=N`` (overwrite, so a replayed batch is idempotent) and
-  :func:`latest` resolves the current value per key. Checkpoint and sink live
-  under the shared checkpoint folder, so a restarted driver resumes.
+  :func:`latest` resolves the current value per key. A run with a ``root`` of its
+  own resumes there after a restart.
 * :func:`append_events` / :func:`stream_append` are the event-append sinks.
 """
 
@@ -44,9 +44,13 @@ def usage_from_events(ev: DataFrame) -> DataFrame:
 def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session for a streaming query whose state-store partition count is sized for
     the stream (it is fixed at the first start and kept in the checkpoint), not
-    inherited from the batch shuffle setting. Shares the SparkContext."""
+    inherited from the batch shuffle setting: the cluster's cores unless given. Shares
+    the SparkContext and takes over the session's own runtime settings."""
     child = spark.newSession()
-    n = state_partitions or max(1, min(spark.sparkContext.defaultParallelism, 64))
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            child.conf.set(key, value)
+    n = state_partitions or max(1, spark.sparkContext.defaultParallelism)
     child.conf.set("spark.sql.shuffle.partitions", str(n))
     child.conf.set("spark.sql.session.timeZone", "UTC")
     return child
@@ -98,9 +102,14 @@ def view_sessions(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 def run_to_table(agg: DataFrame, name: str, keys: list[str], root: str | None = None,
                  trigger_available_now: bool = True) -> tuple[StreamingQuery, str]:
-    """Run a streaming aggregate (update mode) into an idempotent per-batch sink."""
+    """Run a streaming aggregate (update mode) into an idempotent per-batch sink.
+
+    With ``root`` the checkpoint and sink are ``root/streams/name``: a later run under the same
+    root and name goes on where the last one stopped. Without it the run is a single one in a new
+    folder of the shared checkpoint folder."""
     spark = agg.sparkSession
-    base = (root or ensure_checkpoint_dir(spark)).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
+    base = (f"{root.rstrip('/')}/streams/{name}" if root else
+            f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}")
     sink = f"{base}/sink"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:

@@ -71,3 +71,34 @@ def test_adjacency_bench_outcomes(skills):
     top = adj.groupBy("target_soc").agg(F.max("similarity").alias("m")).toPandas()
     m = b.merge(top, on="target_soc")
     assert (m.nearest_similarity == m.m).all()
+
+
+@pytest.mark.parametrize("ratio, band", [(1.25, "specialist"), (1.2499999999, "typical"),
+                                         (0.7500000001, "typical"), (0.75, "under-represented")])
+def test_bands_use_the_unrounded_ratio(market, ratio, band):
+    one = market.select("soc_code", "area_code").first()
+    s = (pool.talent_pool_summary(market).where((F.col("soc_code") == one[0]) & (F.col("area_code") == one[1]))
+         .withColumn("concentration_ratio", F.lit(ratio)))
+    assert pool.pool_fact_sheet(s).first().concentration_band == band
+
+
+def test_pool_ratios_are_not_cut(market):
+    rows = pool.talent_pool_summary(market).select(
+        "employment_per_1k", "national_per_1k_avg", "concentration_ratio").collect()
+    assert rows and all(r.concentration_ratio == r.employment_per_1k / r.national_per_1k_avg
+                        for r in rows if r.employment_per_1k is not None)
+
+
+def test_strong_cut_uses_the_unrounded_similarity(spark):
+    rows = [("a", "b", 0.3999999996, "x"), ("c", "d", 0.4, "x")]
+    got = {r.target_soc: r.strong_neighbours for r in adjacency.adjacency_bench(spark.createDataFrame(
+        rows, "target_soc string, soc_code string, similarity double, shared_strengths string")).collect()}
+    assert got == {"a": 0, "c": 1}
+
+
+def test_skill_means_keep_every_digit(spark):
+    rows = [("a", "x", 1.00000049), ("a", "y", 0.1), ("b", "y", 0.2)]
+    stats = {r.skill: r for r in profile.skill_stats(
+        spark.createDataFrame(rows, "soc_code string, skill string, importance double")).collect()}
+    assert stats["x"].mean_importance == 1.00000049 and stats["x"].sd_importance is None
+    assert stats["y"].mean_importance == 0.15

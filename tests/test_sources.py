@@ -15,8 +15,8 @@ from marketlens.streaming import usage_stream
 
 HEADER = ["AREA", "AREA_TITLE", "AREA_TYPE", "PRIM_STATE", "NAICS", "OCC_CODE", "OCC_TITLE",
           "O_GROUP", "TOT_EMP", "JOBS_1000", "A_PCT10", "A_PCT25", "A_MEDIAN", "A_PCT75", "A_PCT90"]
-ROW = ["12420", "Austin-Round Rock, TX", "4", "TX", "000000", "15-1252", "Software Developers",
-       "detailed", "5,000", "8.5", "70,000", "90,000", "120,000", "150,000", "185,000"]
+ROW = ["31500", "Lakeport-Elm Grove, OR", "4", "OR", "000000", "15-1252", "Software Developers",
+       "detailed", "6,400", "3.2", "61,500", "78,250", "98,000", "123,750", "161,000"]
 
 
 def _csv_line(values, sep):
@@ -25,7 +25,7 @@ def _csv_line(values, sep):
 
 def test_oes_landing_folder_with_vintages(spark):
     root = tempfile.mkdtemp(prefix="ml-landing-")
-    for vintage, emp in (("current", "5,000"), ("prior", "4,000")):
+    for vintage, emp in (("current", "6,400"), ("prior", "5,120")):
         os.makedirs(f"{root}/vintage={vintage}")
         row = list(ROW)
         row[8] = emp
@@ -36,7 +36,7 @@ def test_oes_landing_folder_with_vintages(spark):
     scope = spark.createDataFrame([("15-1252", "Software Developers", "Engineering")],
                                   "soc_code string, occupation string, occupation_group string")
     got = {r.vintage: r.employment for r in ingest.clean_vintage(df, scope).collect()}
-    assert got == {"current": 5000.0, "prior": 4000.0}
+    assert got == {"current": 6400.0, "prior": 5120.0}
 
 
 def test_onet_tab_file(spark):

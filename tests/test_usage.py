@@ -23,22 +23,22 @@ def test_empty_log(spark, market):
     log = spark.createDataFrame([], EMPTY)
     days = usage.usage_by_day(log, 7, "2024-01-30").collect()
     assert len(days) == 7 and all(r.events == 0 for r in days)
-    assert usage.usage_by_view(log).count() == 0
-    (s,) = usage.usage_summary(log).collect()
+    assert usage.usage_by_view(log, 30, "2024-01-30").count() == 0
+    (s,) = usage.usage_summary(log, 30, "2024-01-30").collect()
     assert s.total_events == 0 and s.sessions == 0
 
 
 def test_one_event_counted_once(spark, market):
     log = spark.createDataFrame(
         [(1, dt.datetime(2024, 1, 30, 12), "index", "Brand#3", "0", "s1", None)], EMPTY)
-    (r,) = usage.top_requests(log, market).collect()
+    (r,) = usage.top_requests(log, market, 30, "2024-01-30").collect()
     assert (r.soc_code, r.events, r.sessions, r.occupation) == ("Brand#3", 1, 1, "Role 3")
 
 
 def test_unlabelled_category_falls_back(spark, market):
     log = spark.createDataFrame(
         [(1, dt.datetime(2024, 1, 30, 12), "index", "Brand#99", "0", "s1", None)], EMPTY)
-    (r,) = usage.top_requests(log, market).collect()
+    (r,) = usage.top_requests(log, market, 30, "2024-01-30").collect()
     assert (r.occupation, r.occupation_group) == ("Brand#99", "Unknown")
 
 
@@ -143,3 +143,30 @@ def test_stream_append_sink(spark):
     q.stop()
     n = spark.read.parquet(os.path.join(folder, "log")).count()
     assert n == testmart.table(spark, "/root/testdata/sf0.001", "events").count()
+
+
+def test_stopped_stream_goes_on_where_it_was(spark):
+    ev = testmart.table(spark, "/root/testdata/sf0.001", "events")
+    root = tempfile.mkdtemp(prefix="ml-resume-")
+    landing = os.path.join(root, "landing")
+    ev.where("event_id % 2 = 0").write.parquet(landing)
+    read = []
+    for _ in range(2):
+        stream = usage_stream.events_stream(usage_stream.stream_session(spark, 2), landing)
+        query, sink = usage_stream.run_to_table(
+            usage_stream.daily_counts(stream, "60 days"), "resume", ["day"], root=root)
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+        ev.where("event_id % 2 = 1").write.mode("append").parquet(landing)
+    assert sum(read) == ev.count() and min(read) > 0        # nothing is read again
+    got = {r.day: r.events for r in usage_stream.latest(spark, sink, ["day"]).collect()}
+    want = {r.day: r.n for r in ev.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).collect()}
+    assert got == want
+
+
+def test_stream_session_takes_over_settings(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "12345")
+    try:
+        assert usage_stream.stream_session(spark, 3).conf.get("spark.sql.files.maxRecordsPerFile") == "12345"
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
