@@ -16,11 +16,13 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "iban", "national_id")
 # The base patterns.
 _PATTERN = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+# The base email pattern in its two halves, of which the first is read backwards from each @.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _MORE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{1,63})+"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
@@ -63,12 +65,28 @@ def _valid(kind: str, s: str) -> bool:
     return True
 
 
+def _emails(text: str):
+    """Leftmost non-overlapping emails, in linear time however long a word is: each @ takes the
+    letters before it, back to the last match or @."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        local = _LOCAL.match(text[last:at][::-1])
+        domain = local and _DOMAIN.match(text, at)
+        if domain:
+            yield at - local.end(), domain.end()
+        last = domain.end() if domain else at + 1
+        at = text.find("@", last)
+
+
+def _matches(kind: str, text: str):
+    return _emails(text) if kind == "email" else (m.span() for m in _PATTERN[kind].finditer(text))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base spans: leftmost non-overlapping matches of each kind that pass its check."""
     if not _HINT.search(text):
         return []
-    return [(k, m.start(), m.end()) for k in BASE if k != "email" or "@" in text
-            for m in _PATTERN[k].finditer(text) if _valid(k, m.group())]
+    return [(k, a, b) for k in BASE for a, b in _matches(k, text) if _valid(k, text[a:b])]
 
 
 def _iban(s: str) -> bool:
@@ -105,15 +123,14 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool]]:
         return []
     out, base = [], {k: [] for k in KINDS}
     for k in BASE:
-        if k == "email" and "@" not in text:
-            continue
-        for m in _PATTERN[k].finditer(text):
-            ok = _valid(k, m.group())
+        for a, b in _matches(k, text):
+            found = text[a:b]
+            ok = _valid(k, found)
             # digit runs far from a card's length are no candidates
-            if ok or k == "ip" or 12 <= len(_digits(m.group())) <= 20:
-                out.append((k, m.start(), m.end(), _votes(k, text, m.start(), m.end(), ok), ok))
+            if ok or k == "ip" or 12 <= len(_digits(found)) <= 20:
+                out.append((k, a, b, _votes(k, text, a, b, ok), ok))
                 if ok:
-                    base[k].append((m.start(), m.end()))
+                    base[k].append((a, b))
     taken = sorted(x for v in base.values() for x in v)
     at = 0
     for k, p in _MORE.items():
