@@ -7,18 +7,20 @@ DataFrame. ``ORACLES`` holds the matching SQL (same column names).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.operators import (
-    adjacency, arbitrage, competition, findings, overview, pool, profile, quality, usage,
+    adjacency, arbitrage, competition, findings, ingest, overview, pool, profile, quality, usage,
 )
-from marketlens.plans import build
+from marketlens.plans import build, publish
 from marketlens.plans.oracle import (
     INGEST_SQL, MARKET_CTE, SKILLS_LABEL_CTE, SKILLS_VECTOR_CTE, USAGE_CTE, with_ctes,
 )
+from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources import raw, testmart
 from marketlens.streaming import usage_stream
 
@@ -632,6 +634,50 @@ def i_build_market(spark, sf_dir):
     return _marts(spark, sf_dir).market
 
 
+def _landing(df: DataFrame, path: str, sep: str = ",", vintage: str | None = None, files: int = 3) -> None:
+    """Rows as the delimited files of one landing folder, in file order of ``src_row``."""
+    order = [c for c in ("src_row",) if c in df.columns]
+    part = df.repartitionByRange(files, *order) if order else df.repartition(files)
+    part = part.sortWithinPartitions(*order) if order else part
+    out = f"{path}/vintage={vintage}" if vintage else path
+    (part.drop("src_row", "vintage").write.option("header", True).option("sep", sep)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("emptyValue", "").csv(out))
+
+
+@register("i_build_from_landing", ORACLES["i_build_market"])
+def i_build_from_landing(spark, sf_dir):
+    """The build over landing files in the shared folder: several files a vintage, the prior
+    vintage with its columns in another order and one more; restated rows lie in later files."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    cube = raw._line_cube(spark, sf_dir)
+    oes = raw.raw_oes(spark, sf_dir, cube)
+    _landing(oes.where("vintage = 'current'"), f"{root}/oes", vintage="current")
+    prior = oes.where("vintage = 'prior'")
+    _landing(prior.select(F.lit("x").alias("NOTE"), *reversed(prior.columns)), f"{root}/oes", vintage="prior")
+    _landing(raw.raw_national(spark, sf_dir, cube), f"{root}/national", vintage="current")
+    _landing(raw.raw_projections(spark, sf_dir), f"{root}/projections")
+    _landing(raw.raw_onet(spark, sf_dir), f"{root}/onet", sep="\t")
+    return build.build_marts(raw.read_oes(spark, f"{root}/oes"), raw.read_oes(spark, f"{root}/national"),
+                             raw.read_projections(spark, f"{root}/projections"),
+                             raw.read_onet(spark, f"{root}/onet"), raw.ingest_scope(spark, sf_dir)).market
+
+
+TOP_PLACES = 10
+
+
+@register("i_top_areas_10", INGEST_SQL + f"""
+SELECT soc_code, area_code, metro, employment FROM cur
+WHERE area_code IN (SELECT area_code FROM cur GROUP BY area_code
+                    ORDER BY SUM(employment) DESC, area_code LIMIT {TOP_PLACES})
+""")
+def i_top_areas_10(spark, sf_dir):
+    """I15 where the limit bites: fewer places than there are."""
+    cleaned = _marts(spark, sf_dir).steps["deduplicated"]
+    return (ingest.top_areas(cleaned.where("vintage = 'current'"), TOP_PLACES)
+            .select("soc_code", "area_code", "metro", "employment"))
+
+
 @register("i_build_skills", INGEST_SQL + "SELECT soc_code, skill, importance FROM skills_built")
 def i_build_skills(spark, sf_dir):
     return _marts(spark, sf_dir).skills
@@ -736,6 +782,61 @@ def d_quality_report(spark, sf_dir):
                                   testmart.scope(spark, sf_dir))
 
 
+# every rule has rows that break it: told from the keys, so they grow with the mart
+DEFECTS_CTE = """
+numbered AS (SELECT *, CAST(split_part(soc_code, '#', 2) AS INTEGER) AS b, CAST(area_code AS INTEGER) AS a FROM market),
+market_bad AS (
+    SELECT CASE WHEN b % 7 = 3 THEN soc_code || 'x' ELSE soc_code END AS soc_code,
+           CASE WHEN b % 11 = 4 THEN occupation || ' II' ELSE occupation END AS occupation,
+           occupation_group, CASE WHEN a = 24 THEN '23' ELSE area_code END AS area_code,
+           CASE WHEN (a + b) % 13 = 5 THEN NULL ELSE metro END AS metro, state,
+           CASE WHEN (a + b) % 17 = 6 THEN 0.0 ELSE employment END AS employment,
+           employment_per_1k, employment_prior, supply_growth_3y, proj_growth_10y,
+           CASE WHEN (a + b) % 5 = 0 THEN wage_p90 + 1 ELSE wage_p10 END AS wage_p10,
+           wage_p25, wage_p50, wage_p75, wage_p90,
+           CASE WHEN a % 9 = 1 AND b % 3 = 0 THEN national_wage_p50 + 1 ELSE national_wage_p50 END AS national_wage_p50
+    FROM numbered
+),
+skill_numbered AS (SELECT *, CAST(split_part(soc_code, '#', 2) AS INTEGER) AS b, CAST(split_part(skill, '_', 2) AS INTEGER) AS k FROM skills),
+skills_bad AS (
+    SELECT soc_code, CASE WHEN k = 1 AND b % 2 = 0 THEN 'skill_00' ELSE skill END AS skill,
+           CASE WHEN (k + b) % 4 = 0 THEN 5.5 ELSE importance END AS importance FROM skill_numbered
+)
+"""
+
+
+@register("d_quality_report_defects", with_ctes(MARKET_CTE, SKILLS_LABEL_CTE, TEST_SCOPE_CTE, DEFECTS_CTE,
+                                                _quality_sql("market_bad", "skills_bad", "scope_dim")))
+def d_quality_report_defects(spark, sf_dir):
+    """D1-D9 over marts in which rows break each rule."""
+    b, a = testmart.brand_number(), F.col("area_code").cast("int")
+    k = F.substring_index("skill", "_", -1).cast("int")
+
+    def spoil(df, changes):
+        return df.withColumns({c: F.when(cond, to).otherwise(F.col(c)) for c, (cond, to) in changes.items()})
+    market = spoil(testmart.market(spark, sf_dir), {
+        "soc_code": (b % 7 == 3, F.concat("soc_code", F.lit("x"))),
+        "occupation": (b % 11 == 4, F.concat("occupation", F.lit(" II"))),
+        "area_code": (a == 24, F.lit("23")),
+        "metro": ((a + b) % 13 == 5, F.lit(None)),
+        "employment": ((a + b) % 17 == 6, F.lit(0.0)),
+        "wage_p10": ((a + b) % 5 == 0, F.col("wage_p90") + 1),
+        "national_wage_p50": ((a % 9 == 1) & (b % 3 == 0), F.col("national_wage_p50") + 1)})
+    skills = spoil(testmart.skills(spark, sf_dir, "label"), {
+        "skill": ((k == 1) & (b % 2 == 0), F.lit("skill_00")),
+        "importance": ((k + b) % 4 == 0, F.lit(5.5))})
+    return quality.quality_report(market, skills, testmart.scope(spark, sf_dir))
+
+
+@register("d12_published_overview", ORACLES["q6_mart_overview"])
+def d12_published_overview(spark, sf_dir):
+    """Publish both marts under a new base, read the committed version back."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    publish.publish(testmart.market(spark, sf_dir), testmart.skills(spark, sf_dir, "label"), base,
+                    testmart.scope(spark, sf_dir))
+    return overview.mart_overview(*publish.read_published(spark, base))
+
+
 @register("d_quality_report_built", INGEST_SQL.rstrip() + ",\n"
           + _quality_sql("market_built", "skills_built", "scope"))
 def d_quality_report_built(spark, sf_dir):
