@@ -7,6 +7,7 @@ hash once, so a hash as common as can be has one entry a chunk."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -47,14 +48,15 @@ def chunked(docs: DataFrame) -> DataFrame:
                 held += len(t)
         if ids:
             yield out()
+        release()
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, CHUNK_SCHEMA)
     return table(rows.select(F.monotonically_increasing_id().alias("chunk"), "ids", "sizes", "blob"), "chunks")
 
 
-def buckets(chunks: DataFrame) -> int:
+def buckets(chunks: DataFrame, size_of_one: int = BUCKET_BYTES) -> int:
     """How many buckets keep a bucket's share of the hashes bounded."""
     size = chunks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
-    return max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
+    return max(MIN_BUCKETS, -(-size // size_of_one))
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +65,14 @@ def opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))
 
 
+def release() -> None:
+    """Gives freed memory back: Python workers stay alive between tasks, beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)    # glibc only
+    if trim:
+        trim(0)
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> flat.U(40)) * flat.U(n) >> flat.U(24)).astype(np.int64)
 
@@ -103,6 +113,7 @@ def ask(rows: DataFrame, n: int, question: Callable, answer: Callable, widths: d
                     v = fields[f][order] if widths[f] else [fields[f][i] for i in order]
                     cols.append(pa.array([zstandard.compress(pack(v[cut[i]:cut[i + 1]], widths[f]), 1) for i in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", *names])
+        release()
 
     def meet(t: pa.Table) -> pa.Table:
         opener = zstandard.ZstdDecompressor()
@@ -116,6 +127,8 @@ def ask(rows: DataFrame, n: int, question: Callable, answer: Callable, widths: d
         cols = [t.column("bucket").combine_chunks(), t.column("chunk").combine_chunks()]
         for r, w in replies.items():
             cols.append(pa.array([zstandard.compress(pack(out[r][e - s:e], w), 1) for s, e in zip(sizes, ends)], pa.binary()))
+        del fields, out
+        release()
         return pa.Table.from_arrays(cols, ["bucket", "chunk", *replies])
 
     sent = rows.mapInArrow(send, "bucket int, chunk bigint, " + ", ".join(f"{f} binary" for f in names))

@@ -20,11 +20,13 @@ LOWER[0x41:0x5B] += 0x20
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and multiply rounds)."""
-    x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    y ^= y >> U(27)
+    y *= U(0x94D049BB133111EB)
+    y ^= y >> U(31)
+    return y
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -58,7 +60,9 @@ class Prefix:
         if len(self.sums) <= k:
             return np.empty(0, U)
         d = self.sums[k:] - self.sums[:-k]
-        return mix(d * self.inverse[:len(d)] + U(k))
+        d *= self.inverse[:len(d)]
+        d += U(k)
+        return mix(d)
 
 
 def block(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
