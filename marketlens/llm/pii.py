@@ -26,7 +26,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _MORE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{1,63})+"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
-    "secret": re.compile(r"(?<=[=:])[^\s\"'<>&,;=:]{6,}"),
+    # the value behind = or :, with or without blanks and quotes; one in closed quotes is taken whole
+    "secret": re.compile(r"""[=:]>?[ \t]*+(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|["']?([^\s"'<>&,;=:]{6,}))"""),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
@@ -93,6 +94,16 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _mixed(s: str) -> bool:
+    """Letters and digits in one word."""
+    return bool(re.search(r"[0-9]", s) and re.search(r"[^\W\d_]", s)) and not re.search(r"\s", s)
+
+
+def _named_secret(before: str) -> bool:
+    """The word before the = or : names a secret; blanks and quotes around it do not matter."""
+    return re.split(r"[^a-z0-9_-]+", before.rstrip("=:> \t\"'").lower())[-1] in _KEYWORDS
+
+
 def _votes(kind: str, text: str, a: int, b: int, strict: bool) -> int:
     """The labelers' votes (1 for, 2 against, 0 abstains) as one base-3 number with the kind."""
     s, before = text[a:b], text[max(0, a - 40):a]
@@ -101,15 +112,17 @@ def _votes(kind: str, text: str, a: int, b: int, strict: bool) -> int:
              "phone": lambda: 9 <= len(digits) <= 15, "iban": lambda: _iban(s),
              "national_id": lambda: digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00"}
     known = {"email": lambda: s.rsplit(".", 1)[-1].strip().lower() in _TLDS, "card": lambda: s[0] in "3456",
-             "secret": lambda: re.split(r"[^a-z0-9_-]+", before.rstrip("=: ").lower())[-1] in _KEYWORDS}
+             "secret": lambda: _named_secret(before)}
     tell = lambda good, bad: 1 if good else 2 if bad else 0
     votes = (
-        tell(strict, not strict),
+        # a named secret may be a plain word too
+        tell(strict, not strict and not (kind == "secret" and _named_secret(before))),
         tell(check[kind](), True) if kind in check else 0,
         tell(known[kind](), kind != "email") if kind in known else 0,
         tell(_CUES.search(before), _COUNTER.search(before)),
         tell(False, (a and text[a - 1].isalnum()) or text[b:b + 1].isalnum()) or 1,
-        tell(len(set(s)) > 4, len(set(s)) < 3),
+        # a plain word or number behind a colon is no sign of a secret
+        tell(len(set(s)) > 4 and (strict or kind != "secret"), len(set(s)) < 3),
     )
     code = KINDS.index(kind)
     for v in votes:
@@ -136,11 +149,12 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool]]:
     for k, p in _MORE.items():
         at = 0
         for m in p.finditer(text):
-            a, b = m.span()
+            a, b = m.span(m.lastindex or 0)
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
-            if at == len(taken) or taken[at][0] >= b:
-                out.append((k, a, b, _votes(k, text, a, b, True), False))
+            # a named secret stays whole, also if a digit run in it passes for a card
+            if at == len(taken) or taken[at][0] >= b or (k == "secret" and _named_secret(text[max(0, a - 40):a])):
+                out.append((k, a, b, _votes(k, text, a, b, k != "secret" or _mixed(text[a:b])), False))
     return out
 
 

@@ -284,6 +284,19 @@ def test_personal_data(sp):
     assert clean[5].text is None and clean[4].text == "password=[SECRET]"
 
 
+def test_secrets_behind_blanks_and_quotes(sp):
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    forms = [f'token = "{value}" th', f'x token = "{value}"###', f'TOKEN = "{value.upper()}" TH', f"secret: '{value}'",
+             f'{{"api_key": "{value}"}}', f"token => {value}", f'token = "{value}', "password: swordfish",
+             'passphrase = "correct horse battery"', 'token = "ab4111111111111111cd"']
+    plain = ["Note: something else", 'He said: "nobody knows the answer"', "Price: 1204753 in all"]
+    docs = sp.createDataFrame(list(enumerate(forms + plain)), "doc_id bigint, text string")
+    clean = [r.text for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert clean == ['token = "[SECRET]" th', 'x token = "[SECRET]"###', 'TOKEN = "[SECRET]" TH', "secret: '[SECRET]'",
+                     '{"api_key": "[SECRET]"}', "token => [SECRET]", 'token = "[SECRET]', "password: [SECRET]",
+                     'passphrase = "[SECRET]"', 'token = "[SECRET]"', *plain]
+
+
 def test_emails_equal_the_stated_pattern():
     stated = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     rng = random.Random(5)
