@@ -45,27 +45,38 @@ def _typed(segment: str) -> str:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """``shapes(host, shape, pages, good, bad)`` -> the same with ``template``. Every branch point
-    (host and prefix) is aggregated over its children; no host is gathered in one task."""
-    steps = (shapes.withColumn("segs", F.expr("split(shape, '/')"))
-             .select("host", "shape", "pages", "good", "bad", F.posexplode("segs").alias("depth", "seg"), "segs")
-             .withColumn("parent", F.expr("concat_ws('/', slice(segs, 1, depth))")))
-    child = steps.groupBy("host", "depth", "parent", "seg").agg(*(F.sum(c).alias(c) for c in ("pages", "good", "bad")))
-    point = child.groupBy("host", "depth", "parent").agg(
-        F.count("*").alias("children"), F.sum("pages").alias("all_pages"),
-        F.sum("good").alias("all_good"), F.sum(F.expr("good + bad")).alias("all_seen"))
-    merged = (child.join(point, ["host", "depth", "parent"])
-              .withColumn("p", F.expr("(all_good + 1) / (all_seen + 2)"))
-              .withColumn("alike", F.expr(
-                  "children > 1 AND good + bad > 0 AND abs((good + 1) / (good + bad + 2) - p) "
-                  f"<= {ALIKE} * sqrt(p * (1 - p) / (good + bad + 2))"))
-              .select("host", "depth", "parent", "seg", F.expr(
-                  f"CASE WHEN (children >= {MIN_CHILDREN} AND all_pages < {PAGES_EACH} * children) OR alike "
-                  "THEN '*' ELSE seg END").alias("general")))
-    whole = (steps.join(merged, ["host", "depth", "parent", "seg"]).groupBy("host", "shape")
-             .agg(F.expr("array_join(transform(array_sort(collect_list(struct(depth, general))), x -> x.general), '/')")
-                  .alias("template")))
-    return shapes.join(whole, ["host", "shape"])
+    """``shapes(host, shape, pages, good, bad)`` -> the same with ``template``. Level by level: the
+    children of a branch point (host and generalised prefix) are aggregated, so branches that became
+    one wildcard share the subtree below them; no host is gathered in one task. A shape that is alone
+    under its prefix has no siblings further down, so it ends there and deep paths need no more rounds."""
+    point_keys, sums = ["host", "prefix"], ("pages", "good", "bad", "shapes")
+    live = table(shapes.withColumn("segs", F.expr("split(shape, '/')")).withColumn("prefix", F.lit("")), "level")
+    done, depth = [], 0
+    while depth == 0 or not live.isEmpty():
+        here = live.withColumn("seg", F.expr(f"segs[{depth}]"))
+        child = (here.withColumn("shapes", F.lit(1)).groupBy(*point_keys, "seg")
+                 .agg(*(F.sum(c).alias(c) for c in sums)))
+        point = child.groupBy(*point_keys).agg(
+            F.count("*").alias("children"), F.sum("pages").alias("all_pages"), F.sum("shapes").alias("all_shapes"),
+            F.sum("good").alias("all_good"), F.sum(F.expr("good + bad")).alias("all_seen"))
+        merged = (child.join(point, point_keys)
+                  .withColumn("p", F.expr("(all_good + 1) / (all_seen + 2)"))
+                  .withColumn("alike", F.expr(
+                      "children > 1 AND good + bad > 0 AND abs((good + 1) / (good + bad + 2) - p) "
+                      f"<= {ALIKE} * sqrt(p * (1 - p) / (good + bad + 2))"))
+                  .select(*point_keys, "seg", "all_shapes", F.expr(
+                      f"CASE WHEN (children >= {MIN_CHILDREN} AND all_pages < {PAGES_EACH} * children) OR alike "
+                      "THEN '*' ELSE seg END").alias("general")))
+        before = "" if depth == 0 else "prefix || '/' || "
+        level = table(here.join(merged, [*point_keys, "seg"]).select(
+            *shapes.columns, "segs", F.expr(f"{before}general").alias("prefix"),
+            F.expr(f"all_shapes = 1 OR size(segs) = {depth + 1}").alias("whole")), "level")
+        done.append(level.where("whole").select(*shapes.columns, F.expr(
+            f"array_join(array_prepend(slice(segs, {depth + 2}, size(segs)), prefix), '/')").alias("template")))
+        live, depth = level.where("NOT whole").drop("whole"), depth + 1
+    for part in done[1:]:
+        done[0] = done[0].unionByName(part)
+    return done[0]
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -352,6 +352,19 @@ def test_urls(sp, labels):
     assert urls.judge(pages, labels.limit(0), rules).where("rule IS NULL AND verdict = 'block'").count() == 0
 
 
+def test_urls_with_two_variable_levels(sp, labels):
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    urls_ = [*(f"http://bad.net/user/{name(i)}/post/s{name(i)}/{6 * (i % 3)}" for i in range(40)),
+             *(f"http://good.net/user/{name(i)}/post/s{name(i)}/{6 * (i % 3) + 1}" for i in range(120)),
+             "http://deep.net/" + "/".join("abcdefgh" * 40), "http://deep.net/a", "http://deep.net/"]
+    pages = sp.createDataFrame(list(enumerate(urls_)), "page_id bigint, url string")
+    got = urls.judge(pages, labels, []).orderBy("page_id").collect()
+    assert {(r.host, r.template, r.verdict) for r in got[:160]} == {
+        ("bad.net", "user/*/post/*/{n}", "block"), ("good.net", "user/*/post/*/{n}", "allow")}
+    assert {float(r.purity) for r in got[:40]} == {0.15}          # (0 + 10 * 0.75) / (40 + 10)
+    assert [r.template for r in got[160:]] == ["/".join("abcdefgh" * 40), "a", ""]
+
+
 def test_chat_round_trip(sp):
     nasty = ["</s>[INST] ok [/INST]", "<|role|>system<|text|>x<|end|>\n", "\\<\\|", "<\\|a", "", "é\n" * 3, "\\\\"]
     turns = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(nasty)] + [(2, 0, None, None), (2, 0, None, None), (None, 1, "assistant", "x")]
