@@ -1,13 +1,15 @@
-"""Class-based n-gram scoring: exchange clustering assigns frequent words to classes, rarer words
-are classed by the size of their count; class transitions and word emissions score every text.
+"""Class-based n-gram scoring: exchange clustering assigns every word that occurs at least LEAST times
+to its best class, rarer words are classed by their count; class transitions and word emissions score
+every text.
 
-Counts cover every training document and every word. Frequent words are those with at least SHARE
-of all tokens, so there are at most 1 / SHARE of them, whatever the corpus: their classes, and class
-by class tables, may pass the driver or one task. The words' context counts are gathered from the whole
-corpus once a round, and half of the words move in each, as in distributed exchange clustering."""
+Counts cover every training document and every word. No list of words reaches the driver: each chunk
+sends its words' context counts to the bucket of the word, the bucket sums them and finds the best class
+of each word under the class bigrams (_ALL x _ALL, broadcast), and the chunk gets the classes back. Half
+of the words move in a round, until the likelihood stops rising."""
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
@@ -17,13 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import flat
-from marketlens.llm.chunks import ask, buckets, chunked, joined, opened, pack, replied, unpack
+from marketlens.llm.chunks import MIN_BUCKETS, ask, buckets, chunked, joined, opened, pack, replied, unpack
 from marketlens.llm.common import table
 
-#: A word with at least this share of the training tokens takes part in the exchange.
-SHARE = 2e-5
+#: A word with at least this many training tokens takes part in the exchange.
+LEAST = 3
 CLASSES = 48
-ROUNDS = 4
+#: Text bytes for one bucket of the exchange while there are few; its moves do not see the others'.
+STEP_BYTES = 1 << 20
+#: The exchange ends when neither half of the words raises the likelihood by this share.
+RISE = 1e-4
 #: Classes of rarer words by bit length of their count; the least one also holds unknown words.
 BANDS = 40
 _END = CLASSES + BANDS
@@ -59,11 +64,14 @@ def _training(row, ends):
     return held, np.repeat(~held, np.diff(ends, prepend=0))
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """A written table: per chunk the token stream over its distinct words, and each word's training
+def tokenised(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The number of the exchange's buckets, and a written table: per chunk the token stream over its distinct words, and each word's training
     count in the whole corpus. ``lead`` marks one chunk of all that hold a word."""
     chunks = chunked(docs)
     n = buckets(chunks)
+    size = chunks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    # MIN_BUCKETS only from MIN_BUCKETS * STEP_BYTES on
+    few = max(1, min(n, -(-size // STEP_BYTES))) if n == MIN_BUCKETS else n
 
     def words(row):
         tokens, ends = _tokens(row)
@@ -88,12 +96,12 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 u, inv = np.unique(tokens, return_inverse=True)
                 z = lambda x, w: pa.array([zstandard.compress(pack(x.astype(np.uint64), w), 1)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["ids"]], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())),
+                    [pa.array([row["chunk"]], pa.int64()), pa.array([row["ids"]], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())),
                      pa.array([ends.tolist()], pa.list_(pa.int64())), z(u, 8), z(inv, 4),
                      z(replied(row["counts"], u, n, "total", 6), 6), z(replied(row["counts"], u, n, "lead", 1), 1)],
-                    ["ids", "held", "ends", "words", "stream", "total", "lead"])
-    return table(known.mapInArrow(out, "ids array<bigint>, held array<boolean>, ends array<bigint>, words binary, "
-                                  "stream binary, total binary, lead binary"), "tokens")
+                    ["chunk", "ids", "held", "ends", "words", "stream", "total", "lead"])
+    return table(known.mapInArrow(out, "chunk bigint, ids array<bigint>, held array<boolean>, ends array<bigint>, words binary, "
+                                  "stream binary, total binary, lead binary"), "tokens"), few
 
 
 def _open(row):
@@ -107,28 +115,6 @@ def _bands(total: np.ndarray) -> np.ndarray:
     return CLASSES + np.minimum(np.frexp(np.maximum(total, 1).astype(float))[1] - 1, BANDS - 1)
 
 
-class Model:
-    """Sorted frequent words with their classes; picklable and bounded by 1 / SHARE words."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.words, self.counts = words, counts
-        order = np.lexsort((words, -counts))
-        self.classes = np.empty(len(words), np.int64)
-        self.classes[order] = np.arange(len(words)) % CLASSES
-
-    def ids(self, words):
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
-
-    def classed(self, words, total):
-        i = self.ids(words)
-        out = np.where(i >= 0, self.classes[i] if len(self.words) else 0, _bands(total))
-        out[words == _END_HASH] = _END
-        return i, out
-
-
 def _previous(cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
     before = np.empty_like(cls)
     before[1:] = cls[:-1]
@@ -136,142 +122,210 @@ def _previous(cls: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return before
 
 
-def _context_counts(rows: DataFrame, model: Model) -> DataFrame:
-    """``(w, side, c, n)``: how often frequent word w follows (side 0) or precedes (1) class c in
-    training, and with w = -1 - a the transitions from class a to c (side 1)."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+def _starting(words: np.ndarray, total: np.ndarray) -> np.ndarray:
+    out = np.where(total >= LEAST, (words % np.uint64(CLASSES)).astype(np.int64), _bands(total))
+    out[words == _END_HASH] = _END
+    return out
+
 
+def _moving(words: np.ndarray, total: np.ndarray, half: int) -> np.ndarray:
+    """Places of the words whose turn it is."""
+    return np.flatnonzero((total >= LEAST) & (words != _END_HASH) & ((words >> np.uint64(13)) % np.uint64(2) == half))
+
+
+def _packed(x: np.ndarray, width: int) -> bytes:
+    return zstandard.compress(pack(x.astype(np.uint64), width), 1)
+
+
+def _unpacked(b: bytes, width: int) -> np.ndarray:
+    return unpack(zstandard.ZstdDecompressor().decompress(b), width)
+
+
+def _contexts(rows: DataFrame, n: int, half: int) -> DataFrame:
+    """A written table, by chunk: its words' classes after the last round (``cls``), its training
+    transitions, and of the words that move next the hashes and the counts of their contexts: each
+    class before (codes from 0) and after (codes from _ALL), as code << 56 | count."""
     def run(batches):
-        m = held.value
-        size = len(m.words)
-        left, right, trans = (np.zeros(n, np.int64) for n in (size * _ALL, size * _ALL, _ALL * _ALL))
         for b in batches:
             for row in b.to_pylist():
                 words, stream, total, _, ends, out = _open(row)
-                if not len(stream):
-                    continue
-                i, c = m.classed(words, total)
-                w, cls = i[stream], c[stream]
-                before = _previous(cls, ends)
-                use = np.repeat(~out, np.diff(ends, prepend=0))
-                np.add(trans, np.bincount((before * _ALL + cls)[use], minlength=len(trans)), out=trans)
-                at = use & (w >= 0)
-                if size:
-                    left += np.bincount(w[at] * _ALL + before[at], minlength=len(left))
-                    follows = np.zeros(len(w), bool)
-                    follows[:-1] = at[:-1]
-                    follows[ends - 1] = False
-                    p = np.flatnonzero(follows)
-                    right += np.bincount(w[p] * _ALL + cls[p + 1], minlength=len(right))
-        for side, x, negative in ((0, left, False), (1, right, False), (1, trans, True)):
-            k = np.flatnonzero(x)
-            w = -1 - k // _ALL if negative else k // _ALL
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(k), side, np.int32)), pa.array((k % _ALL).astype(np.int32)), pa.array(x[k])], ["w", "side", "c", "n"])
-
-    return (rows.mapInArrow(run, "w bigint, side int, c int, n bigint")
-            .groupBy("w", "side", "c").agg(F.sum("n").alias("n")))
-
-
-def _transitions(counts: DataFrame) -> np.ndarray:
-    t = np.zeros((_ALL, _ALL))
-    for r in counts.where("w < 0").collect():
-        t[-1 - r.w, r.c] = r.n
-    return t
+                if "cls" in row:
+                    cls, moved = _unpacked(row["cls"], 1).astype(np.int64), _moving(words, total, 1 - half)
+                    cls[moved] = replied(row["answers"], words[moved], n, "best", 1).astype(np.int64)
+                else:
+                    cls = _starting(words, total)
+                c, use = cls[stream], np.repeat(~out, np.diff(ends, prepend=0))
+                before = _previous(c, ends)
+                trans = np.bincount((before * _ALL + c)[use], minlength=_ALL * _ALL)
+                mine = _moving(words, total, half)
+                place = np.full(len(words), -1)
+                place[mine] = np.arange(len(mine))
+                w = place[stream]
+                at = np.flatnonzero(use & (w >= 0))           # an end follows the last word, so at + 1 exists
+                key, times = np.unique(np.concatenate((w[at] * 2 * _ALL + before[at], w[at] * 2 * _ALL + _ALL + c[at + 1])),
+                                       return_counts=True)
+                sizes = np.bincount(key // (2 * _ALL), minlength=len(mine))
+                code = (key % (2 * _ALL)).astype(np.uint64) << np.uint64(56) | times.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["chunk"]], pa.int64()), *(pa.array([_packed(x, k)], pa.binary()) for x, k in (
+                        (cls, 1), (trans, 6), (words[mine], 8), (cls[mine], 1), (sizes, 2), (code, 8)))],
+                    ["chunk", "cls", "trans", "words", "own", "sizes", "code"])
+    return table(rows.mapInArrow(run, "chunk bigint, cls binary, trans binary, words binary, own binary, sizes binary, code binary"),
+                 "contexts")
+
+
+def _transitions(contexts: DataFrame) -> np.ndarray:
+    def run(batches):
+        t = np.zeros(_ALL * _ALL, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                t += _unpacked(x, 6).astype(np.int64)
+        k = np.flatnonzero(t)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t[k])], ["k", "n"])
+    t = np.zeros(_ALL * _ALL)
+    for r in contexts.select("trans").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        t[r.k] = r.n
+    return t.reshape(_ALL, _ALL)
 
 
 def _xlogx(x):
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def move(own: int, left: np.ndarray, right: np.ndarray, t: np.ndarray) -> int:
-    """The exchange step of one word: it leaves its class in the class bigrams ``t`` and joins, in
-    ``t`` too, the class where their likelihood is highest."""
-    n = left.sum()
-    t[:, own] = np.maximum(t[:, own] - left, 0)
-    t[own] = np.maximum(t[own] - right, 0)
-    size = t.sum(axis=0)[:CLASSES]
-    into, outof = t[:, :CLASSES], t[:CLASSES]
-    gain = ((_xlogx(into + left[:, None]) - _xlogx(into)).sum(axis=0)
-            + (_xlogx(outof + right[None]) - _xlogx(outof)).sum(axis=1) - 2 * (_xlogx(size + n) - _xlogx(size)))
-    gain[own] += 1e-9 * max(1.0, abs(gain[own]))
-    best = int(gain.argmax())
-    t[:, best] += left
-    t[best] += right
-    return best
-
-
-def _exchange(counts: DataFrame, model: Model, half: int) -> np.ndarray:
-    """Half of the words in turn, by falling count. The words' counts are those of the round's start,
-    the class bigrams follow each move; at most 1 / SHARE words with a class table row each meet here."""
-    held = counts.sparkSession.sparkContext.broadcast((model.classes, _transitions(counts)))
+def likelihood(t: np.ndarray) -> float:
+    """Of the class bigrams; the words' own counts add a constant."""
+    return float(_xlogx(t).sum() - _xlogx(t.sum(axis=0)).sum() - _xlogx(t.sum(axis=1)).sum())
+
+
+def best_classes(own: np.ndarray, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The exchange step of many words, each by itself: a word leaves its class in the class bigrams
+    ``t`` and takes the class where their likelihood is highest. ``x[w, 0]`` counts the classes before
+    word w, ``x[w, 1]`` those after it."""
+    ks = np.arange(CLASSES)
+    gain = np.zeros((len(own), CLASSES))
+    for side in (0, 1):
+        w, a = np.nonzero(x[:, side])
+        if not len(w):
+            continue
+        n = x[w, side, a]
+        base = (t[a, :CLASSES] if side == 0 else t[:CLASSES, a].T).copy()
+        base[np.arange(len(w)), own[w]] -= n                   # the word has left its class
+        same = np.flatnonzero(a == own[w])
+        base[same] -= x[w[same], 1 - side, :CLASSES]
+        base = np.maximum(base, 0)
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[first]] += np.add.reduceat(_xlogx(base + n[:, None]) - _xlogx(base), first)
+    # where a class is before and after the word, both counts come into one bigram
+    l, r = x[:, 0, :CLASSES], x[:, 1, :CLASSES]
+    d = np.maximum(np.diag(t)[:CLASSES] - (l + r) * (ks == own[:, None]), 0)
+    gain += _xlogx(d + l + r) - _xlogx(d + l) - _xlogx(d + r) + _xlogx(d)
+    n = x[:, 0].sum(axis=1, keepdims=True)
+    size = np.maximum(t.sum(axis=0)[:CLASSES] - n * (ks == own[:, None]), 0)
+    gain -= 2 * (_xlogx(size + n) - _xlogx(size))
+    at = np.arange(len(own))
+    gain[at, own] += 1e-9 * np.maximum(1.0, np.abs(gain[at, own]))
+    return gain.argmax(axis=1)
+
+
+def _exchange(contexts: DataFrame, n: int, t: np.ndarray) -> DataFrame:
+    """``(chunk, answers)``: the best class of every word whose turn it is."""
+    held = contexts.sparkSession.sparkContext.broadcast(t)
+
+    def question(row):
+        h, sizes = _unpacked(row["words"], 8), _unpacked(row["sizes"], 2).astype(np.int64)
+        code = _unpacked(row["code"], 8).tobytes()
+        ends = 8 * np.cumsum(sizes)
+        return h, {"word": h, "own": _unpacked(row["own"], 1),
+                   "code": [code[a:z] for a, z in zip((ends - 8 * sizes).tolist(), ends.tolist())]}
+
+    def answer(f):
+        _, lead, back = np.unique(f["word"], return_index=True, return_inverse=True)
+        own = f["own"][lead].astype(np.int64)
+        code = np.frombuffer(b"".join(f["code"]), "<u8")
+        owner = np.repeat(back, np.fromiter(map(len, f["code"]), np.int64, len(f["code"])) // 8)
+        key, at = np.unique(owner * (2 * _ALL) + (code >> np.uint64(56)).astype(np.int64), return_inverse=True)
+        times = np.bincount(at, weights=(code & np.uint64((1 << 56) - 1)).astype(float))
+        owner, place = key // (2 * _ALL), key % (2 * _ALL)
+        start = np.searchsorted(owner, np.arange(len(own) + 1))
+        count = np.bincount(owner, weights=times, minlength=len(own))
+        order, best, t, a = np.argsort(-count, kind="stable"), own.copy(), held.value.copy(), 0
+        while a < len(order):
+            # frequent words one by one, rarer ones in steps; the bigrams follow the bucket's moves
+            some = order[a:a + min(1024, max(1, a // 32))]
+            x = np.zeros((len(some), 2 * _ALL))
+            for i, w in enumerate(some.tolist()):
+                x[i, place[start[w]:start[w + 1]]] = times[start[w]:start[w + 1]]
+            x = x.reshape(-1, 2, _ALL)
+            best[some] = to = best_classes(own[some], x, t)
+            go = np.flatnonzero(to != own[some])
+            left, right = x[go, 0], x[go, 1]
+            for sign, c in ((-1, own[some][go]), (1, to[go])):
+                np.add.at(t.T, c, sign * left)
+                np.add.at(t, c, sign * right)
+            np.maximum(t, 0, out=t)
+            a += len(some)
+        return {"best": best[back].astype(np.uint64)}
+
+    return ask(contexts, n, question, answer, {"word": 7, "own": 1, "code": 0}, {"best": 1})
+
+
+def _dropped(written: DataFrame) -> None:
+    """Deletes a round's written table, and lets Spark clean the shuffles that no one holds."""
+    jvm, files = written.sparkSession._jvm, written.inputFiles()
+    if files:
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+class Model:
+    """Class transitions and emissions; the words' classes stay in their chunks."""
+
+
+def fit(rows: DataFrame, n: int):
+    """The chunks with their words' classes, the model (transitions and emission totals), N and V."""
+    half, idle = 0, 0
+    now = best = _contexts(rows, n, half)
+    t = top = _transitions(now)
+    while t.any():
+        answers = _exchange(now, n, t)
+        half = 1 - half
+        new = _contexts(rows.join(now.select("chunk", "cls"), "chunk").join(answers, "chunk", "left"), n, half)
+        del answers
+        t = _transitions(new)
+        if now is not best:
+            _dropped(now)
+        now, idle = new, idle + 1
+        if likelihood(t) > likelihood(top):
+            if likelihood(t) - likelihood(top) > RISE * abs(likelihood(top)):
+                idle = 0
+            _dropped(best)
+            best, top = now, t
+        if idle == 2:
+            break
+    rows, t = rows.join(best.select("chunk", "cls"), "chunk"), top
 
-    def run(batches):
-        classes, t = held.value
-        t = t.copy()
-        for b in batches:
-            ws, cs = [], []
-            for row in b.to_pylist():
-                x = np.zeros((2, _ALL))
-                for e in row["x"]:
-                    x[e["side"], e["c"]] = e["n"]
-                ws.append(row["w"])
-                cs.append(move(int(classes[row["w"]]), x[0], x[1], t))
-            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.int64()), pa.array(cs, pa.int32())], ["w", "class"])
-
-    moved = (counts.where(f"w >= 0 AND w % 2 = {half}").groupBy("w")
-             .agg(F.collect_list(F.struct("side", "c", "n")).alias("x"), F.sum("n").alias("n"))
-             .repartition(1).sortWithinPartitions(F.desc("n"), "w").select("w", "x").mapInArrow(run, "w bigint, class int"))
-    classes = model.classes.copy()
-    for r in moved.collect():
-        classes[r.w] = r["class"]
-    return classes
-
-
-def fit(rows: DataFrame):
-    """The model over a tokenised table: classes, transitions, emission totals, N and V."""
     def sizes(batches):
-        n, v = np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64)
+        tokens, words = np.zeros(_ALL, np.int64), np.zeros(_ALL, np.int64)
         for b in batches:
             for row in b.to_pylist():
                 _, _, total, lead, _, _ = _open(row)
-                t = total[lead & (total > 0)]
-                k = _bands(t) - CLASSES
-                n += np.bincount(k, weights=t, minlength=BANDS).astype(np.int64)
-                v += np.bincount(k, minlength=BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BANDS)), pa.array(n), pa.array(v)], ["k", "n", "v"])
-    bands = rows.mapInArrow(sizes, "k bigint, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    n_all, v_all = sum(r.n for r in bands), sum(r.v for r in bands)
-    least = max(2.0, SHARE * n_all)
-
-    def frequent(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                words, _, total, lead, _, _ = _open(row)
-                at = lead & (total >= least) & (words != _END_HASH)
-                yield pa.RecordBatch.from_arrays([pa.array(words[at].view(np.int64)), pa.array(total[at])], ["w", "n"])
-    top = sorted((np.uint64(r.w % (1 << 64)), r.n) for r in rows.mapInArrow(frequent, "w bigint, n bigint").collect())
-    model = Model(np.array([w for w, _ in top], np.uint64), np.array([n for _, n in top], np.int64))
-    for r in range(ROUNDS if top else 0):
-        model.classes = _exchange(table(_context_counts(rows, model), "contexts"), model, r % 2)
-    t = _transitions(table(_context_counts(rows, model), "contexts"))
-    # tokens and words of each class: frequent ones leave their band
+                at = lead & (total > 0)
+                cls = _unpacked(row["cls"], 1)[at].astype(np.int64)
+                tokens += np.bincount(cls, weights=total[at], minlength=_ALL).astype(np.int64)
+                words += np.bincount(cls, minlength=_ALL)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_ALL)), pa.array(tokens), pa.array(words)], ["k", "n", "v"])
     tokens, words = np.zeros(_ALL), np.zeros(_ALL)
-    for r in bands:
-        tokens[CLASSES + r.k], words[CLASSES + r.k] = r.n, r.v
-    band = _bands(model.counts) if top else np.empty(0, np.int64)
-    for x, k in ((-model.counts, band), (model.counts, model.classes)):
-        np.add.at(tokens, k, x)
-        np.add.at(words, k, np.sign(x))
-    ends = t[:, _END].sum()
-    if ends:
-        k = int(_bands(np.array([ends]))[0])
-        tokens[k], words[k] = tokens[k] - ends, words[k] - 1
-        tokens[_END], words[_END] = ends, 1
+    for r in rows.mapInArrow(sizes, "k bigint, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        tokens[r.k], words[r.k] = r.n, r.v
+    n_all, v_all = int(tokens.sum()), int(words.sum())
     words[CLASSES] += 1                                   # the unknown word
+    model = Model()
     model.emission = np.log10(np.maximum(tokens + ADD * words, ADD))
     single = (t.sum(axis=0) + ADD) / (t.sum() + ADD * _ALL)
     model.transition = np.log10((t + BACKOFF * single) / (t.sum(axis=1, keepdims=True) + BACKOFF))
-    return model, int(n_all), int(v_all)
+    return rows, model, n_all, v_all
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -281,8 +335,7 @@ def score(docs: DataFrame) -> DataFrame:
     Null and empty texts are one end token. Repeated rows count as often as they occur. Without training
     rows all counts are 0 and texts get the smoothing's probability. An empty table gives no rows;
     further columns are not read."""
-    rows = tokenised(docs)
-    model, n_all, v_all = fit(rows)
+    rows, model, n_all, v_all = fit(*tokenised(docs))
     held = rows.sparkSession.sparkContext.broadcast(model)
     base = float(np.log10(n_all + ADD * (v_all + 1)))
 
@@ -291,8 +344,7 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 words, stream, total, _, ends, out = _open(row)
-                _, c = m.classed(words, total)
-                cls = c[stream]
+                cls = _unpacked(row["cls"], 1).astype(np.int64)[stream]
                 emit = np.log10(total + ADD)[stream]
                 begin = np.concatenate(([0], ends[:-1]))
                 add = lambda x, begin=begin: np.add.reduceat(x, begin)

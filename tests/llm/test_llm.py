@@ -231,6 +231,44 @@ def test_class_ngrams_learn_order(sp):
     assert (out[1] - out[0]) / out[2] > 0.2     # about log10(2) a token
 
 
+def test_exchange_reaches_rare_words(sp):
+    """Words with three tokens each, far below a share of the corpus, are told apart by their contexts."""
+    rng = random.Random(4)
+    a, b = [f"a{i}" for i in range(1500)] * 3, [f"b{i}" for i in range(1500)] * 3
+    rng.shuffle(a)
+    rng.shuffle(b)
+    rows = [(10_000 + i, " ".join(x for p in zip(a[i::90], b[i::90]) for x in ("the", p[0], "of", p[1])), "en", "s", 1) for i in range(90)]
+    rows += [(20_000 + i, "the of " * 2000, "en", "s", 1) for i in range(30)]
+    rows = [r for r in rows if not brown.held_out(r[0])]
+    found, *_ = brown.fit(*brown.tokenised(sp.createDataFrame(rows, SCHEMA)))
+    classes = {}
+    for r in found.collect():
+        words, _, total, *_ = brown._open(r.asDict())
+        classes |= {int(w): int(c) for w, n, c in zip(words, total, brown._unpacked(r["cls"], 1)) if n == 3}
+    assert len(classes) > 1000 and max(classes.values()) < brown.CLASSES
+
+
+def test_best_classes_equal_plain_likelihood():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    size = brown._ALL
+    stream = np.append(rng.integers(0, 60, 3000), 60)           # words 0..59, then one end
+    cls = np.append(np.arange(60) % brown.CLASSES, brown._END)
+    table = lambda c: np.bincount(np.append(c[stream[-1]], c[stream[:-1]]) * size + c[stream], minlength=size * size).reshape(size, size).astype(float)
+    x = np.zeros((60, 2, size))
+    for v, w in zip(np.append(60, stream[:-1]), stream):
+        if w < 60:
+            x[w, 0, cls[v]] += v != w
+        if v < 60:
+            x[v, 1, cls[w]] += v != w
+    keep = [w for w in range(60) if not ((stream[:-1] == w) & (stream[1:] == w)).any()]
+    assert keep
+    got = brown.best_classes(cls[keep], x[keep], table(cls))
+    for w, k in zip(keep, got):
+        tried = [brown.likelihood(table(np.where(np.arange(61) == w, c, cls))) for c in range(brown.CLASSES)]
+        assert tried[k] == pytest.approx(max(tried), abs=1e-6)
+
+
 def _local(item, text):
     best, row = 0, [0] * (len(text) + 1)
     for w in item:
