@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from marketlens.llm import flat
 from marketlens.llm.common import text_blocks
 
-#: A seed is the shortest run of 3 to 8 words whose chance under the corpus's word shares is below this.
+#: A seed is the shortest run of 3 to 8 words whose chance under the corpus's word shares is below this,
+#: or the longest run that the item has.
 RARE = 1e-9
 SEED_WORDS = (3, 4, 5, 6, 7, 8)
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -89,7 +90,7 @@ def _seeds(items, vocabulary, shares):
             if len(h) < n:
                 break
             rare = ((lp[n:] - lp[:-n]) <= np.log(RARE)) & ~used[:len(h) - n + 1]
-            if n == SEED_WORDS[-1]:
+            if n == min(SEED_WORDS[-1], len(h)):  # the longest run possible, whatever its chance
                 rare = ~used[:len(h) - n + 1]
             at = np.flatnonzero(rare)
             used[at] = True

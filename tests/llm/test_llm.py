@@ -305,6 +305,13 @@ def test_decontamination(sp, docs, rows):
     assert decontam.leaks(all_docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items_of_common_words(sp):
+    rows = [(0, "a b c d e f g h " * 50), (1, "g e c a f b " * 9), (2, "h h g e c a b h"), (3, "h f d b e a g")]
+    bench = sp.createDataFrame([(0, "g e c a b"), (1, "f d b e a g"), (2, "f d b e a g h")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(sp.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(2, 0): 1, (3, 1): 1}
+
+
 def test_personal_data(sp):
     texts = ["mail a.b+c@x-y.example.com or d@e now", "ip 10.0.0.255 and 300.1.1.1 and 1.2.3.4.5", "card 4111 1111 1111 1111 not 4111111111111112",
              "call +1 (988) 555-2485 or 212-555-0188", "password=7602ad27cf5550de1c", None, "", "é 1" * 50, "1" * 3000]
