@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import brown, chat, debruijn, decontam, lyndon, mixing, pii, quality, simhash, urls
+from marketlens.llm import (brown, chat, debruijn, decontam, langid, lexical, lyndon, mixing, negatives, pii, quality,
+                            simhash, urls)
 from marketlens.llm.common import BATCH_ROWS, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +141,56 @@ def op10(read):
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+_LABEL = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+
+
+@register("op11_hard_negatives", f"""
+WITH v AS (
+    SELECT DISTINCT vec_id, {_LABEL} AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS s
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+near AS (SELECT a, b, s FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT near.a AS anchor_id, near.b AS positive_id,
+       (row_number() OVER (PARTITION BY near.a, near.b ORDER BY met.s DESC, met.b))::INTEGER AS rank,
+       met.b AS negative_id, near.s AS positive_score, met.s AS negative_score
+FROM near JOIN met ON near.a = met.a AND NOT same AND 30 * near.s <= 100 * met.s AND 100 * met.s <= 90 * near.s
+QUALIFY row_number() OVER (PARTITION BY near.a, near.b ORDER BY met.s DESC, met.b) <= 10
+""", rows=4096)
+def op11(read):
+    rows = negatives.quantised(read("embeddings"), 256, F.expr(_LABEL))
+    return negatives.mine(rows, F.expr("vec_id % 100 = 0"))
+
+
+@register("op12_language_id")
+def op12(read):
+    docs = read("documents")
+    return langid.identify(docs, F.expr("crc32(CAST(doc_id AS STRING)) % 3 = 1"))
+
+
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+@register("op13_lexical_search", f"""
+WITH words AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+size AS (SELECT count(*) AS n, sum(len(w)) AS l FROM words WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(any_value(w)) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM words) GROUP BY doc_id, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+asked AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark),
+scored AS (
+    SELECT item_id, doc_id, sum(floor(1000 * ln((2 * size.n + 2) / (2 * df + 1)))::BIGINT
+               * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * tf.n * size.n) // size.l))))::BIGINT AS score
+    FROM asked JOIN df USING (t) JOIN tf USING (t), size GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+""", rows=1024)
+def op13(read):
+    return lexical.search(read("documents"), read("benchmark"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
