@@ -146,10 +146,13 @@ def _sample(docs: DataFrame) -> DataFrame:
     """``(lang, text)``: the first texts of each language by hash, equal ones once."""
     keyed = docs.select("lang", F.xxhash64("text").alias("key"), "doc_id").groupBy("lang", "key").agg(F.min("doc_id").alias("doc_id"))
     keyed = table(keyed, "texts")
-    many = keyed.select("lang").distinct().count()
-    cap = max(MIN_ROWS, min(MAX_ROWS, ALL_ROWS // max(1, many)))
+    sizes = table(keyed.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    cap = max(MIN_ROWS, min(MAX_ROWS, ALL_ROWS // max(1, sizes.count())))
+    # hashes are spread evenly: only about twice the wanted rows of a language meet in its window
+    low = F.expr(f"key / 18446744073709551616D + 0.5D <= {2 * cap + 100}D / n")
     first = Window.partitionBy("lang").orderBy("key")
-    chosen = keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= cap).drop("r")
+    chosen = (keyed.join(broadcast_if_small(sizes), "lang").where(low).drop("n")
+              .withColumn("r", F.row_number().over(first)).where(F.col("r") <= cap).drop("r"))
     rows = (docs.select("lang", "text", "doc_id", F.xxhash64("text").alias("key"))
             .join(broadcast_if_small(table(chosen, "chosen")), ["lang", "key", "doc_id"], "left_semi"))
     return rows.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text")
