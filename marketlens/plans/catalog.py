@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import (
     adjacency, arbitrage, competition, findings, ingest, overview, pool, profile, quality, usage,
 )
-from marketlens.plans import build, publish
+from marketlens.plans import aggregates, build, publish
 from marketlens.plans.oracle import (
     INGEST_SQL, MARKET_CTE, SKILLS_LABEL_CTE, SKILLS_VECTOR_CTE, USAGE_CTE, with_ctes,
 )
@@ -986,3 +986,41 @@ def d17_vintage_drift(spark, sf_dir):
     keys = ["soc_code", "area_code"]
     return quality.row_count_drift(cleaned.where("vintage = 'current'"),
                                    cleaned.where("vintage = 'prior'"), keys)
+
+
+# ---------------------------------------------------------------- X6 -------
+def _republished(spark, sf_dir) -> str:
+    """A base with two versions of the published measures: first of an older market, in which every third category
+    has other figures, some are not there yet and one is there that ends later; then of the market itself."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/aggregates-{uuid.uuid4().hex}"
+    market = testmart.market(spark, sf_dir)
+    n = F.substring_index("soc_code", "#", -1).cast("int")
+    older = (market.withColumn("employment_per_1k", F.when(n % 3 == 0, F.col("employment_per_1k") * 2)
+                               .otherwise(F.col("employment_per_1k")))
+             .where((n % 7 != 1) | (n % 3 == 0)))
+    first = market.select(F.min("soc_code")).scalar()
+    ended = market.where(F.col("soc_code") == first).withColumn("soc_code", F.lit("Brand#999"))
+    aggregates.publish(older.unionByName(ended), base, version="older")
+    aggregates.publish(market, base, version="newer")
+    return base
+
+
+@register("x6_published_index", Q1_SQL)
+def x6_published_index(spark, sf_dir):
+    return aggregates.read(spark, _republished(spark, sf_dir), "competition_index")
+
+
+@register("x6_published_pool", ORACLES["q5_talent_pool_summary"])
+def x6_published_pool(spark, sf_dir):
+    return _rounded(aggregates.read(spark, _republished(spark, sf_dir), "talent_pool"), Q5_PLACES)
+
+
+@register("x6_publish_history", with_ctes(MARKET_CTE, """
+cats AS (SELECT DISTINCT soc_code, CAST(split_part(soc_code, '#', 2) AS INTEGER) AS n FROM market)
+SELECT 1 AS step, 'older' AS version, COUNT(*) FILTER (n % 7 <> 1 OR n % 3 = 0) + 1 AS recomputed,
+       0::BIGINT AS carried, 0::BIGINT AS removed FROM cats
+UNION ALL
+SELECT 2, 'newer', COUNT(*) FILTER (n % 3 = 0 OR n % 7 = 1), COUNT(*) FILTER (n % 3 <> 0 AND n % 7 <> 1), 1 FROM cats
+"""))
+def x6_publish_history(spark, sf_dir):
+    return aggregates.history(spark, _republished(spark, sf_dir))
