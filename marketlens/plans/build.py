@@ -41,9 +41,12 @@ def _observe(df: DataFrame, name: str, observed: dict, extra=None) -> DataFrame:
 
 def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: DataFrame | None,
                 raw_onet: DataFrame, scope: DataFrame, floor: float = schema.MIN_EMPLOYMENT,
-                top_n: int = schema.TOP_N_METROS, materialize: bool = True) -> Marts:
-    """Lazy build of both marts. ``materialize`` checkpoints the two (small) results
-    so reports that read them many times do not re-run the build."""
+                top_n: int = schema.TOP_N_METROS, materialize: bool = True,
+                years: dict[str, int] | None = None) -> Marts:
+    """Lazy build of both marts. ``raw_oes`` may hold any number of vintages: the newest becomes the market, each
+    of its cells with the nearest earlier vintage that holds it (``years`` names the years of vintages
+    that have none in their names). ``materialize`` checkpoints the two (small) results so reports that
+    read them many times do not re-run the build."""
     observed: dict[str, Observation] = {}
     typed = ingest.typed_oes(ingest.normalise_headers(raw_oes))
     scoped = ingest.scope_filter(typed, scope)
@@ -64,10 +67,7 @@ def build_marts(raw_oes: DataFrame, raw_national: DataFrame, raw_projections: Da
         ensure_checkpoint_dir(cleaned.sparkSession)
         cleaned = cleaned.checkpoint(eager=True)
 
-    current = cleaned.where(F.col("vintage") == "current").drop("vintage")
-    prior = cleaned.where(F.col("vintage") == "prior").drop("vintage")
-    kept = ingest.top_areas(current, top_n)
-    with_prior = ingest.attach_prior(kept, prior)
+    with_prior = kept = ingest.top_areas(ingest.newest_with_prior(cleaned, years), top_n)
     full = ingest.attach_dimensions(with_prior, ingest.national_medians(raw_national, scope),
                                     ingest.projections(raw_projections, scope), scope)
     market = ingest.conform(full.where(ingest.monotonic_ok()))
@@ -105,11 +105,11 @@ class BuildError(RuntimeError):
 def run_build(spark, oes_path: str, national_path: str, onet_path: str,
               projections_path: str | None, scope: DataFrame, base: str,
               floor: float = schema.MIN_EMPLOYMENT, top_n: int = schema.TOP_N_METROS,
-              version: str | None = None) -> tuple[str, dict]:
+              version: str | None = None, years: dict[str, int] | None = None) -> tuple[str, dict]:
     """Entry B end to end: landing files -> marts -> validated, committed version.
 
-    ``oes_path`` holds ``vintage=current`` / ``vintage=prior`` folders of
-    delimited files; the national and projection files are read the same way,
+    ``oes_path`` holds ``vintage=...`` folders of delimited files, named by year
+    (or ``current`` / ``prior``, or as ``years`` says); the national and projection files are read the same way,
     the skills file tab-separated. Crossed wage percentiles are fatal and named
     (at most ten rows are fetched for the message). Returns the committed
     version and the step counts observed during the build pass.
@@ -119,7 +119,7 @@ def run_build(spark, oes_path: str, national_path: str, onet_path: str,
 
     proj = raw.read_projections(spark, projections_path) if projections_path else None
     marts = build_marts(raw.read_oes(spark, oes_path), raw.read_oes(spark, national_path),
-                        proj, raw.read_onet(spark, onet_path), scope, floor, top_n)
+                        proj, raw.read_onet(spark, onet_path), scope, floor, top_n, years=years)
     crossed = marts.quarantine.limit(10).collect()
     if crossed:
         names = ", ".join(f"{r.soc_code}@{r.metro}" for r in crossed)

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens import schema
 from marketlens.operators import (
     adjacency, arbitrage, competition, findings, ingest, overview, pool, profile, quality, usage,
 )
@@ -663,6 +664,77 @@ def i_build_from_landing(spark, sf_dir):
                              raw.read_onet(spark, f"{root}/onet"), raw.ingest_scope(spark, sf_dir)).market
 
 
+YEARS = (1993, 1995, 1996, 1998)
+_CUT = "CASE WHEN l.l_shipdate >= TIMESTAMP '1998-07-01' THEN 'current' ELSE 'prior' END AS vintage"
+_LAST_JOIN = "JOIN region r ON n.n_regionkey = r.r_regionkey\n)"
+assert _CUT in INGEST_SQL and _LAST_JOIN in INGEST_SQL
+YEARLY_SQL = INGEST_SQL.replace(_CUT, "CAST(year(l.l_shipdate) AS VARCHAR) AS vintage").replace(
+    _LAST_JOIN, _LAST_JOIN[:-1] + f"""WHERE year(l.l_shipdate) IN {YEARS}
+      AND (CAST(split_part(p.p_brand, '#', 2) AS INTEGER) + s.s_nationkey + year(l.l_shipdate)) % 5 <> 0
+)""")
+
+
+def _yearly(spark, sf_dir) -> DataFrame:
+    """Raw rows of four vintages with uneven gaps; each lacks another fifth of the cells."""
+    year = F.year("l_shipdate")
+    held = year.isin(*YEARS) & ((F.col("brand") + F.col("s_nationkey") + year) % 5 != 0)
+    return raw.raw_oes(spark, sf_dir, raw._line_cube(spark, sf_dir, F.when(held, year.cast("string"))))
+
+
+@register("i_vintage_growth", YEARLY_SQL.rstrip() + """,
+dated AS (SELECT *, CAST(vintage AS INTEGER) AS year FROM cleaned)
+SELECT a.vintage, a.soc_code, a.area_code, a.employment, b.vintage AS prior_vintage, b.employment AS employment_prior,
+       (a.year - b.year)::INTEGER AS gap_years, a.employment / NULLIF(b.employment, 0) - 1.0 AS growth,
+       ROUND(POW(a.employment / NULLIF(b.employment, 0), 1.0 / (a.year - b.year)) - 1.0, 8) AS growth_per_year
+FROM dated a ASOF LEFT JOIN dated b ON a.soc_code = b.soc_code AND a.area_code = b.area_code AND a.year > b.year
+""")
+def i_vintage_growth(spark, sf_dir):
+    """I1 / I16 over landing folders of four vintages named by year."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    rows = _yearly(spark, sf_dir)
+    for year in YEARS:
+        _landing(rows.where(F.col("vintage") == str(year)), root, vintage=str(year))
+    cleaned = ingest.clean_vintage(raw.read_oes(spark, root), raw.ingest_scope(spark, sf_dir))
+    return _rounded(ingest.vintage_growth(cleaned).select(
+        "vintage", "soc_code", "area_code", "employment", "prior_vintage", "employment_prior", "gap_years", "growth",
+        "growth_per_year"), {"growth_per_year": 8})
+
+
+@register("i_header_contract", INGEST_SQL.rstrip() + """,
+parts AS (SELECT vintage, ascii(right("OCC_CODE", 1)) % 3 AS part, COUNT(*) AS n FROM raw_oes GROUP BY ALL)
+SELECT 'good' AS vintage, part, 15 AS n_columns, n AS n_rows, '' AS missing, 'ok' AS verdict FROM parts WHERE vintage = 'current'
+UNION ALL SELECT 'padded', part, 16, n, '', 'ok' FROM parts WHERE vintage = 'prior'
+UNION ALL SELECT 'short', part, 13, n, 'A_MEDIAN, NAICS', 'missing' FROM parts WHERE vintage = 'prior'
+UNION ALL SELECT 'twice', part, 16, n, '', 'repeated' FROM parts WHERE vintage = 'prior'
+UNION ALL SELECT 'mixed', part, 15, n, '', CASE WHEN part = (SELECT MIN(part) FROM parts WHERE vintage = 'prior') THEN 'ok'
+                                               ELSE 'disagrees' END FROM parts WHERE vintage = 'prior'
+UNION ALL SELECT 'broken', part, 15, 2 * n, '', 'open quote' FROM parts WHERE vintage = 'prior'
+""")
+def i_header_contract(spark, sf_dir):
+    """One verdict a file over vintages that keep or break the contract, each in several files."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    oes = raw.raw_oes(spark, sf_dir, raw._line_cube(spark, sf_dir)).drop("src_row")
+    oes = oes.withColumn("part", F.ascii(F.right("OCC_CODE", F.lit(1))) % 3)
+    prior = oes.where("vintage = 'prior'").drop("vintage")
+    names = [c for c in prior.columns if c != "part"]
+
+    def write(df: DataFrame, vintage: str) -> None:
+        (df.repartition("part").write.mode("append").partitionBy("part").option("header", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("emptyValue", "").csv(f"{root}/vintage={vintage}"))
+    write(oes.where("vintage = 'current'").drop("vintage"), "good")
+    write(prior.select(F.lit("x").alias("NOTE"), *[F.col(c).alias(f" {c.lower()} ") for c in reversed(names)], "part"), "padded")
+    write(prior.drop("NAICS", "A_MEDIAN"), "short")
+    write(prior.withColumn(" naics", F.lit("0")), "twice")
+    first = prior.select(F.min("part")).scalar()
+    write(prior.where(F.col("part") == first), "mixed")
+    write(prior.where(F.col("part") != first).select(*reversed(names), "part"), "mixed")
+    write(prior.withColumn("AREA_TITLE", F.concat(F.lit("line\n"), F.col("AREA_TITLE"))), "broken")
+    found = raw.header_contract(spark, root, list(schema.OES_COLUMNS.values()), upper=True)
+    return found.select("vintage", F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("int").alias("part"), "n_columns",
+                        "n_rows", "missing", "verdict")
+
+
 TOP_PLACES = 10
 
 

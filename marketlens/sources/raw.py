@@ -24,8 +24,10 @@ lines, ``#`` for p90 at or above 100,000.
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens import schema
@@ -35,46 +37,112 @@ from marketlens.sources.testmart import CURRENT_VINTAGE_START, table
 
 
 # ---------------------------------------------------------------- readers --
-def _landing_files(spark: SparkSession, path: str) -> dict[str | None, list[str]]:
-    """The landing files by vintage (None: not in a ``vintage=`` folder), in path order."""
-    found = spark.read.format("binaryFile").load(path)
-    if "vintage" not in found.columns:
-        found = found.withColumn("vintage", F.lit(None))
-    files: dict[str | None, list[str]] = {}
-    for r in found.select("path", F.col("vintage").cast("string")).orderBy("path").collect():
-        files.setdefault(r["vintage"], []).append(r["path"])
-    return files
-
-
-def _heading(spark: SparkSession, file: str, sep: str, header_row: int | None,
-             wanted: tuple[str, ...]) -> tuple[list[str], list[list[str]]]:
-    """Column names, and the lines up to them. Without a ``header_row`` the first line (of five)
-    whose cells hold every wanted word is the header, else the first line."""
-    lines = [next(csv.reader([r[0]], delimiter=sep), []) for r in spark.read.text(file).head(5)]
-    if header_row is None:
-        header_row = next((i for i, cells in enumerate(lines) if all(
-            any(w in c.lower() for c in cells) for w in wanted)), 0) if wanted else 0
-    if header_row >= len(lines):
-        raise ValueError(f"{file} has no line {header_row} to take headers from")
-    return lines[header_row], lines[:header_row + 1]
-
-
-def _read_vintage(spark: SparkSession, files: list[str], vintage: str | None, sep: str,
-                  header_row: int | None, wanted: tuple[str, ...]) -> DataFrame:
-    """One vintage under its own header; every file must have the same one."""
-    names, above = _heading(spark, files[0], sep, header_row, wanted)
-    for f in files[1:]:
-        if _heading(spark, f, sep, len(above) - 1, ())[0] != names:
-            raise ValueError(f"files of one vintage disagree in their headers: {files[0]} and {f}")
+#: Lines of a file among which a header is looked for when its place is not given.
+HEADER_LINES = 5
+#: Vintages with faulty files that one error message names.
+NAMED = 10
+
+
+class LandingError(ValueError):
+    """Landing files that break the header contract; ``faults`` has one row a vintage."""
+
+    def __init__(self, message: str, faults: list):
+        super().__init__(message)
+        self.faults = faults
+
+
+def landing_files(spark: SparkSession, path: str, sep: str = ",", header_row: int | None = 0,
+                  wanted: tuple[str, ...] = ()) -> DataFrame:
+    """``(vintage, file, above, lines, open_quotes)``, one row per landing file, from one scan of the text.
+
+    ``above`` holds the lines down to the header (the first line; without a ``header_row`` the first of
+    ``HEADER_LINES`` that holds every wanted word, else the first). ``lines`` counts all lines, ``open_quotes``
+    those with a quoted cell and an odd number of quotes: the cell goes on in the next line. The files are
+    scanned once, by as many tasks as their size asks for, whatever their number."""
+    file = F.col("_metadata.file_path")
+    text = spark.read.text(path).select("value", file.alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                        F.monotonically_increasing_id().alias("id"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    opened = (quotes % 2 == 1) & F.col("value").rlike(rf'(^|[{sep}])"')
+    counted = text.groupBy("file").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(opened).alias("open_quotes"),
+        F.min_by("value", F.struct("at", "id")).alias("first"))
+    if header_row == 0:
+        out = counted.withColumn("above", F.array("first"))
+    else:
+        top = (text.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at", "id")))
+               .where(F.col("n") <= (HEADER_LINES if header_row is None else header_row + 1)))
+        tops = top.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "value")))["value"].alias("top"))
+        if header_row is None:
+            fits = F.array_position(F.transform("top", lambda x: F.forall(
+                F.array(*[F.lit(w) for w in wanted]), lambda w: F.contains(F.lower(x), w))), True)
+            size = F.greatest(fits, F.lit(1)) if wanted else F.lit(1)
+        else:
+            size = F.lit(header_row + 1)
+        out = counted.join(tops, "file").withColumn("above", F.slice("top", F.lit(1), size.cast("int")))
+    return out.select(_vintage(F.col("file")).alias("vintage"), "file", "above", "lines", "open_quotes")
+
+
+def _vintage(file) -> F.Column:
+    """The value of the ``vintage=`` folder in a file's path as Spark shows it: that path is URL-encoded, and a
+    folder's name has its special characters escaped the same way."""
+    name = F.regexp_extract(file, "/vintage=([^/]+)/", 1)
+    for _ in range(2):
+        name = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    return F.when(name != "", name)
+
+
+def _cells(files: DataFrame, sep: str) -> DataFrame:
+    """``files`` with ``names``: the cells of each file's header line, trimmed."""
+    def parse(batches):
+        for b in batches:
+            above = b.column("above").to_pylist()
+            names = [[c.strip() for c in next(csv.reader([x[-1].removeprefix("\ufeff")], delimiter=sep), [])] for x in above]
+            yield b.append_column("names", pa.array(names, pa.list_(pa.string())))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(parse, f"{fields}, names array<string>")
+
+
+def header_contract(spark: SparkSession, path: str, required: list[str] | tuple[str, ...] = (), sep: str = ",",
+                    header_row: int | None = 0, wanted: tuple[str, ...] = (), upper: bool = False) -> DataFrame:
+    """I2 over any number of landing files: ``(vintage, file, n_columns, n_rows, missing, verdict)`` and, for the
+    reader, ``above`` and ``names``.
+
+    ``verdict``, the first that holds: ``missing`` (required columns that the file lacks), ``repeated`` (a column name
+    twice), ``disagrees`` (its columns differ from those of its vintage's first file), ``open quote`` (a quoted cell
+    goes on in the next line, which would become rows of its own), ``no rows``, or ``ok``. Names are compared
+    trimmed and, with ``upper``, in capitals."""
+    files = _cells(landing_files(spark, path, sep, header_row, wanted), sep)
+    if upper:
+        files = files.withColumn("names", F.transform("names", F.upper))
+    ensure_checkpoint_dir(spark)
+    files = files.checkpoint(eager=True)            # one row a file; the text is scanned once
+    need = F.array(*[F.lit(c) for c in required]).cast("array<string>")
+    firsts = files.groupBy(F.col("vintage").alias("_v")).agg(F.min_by("names", "file").alias("_names"))
+    missing = F.array_sort(F.array_except(need, "names"))
+    verdict = (F.when(F.size("missing") > 0, "missing")
+               .when(F.size(F.array_distinct("names")) < F.size("names"), "repeated")
+               .when(F.col("names") != F.col("_names"), "disagrees")
+               .when(F.col("open_quotes") > 0, "open quote")
+               .when(F.col("n_rows") <= 0, "no rows").otherwise("ok"))
+    return (files.join(firsts, F.col("vintage").eqNullSafe(F.col("_v")))
+            .withColumn("missing", missing).withColumn("n_rows", F.col("lines") - F.size("above"))
+            .select("vintage", "file", F.size("names").alias("n_columns"), "n_rows",
+                    F.array_join("missing", ", ").alias("missing"), verdict.alias("verdict"), "above", "names"))
+
+
+def _read_vintage(spark: SparkSession, path: str, vintage: str | None, sep: str, names: list[str],
+                  above: list[str]) -> DataFrame:
+    """The rows of one vintage, whose files share one header."""
     cells = [f"_c{i}" for i in range(len(names))]
     df = (spark.read.schema(", ".join(f"{c} string" for c in cells)).option("sep", sep)
-          .option("header", False).csv(files)
+          .option("header", False).csv(path)
           .withColumn("src_row", F.struct("_metadata.file_path", "_metadata.file_block_start",
                                           F.monotonically_increasing_id().alias("row"))))
     for line in above:          # the title and header lines are known by their whole content
-        padded = (line + [None] * len(cells))[:len(cells)]
+        parsed = next(csv.reader([line], delimiter=sep), [])
         same = F.lit(True)
-        for c, v in zip(cells, padded):
+        for c, v in zip(cells, (parsed + [None] * len(cells))[:len(cells)]):
             same = same & F.coalesce(F.col(c), F.lit("")).eqNullSafe(F.lit(v or ""))
         df = df.where(~same)
     out = df.select(*[F.col(c).alias(n) for c, n in zip(cells, names)], "src_row")
@@ -82,16 +150,30 @@ def _read_vintage(spark: SparkSession, files: list[str], vintage: str | None, se
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header_row: int | None = 0,
-                   wanted: tuple[str, ...] = ()) -> DataFrame:
-    """All-string delimited files; ``vintage`` from ``vintage=`` folders.
-
-    Each vintage is read under its own header and the vintages are united by column name, so
-    neither column order nor further columns of one vintage move another's values. ``src_row``
-    orders rows by file, block and place in it, whatever order Spark reads the files in."""
-    parts = [_read_vintage(spark, files, vintage, sep, header_row, wanted)
-             for vintage, files in _landing_files(spark, path).items()]
-    if not parts:
+                   wanted: tuple[str, ...] = (), required: tuple[str, ...] | list[str] = (), upper: bool = False) -> DataFrame:
+    """All-string delimited files; ``vintage`` from ``vintage=`` folders, of which there can be any number.
+
+    The header contract is checked first, for all files in one job; a file that breaks it is fatal and
+    named with what it lacks. Each vintage is then read under its own header and the vintages are united by
+    column name, so neither column order nor further columns of one vintage move another's values.
+    ``src_row`` orders rows by file, block and place in it, whatever order Spark reads the files in. What
+    comes to the driver is one row a vintage: its header and its first faulty file."""
+    fatal = F.col("verdict").isin("missing", "repeated", "disagrees", "open quote")
+    found = header_contract(spark, path, required, sep, header_row, wanted, upper)
+    heads = sorted(found.groupBy("vintage").agg(
+        F.min_by(F.struct("file", "above", "names"), "file").alias("head"), F.count_if(fatal).alias("faulty"),
+        F.min(F.when(fatal, F.struct("file", "verdict", "missing"))).alias("first")).collect(), key=lambda r: r["vintage"] or "")
+    if not heads:
         raise FileNotFoundError(f"no landing file under {path}")
+    if faults := [r for r in heads if r["faulty"]]:
+        told = "; ".join(f"vintage {r['vintage']}: {r['faulty']} of its files, the first is {r['first']['file']}: {r['first']['verdict']}"
+                         + (f" {r['first']['missing']}" if r["first"]["missing"] else "") for r in faults[:NAMED])
+        raise LandingError(f"landing files disagree with the header contract: {told}", faults)
+    parts = []
+    for r in heads:
+        file = unquote(r["head"]["file"])
+        folder = path if r["vintage"] is None else file[:file.index("/", file.index("/vintage=") + 1)]
+        parts.append(_read_vintage(spark, folder, r["vintage"], sep, r["head"]["names"], r["head"]["above"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -104,7 +186,8 @@ def read_projections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_oes(spark: SparkSession, path: str) -> DataFrame:
-    return read_delimited(spark, path, ",")
+    """Place or national files; each vintage must hold every column of the contract."""
+    return read_delimited(spark, path, ",", required=list(schema.OES_COLUMNS.values()), upper=True)
 
 
 def read_onet(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +216,7 @@ def ingest_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("occupation_group")))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, vintage: F.Column | None = None) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
     pa = table(spark, sf_dir, "part").select(
@@ -141,8 +224,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     re = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    vintage = F.when(F.col("l_shipdate") >= F.lit(CURRENT_VINTAGE_START).cast("timestamp"),
-                     F.lit("current")).otherwise(F.lit("prior"))
+    if vintage is None:
+        vintage = F.when(F.col("l_shipdate") >= F.lit(CURRENT_VINTAGE_START).cast("timestamp"),
+                         F.lit("current")).otherwise(F.lit("prior"))
     return (li.join(pa, li.l_partkey == pa.p_partkey)
             .join(su, li.l_suppkey == su.s_suppkey)
             .join(na, F.col("s_nationkey") == na.n_nationkey)
@@ -151,11 +235,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "r_name", "l_returnflag", "l_quantity", "l_extendedprice"))
 
 
-def _line_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_cube(spark: SparkSession, sf_dir: str, vintage: F.Column | None = None) -> DataFrame:
     """One pass over the line facts at the finest grain any raw row needs; every
-    raw row kind rolls up from this (small, checkpointed) cube."""
+    raw row kind rolls up from this (small, checkpointed) cube. ``vintage`` names a line's
+    vintage (null: none); by default there are two, current and prior."""
     ensure_checkpoint_dir(spark)
-    lines = _lines(spark, sf_dir)
+    lines = _lines(spark, sf_dir, vintage).where("vintage IS NOT NULL")
     return (lines.groupBy("vintage", "brand", "s_nationkey", "n_name", "n_regionkey", "r_name",
                           "l_returnflag")
             .agg(F.sum("l_quantity").alias("_emp"), F.count(F.lit(1)).alias("_n"),
