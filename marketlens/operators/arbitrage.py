@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schema
 from marketlens.functions.columns import nullif_zero, pick_percentile, safe_div
+from marketlens.operators.ranking import Order, cumulative_before
 
 SCENARIO_KEYS = ["soc_code", "baseline_area", "headcount", "percentile"]
 OUTPUT_COLUMNS = [
@@ -112,6 +113,61 @@ def viable_alternatives(arbitrage: DataFrame) -> DataFrame:
     return arbitrage.where(viable())
 
 
+# ---------------------------------------------------------------- every baseline --
+def all_baselines(market: DataFrame, headcounts: tuple[int, ...] = (20,), percentiles: tuple[str, ...] = ("p50",),
+                  k: int = 3, min_employment: float | None = None, strategy: str = "window") -> DataFrame:
+    """Q2j: for every place as the baseline, its first ``k`` viable places in delta order, and how many there are.
+
+    Which places are deep enough depends on the plan alone, and the order by wage not on the baseline: a place is
+    viable for a baseline if it isn't Thin and its wage is below the baseline's. So a (category, plan) has one
+    list, its ``k`` cheapest places that aren't Thin, and a baseline's first ``k`` viable places are the part of
+    that list below its own wage. No place meets another: the ``k`` entries are found under a rank limit that Spark
+    applies before the shuffle, and each baseline row is widened to at most ``k`` rows.
+
+    ``viable_places`` counts all viable places: the deep enough ones strictly ahead in wage order, by a window
+    over the category (bounded by the place dimension) or, with ``strategy="distributed"``, by the range
+    layout of :mod:`ranking`, which splits a category over many tasks. Baselines without a viable place have one
+    row, with a null place. Rows: one per (category, headcount, percentile, baseline, rank)."""
+    for h in headcounts:
+        for p in percentiles:
+            validate(h, p)
+    if strategy not in ("window", "distributed"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    floor = schema.MIN_EMPLOYMENT_FOR_INDEX if min_employment is None else min_employment
+    plans = F.array(*[F.struct(F.lit(int(h)).cast("long").alias("headcount"), F.lit(p).alias("percentile"),
+                               F.col(f"wage_{p}").alias("pay")) for h in headcounts for p in percentiles])
+    capacity = F.col("employment") * F.lit(schema.ANNUAL_POOL_CAPTURE_LIMIT)
+    keys = ["soc_code", "headcount", "percentile"]
+    priced = (market.where(F.col("employment") >= F.lit(float(floor)))
+              .select("soc_code", "area_code", "metro", "employment", F.explode(plans).alias("plan"))
+              .select("soc_code", "area_code", "metro", "employment", "plan.*")
+              .where(F.col("pay").isNotNull())
+              .withColumn("ample", (capacity >= F.col("headcount")).cast("long")))
+
+    order = Window.partitionBy(*keys).orderBy("pay", "area_code")
+    listed = (priced.where("ample = 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+              .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+                  "rank", "area_code", "metro", "pay", "employment"))).alias("listed")))
+    if strategy == "window":
+        here, same = Window.partitionBy(*keys).orderBy("pay"), Window.partitionBy(*keys, "pay")
+        counted = priced.withColumn("viable_places", F.sum("ample").over(here) - F.sum("ample").over(same))
+    else:
+        ahead = (cumulative_before(priced.select(*keys, "pay", "ample"), keys, Order("pay"), weight="ample")
+                 .select(*keys, "pay", F.col("_before").alias("viable_places")))
+        counted = priced.join(ahead, [*keys, "pay"])
+
+    found = F.filter("listed", lambda x: x["pay"] < F.col("pay"))
+    delta = F.col("v.pay") - F.col("pay")
+    return (counted.join(listed, keys, "left")
+            .select(*keys, F.col("area_code").alias("baseline_area"), F.col("metro").alias("baseline_metro"),
+                    F.col("pay"), "viable_places", F.explode_outer(found).alias("v"))
+            .select(*keys, "baseline_area", "baseline_metro", F.col("pay").alias("baseline_wage"), "viable_places",
+                    F.col("v.rank").alias("rank"), F.col("v.area_code").alias("area_code"), F.col("v.metro").alias("metro"),
+                    F.col("v.pay").alias("wage_at_percentile"), delta.alias("wage_delta_per_hire"),
+                    safe_div(delta, "pay").alias("wage_delta_pct"), (F.col("headcount") * delta).alias("annual_delta_total"),
+                    F.floor(F.col("v.employment") * schema.ANNUAL_POOL_CAPTURE_LIMIT).cast("double").alias("hires_supportable")))
+
+
 # ---------------------------------------------------------------- findings --
 def cheapest_vs_viable(arbitrage: DataFrame) -> DataFrame:
     """per scenario, the cheapest place and the first viable one (not Thin and

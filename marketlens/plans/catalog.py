@@ -114,6 +114,37 @@ register("q2_wage_arbitrage", with_ctes(MARKET_CTE, Q2_BODY.format(headcount=20,
 register("q2_wage_arbitrage_p75_h60",
          with_ctes(MARKET_CTE, Q2_BODY.format(headcount=60, percentile="p75")))(_q2(60, "p75"))
 
+# every place as the baseline; the SQL meets all pairs of places, the operator none
+Q2J = {"headcounts": (5, 20, 60), "percentiles": ("p25", "p50", "p90"), "k": 3}
+Q2J_SQL = with_ctes(MARKET_CTE, """
+plan AS (SELECT * FROM (VALUES """ + ", ".join(f"({h}::BIGINT, '{p}')" for h in Q2J["headcounts"] for p in Q2J["percentiles"]) + """) v(headcount, percentile)),
+cell AS (SELECT soc_code, headcount, percentile, area_code, metro, employment * 0.02 AS reachable,
+                CASE percentile WHEN 'p25' THEN wage_p25 WHEN 'p50' THEN wage_p50 ELSE wage_p90 END AS pay
+         FROM market, plan WHERE employment >= 100.0),
+pair AS (SELECT a.*, b.area_code AS to_area, b.metro AS to_metro, b.pay AS to_pay, FLOOR(b.reachable) AS hires,
+                COUNT(b.area_code) OVER (PARTITION BY a.soc_code, a.headcount, a.percentile, a.area_code) AS viable_places,
+                ROW_NUMBER() OVER (PARTITION BY a.soc_code, a.headcount, a.percentile, a.area_code
+                                   ORDER BY a.headcount * (b.pay - a.pay), b.area_code) AS n
+         FROM cell a LEFT JOIN cell b ON a.soc_code = b.soc_code AND a.headcount = b.headcount AND a.percentile = b.percentile
+              AND b.reachable >= b.headcount AND b.headcount * (b.pay - a.pay) < 0
+         WHERE a.pay IS NOT NULL)
+SELECT soc_code, headcount, percentile, area_code AS baseline_area, metro AS baseline_metro, pay AS baseline_wage, viable_places,
+       CASE WHEN to_area IS NOT NULL THEN n END::INTEGER AS rank, to_area AS area_code, to_metro AS metro, to_pay AS wage_at_percentile,
+       to_pay - pay AS wage_delta_per_hire, (to_pay - pay) / NULLIF(pay, 0) AS wage_delta_pct,
+       headcount * (to_pay - pay) AS annual_delta_total, hires AS hires_supportable
+FROM pair WHERE n <= """ + str(Q2J["k"]))
+
+
+@register("q2j_viable_alternatives", Q2J_SQL)
+def q2j_viable_alternatives(spark, sf_dir):
+    return arbitrage.all_baselines(testmart.market(spark, sf_dir), **Q2J)
+
+
+@register("q2j_viable_alternatives_distributed", Q2J_SQL)
+def q2j_viable_alternatives_distributed(spark, sf_dir):
+    return arbitrage.all_baselines(testmart.market(spark, sf_dir), **Q2J, strategy="distributed")
+
+
 # ---------------------------------------------------------------- Q4 -------
 Q4_BODY = """
 usual AS (SELECT skill, SUM(importance::DECIMAL(18,6))::DOUBLE / COUNT(importance) AS mean_importance,
