@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schema
 from marketlens.functions.columns import safe_div
-from marketlens.operators.ranking import (
-    Order, percent_rank_distributed, percent_rank_window, percentile_cont_distributed,
-)
+from marketlens.operators.ranking import Order, attach_ranks, percent_rank_window, rank_layout
 
 OUTPUT_COLUMNS = [
     "soc_code", "occupation", "occupation_group", "area_code", "metro", "state",
@@ -35,6 +33,7 @@ SCORE_ORDERS = {
     "wage_premium_score": Order("wage_premium", ascending=True, nulls_first=False),
     "growth_score": Order("growth_filled", ascending=False, nulls_first=True),
 }
+BY_INDEX = Order("competition_index", ascending=False, nulls_first=True)
 
 
 def competition_index(market: DataFrame, min_employment: float | None = None,
@@ -42,48 +41,73 @@ def competition_index(market: DataFrame, min_employment: float | None = None,
                       strategy: str = "window") -> DataFrame:
     weights = schema.validate_weights(weights or schema.INDEX_WEIGHTS)
     floor = schema.MIN_EMPLOYMENT_FOR_INDEX if min_employment is None else min_employment
-    by_soc = Window.partitionBy("soc_code")
-
-    scoped = market.where(F.col("employment") >= F.lit(float(floor)))
-    if strategy == "window":
-        median_growth = F.median("supply_growth_3y").over(by_soc)
-    else:
-        median_growth = F.col("_median_growth")
-        med = percentile_cont_distributed(scoped, ["soc_code"], "supply_growth_3y",
-                                          {"_median_growth": 0.5})
-        scoped = scoped.join(med, "soc_code", "left")
-
-    signals = (scoped
-               .withColumn("growth_filled", F.coalesce("supply_growth_3y", median_growth))
+    if strategy not in ("window", "distributed"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    signals = (market.where(F.col("employment") >= F.lit(float(floor)))
                .withColumn("growth_imputed", F.col("supply_growth_3y").isNull())
                .withColumn("wage_premium", safe_div("wage_p50", "national_wage_p50") - 1.0)
                .withColumn("wage_dispersion",
                            safe_div(F.col("wage_p75") - F.col("wage_p25"), "wage_p50")))
-
-    ranked = signals
-    for name, order in SCORE_ORDERS.items():
-        if strategy == "window":
-            ranked = ranked.withColumn(name, 100.0 * percent_rank_window(["soc_code"], order))
-        elif strategy == "distributed":
-            ranked = percent_rank_distributed(ranked, ["soc_code"], order, "_pr")
-            ranked = ranked.withColumn(name, 100.0 * F.col("_pr")).drop("_pr")
-        else:
-            raise ValueError(f"unknown strategy {strategy!r}")
-
+    ranked = _window_scores(signals) if strategy == "window" else _distributed_scores(signals)
     composite = (F.lit(weights["scarcity"]) * F.col("scarcity_score")
                  + F.lit(weights["wage_premium"]) * F.col("wage_premium_score")
                  + F.lit(weights["growth"]) * F.col("growth_score"))
     out = ranked.withColumn("competition_index", composite)
-    by_index = Order("competition_index", ascending=False, nulls_first=True)
     if strategy == "window":
         out = out.withColumn("difficulty_rank", F.rank().over(
-            by_soc.orderBy(by_index.sort())).cast("long"))
+            Window.partitionBy("soc_code").orderBy(BY_INDEX.sort())).cast("long"))
     else:
-        out = percent_rank_distributed(out, ["soc_code"], by_index, "difficulty_rank",
-                                       kind="rank")
+        out = out.checkpoint(eager=True)            # mart-sized, read by the layout and by the join
+        layout = rank_layout(out, ["soc_code"], [BY_INDEX])
+        out = (attach_ranks(out, ["soc_code"], schema.MARKET_KEYS, {"index": BY_INDEX}, layout)
+               .withColumn("difficulty_rank", (F.col("_before_index") + 1).cast("long")))
     return out.select(*OUTPUT_COLUMNS)
 
 
+def _window_scores(signals: DataFrame) -> DataFrame:
+    """Median and percent ranks as windows over the category."""
+    median = F.median("supply_growth_3y").over(Window.partitionBy("soc_code"))
+    out = signals.withColumn("growth_filled", F.coalesce("supply_growth_3y", median))
+    for name, order in SCORE_ORDERS.items():
+        out = out.withColumn(name, 100.0 * percent_rank_window(["soc_code"], order))
+    return out
+
+
+def _distributed_scores(signals: DataFrame) -> DataFrame:
+    """The same scores from one range layout of the three measures.
+
+    Growth is laid out as reported, nulls last, highest first, so that its layout gives the median as well. A row
+    without growth stands at the median: ahead of it are the reported values above the median; ahead of a
+    reported value are the higher ones and, if the median is higher, all rows without growth."""
+    orders = SCORE_ORDERS | {"growth_score": Order("supply_growth_3y", ascending=False, nulls_first=False)}
+    layout = rank_layout(signals, ["soc_code"], list(orders.values()))
+    growth = layout.where(F.col("_measure") == list(orders).index("growth_score"))
+
+    values = F.col("_total") - F.col("_nulls")
+    nulls = growth.where(F.col("_null") == 1).select("soc_code", F.col("_w").alias("_nulls"))     # a row a category
+    held = growth.where(F.col("_null") == 0).join(nulls, "soc_code", "left").na.fill(0, ["_nulls"])
+    last = F.col("_before") + F.col("_w") - 1
+    high, low = F.floor((values - 1) / 2), F.ceil((values - 1) / 2)      # places of the two middle values, from above
+    middle = held.groupBy("soc_code").agg(
+        F.max(F.when((F.col("_before") <= low) & (low <= last), F.struct(-F.col("_v"), "_before"))).alias("_low"),
+        F.max(F.when((F.col("_before") <= high) & (high <= last), F.struct(-F.col("_v"), "_before"))).alias("_high"),
+        F.max("_nulls").alias("_nulls"), F.max(((values - 1) % 2) / 2.0).alias("_half"))
+    low_v, high_v = F.col("_low.col1"), F.col("_high.col1")
+    median = (low_v + (high_v - low_v) * F.col("_half")).alias("_median")
+    middle = middle.select("soc_code", "_nulls", median, "_low", "_high").select(
+        "soc_code", "_nulls", "_median",
+        F.when(F.col("_median") == F.col("_high.col1"), F.col("_high._before")).otherwise(F.col("_low._before")).alias("_above"))
+
+    out = attach_ranks(signals, ["soc_code"], schema.MARKET_KEYS, orders, layout).join(middle, "soc_code", "left")
+    reported = F.col("_before_growth_score") + F.when(F.col("_median") > F.col("supply_growth_3y"), F.col("_nulls")).otherwise(0)
+    out = out.withColumn("_before_growth_score", F.when(F.col("supply_growth_3y").isNull(), F.coalesce("_above", F.lit(0)))
+                         .otherwise(reported))
+    for name in orders:
+        out = out.withColumn(name, 100.0 * F.when(F.col("_total") <= 1, F.lit(0.0))
+                             .otherwise(F.col(f"_before_{name}") / (F.col("_total") - 1)))
+    return out
+
+
 def ordered(result: DataFrame) -> DataFrame:
     """Presentation order: hardest first within each category (area breaks ties)."""
     return result.orderBy("soc_code", F.col("competition_index").desc(), "area_code")

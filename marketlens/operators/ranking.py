@@ -124,6 +124,64 @@ def percent_rank_distributed(df: DataFrame, keys: list[str], order: Order,
     return df.join(ranks, cond, "left").drop(*[f"_rk_{k}" for k in keys], "_rk_v")
 
 
+def _placed(order: Order) -> tuple[Column, Column]:
+    """``(_null, _v)`` that sort ascending as ``order`` sorts: nulls before (-1) or after (1) the values (0),
+    descending values negated."""
+    c = F.col(order.column).cast("double")
+    first = order.ascending if order.nulls_first is None else order.nulls_first
+    value = c if order.ascending else F.lit(0.0) - c
+    return F.when(c.isNull(), F.lit(-1 if first else 1)).otherwise(F.lit(0)), F.coalesce(value, F.lit(0.0))
+
+
+def _melt(orders: list[Order], first: list[Column] | None = None) -> Column:
+    """One element per order: ``(_measure, _null, _v)``; ``first`` rides along the first one only."""
+    out = []
+    for i, order in enumerate(orders):
+        null, v = _placed(order)
+        fields = [F.lit(i).alias("_measure"), null.alias("_null"), v.alias("_v")]
+        if first:
+            row = F.struct(*first)
+            fields.append((row if not i else F.when(F.lit(False), row)).alias("_row"))
+        out.append(F.struct(*fields))
+    return F.explode(F.array(*out)).alias("_m")
+
+
+def rank_layout(df: DataFrame, keys: list[str], orders: list[Order]) -> DataFrame:
+    """Several orders of the same rows, ranked from one range layout.
+
+    The orders are melted into ``(_measure, keys, _null, _v)``, pre-aggregated to distinct values with their
+    weight ``_w``, range-partitioned once and given one set of offsets: ``_before`` is the number of rows of
+    the key strictly ahead of a value in that order (``_measure``: its place in ``orders``), ``_total`` the key's rows."""
+    values = df.select(*keys, _melt(orders)).select("_m._measure", *keys, "_m._null", "_m._v")
+    by = ["_measure", *keys]
+    grouped = values.groupBy(*by, "_null", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (grouped.repartitionByRange(*by, "_null", "_v").withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    local = Window.partitionBy(*by, "_pid").orderBy("_null", "_v").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(*by, "_pid").agg(F.sum("_w").alias("_pw"))
+               .withColumn("_offset", F.coalesce(F.sum("_pw").over(ahead), F.lit(0)))
+               .withColumn("_total", F.sum("_pw").over(Window.partitionBy(*by))).drop("_pw"))
+    return (ranged.withColumn("_local", F.coalesce(F.sum("_w").over(local), F.lit(0)))
+            .join(offsets, [*by, "_pid"])
+            .select(*by, "_null", "_v", "_w", (F.col("_offset") + F.col("_local")).alias("_before"), "_total"))
+
+
+def attach_ranks(df: DataFrame, keys: list[str], row_keys: list[str], orders: dict[str, Order],
+                 layout: DataFrame) -> DataFrame:
+    """``df`` with ``_before_<name>`` and ``_total`` of every order, by one join on the values and one grouping
+    by the row key, which must be unique. ``layout``: the :func:`rank_layout` of the same orders."""
+    names = list(orders)
+    rows = (df.select(*row_keys, _melt(list(orders.values()), [F.col(c) for c in df.columns]))
+            .select(*row_keys, "_m.*"))
+    met = rows.join(layout.drop("_w"), ["_measure", *keys, "_null", "_v"])
+    out = met.groupBy(*row_keys).agg(
+        F.first("_row", ignorenulls=True).alias("_row"), F.max("_total").alias("_total"),
+        *[F.max(F.when(F.col("_measure") == i, F.col("_before"))).alias(f"_before_{n}") for i, n in enumerate(names)])
+    return out.select("_row.*", "_total", *[f"_before_{n}" for n in names])
+
+
 def percentile_cont_distributed(df: DataFrame, keys: list[str], value: str,
                                 fractions: dict[str, float],
                                 weight: str | None = None, unique: bool = False) -> DataFrame:
