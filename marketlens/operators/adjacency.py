@@ -6,16 +6,11 @@ Plan
    norms ``sqrt(sum(dev^2))`` per category.
 2. Vectors: one row per category with its (skill, deviation) pairs, sorted by
    skill (bounded by the skill dimension).
-3. Block pairs: categories are hashed into ``B`` blocks; each vector row is
-   replicated to the ``B`` unordered block pairs that contain its block (an
-   equi-grouping on the pair id, the layout of a distributed matrix product).
-   Each pair group holds at most two blocks, so memory is bounded by the block
-   size whatever the data volume.
-4. Inside a pair group, numpy forms the block dot-product matrix and keeps, for
-   every target, its ``k`` best candidates (similarity DESC, category ASC).
-   Since each (target, candidate) pair lives in exactly one group, the union of
-   per-group top-k lists contains the global top-k: the final ``row_number``
-   over at most ``k * B`` rows per target is exact. No pair list is emitted.
+3. Top-k (:mod:`marketlens.operators.neighbours`): blocks of similar direction with a centre and a
+   radius; each target meets its own block, then only the blocks whose bound reaches its k-th
+   similarity. Exact for any blocks; memory is bounded by the block size.
+4. The spread (Q3j) needs every pair: categories are hashed into ``B`` blocks and replicated to the ``B``
+   unordered block pairs that contain their block (the layout of a distributed matrix product).
 5. Shared strengths (skills where both deviations are positive, ordered by the
    smaller deviation) are computed by Spark only for the selected pairs, with
    ``listagg ... WITHIN GROUP`` (NULL when there are none).
@@ -29,14 +24,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import schema
 from marketlens.functions.columns import exact_mean
+from marketlens.operators import neighbours
 from marketlens.session import shuffle_partitions
 
-PAIR_SCHEMA = "target_soc string, soc_code string, dot_product double, similarity double"
 SPREAD_SCHEMA = "target_soc string, sim_min double, sim_max double, candidates long"
 
 
@@ -87,45 +82,31 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return m, present
 
 
-def _pair_group(k: int, spreads: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        lo, hi = int(pdf["_bi"].iat[0]), int(pdf["_bj"].iat[0])
-        m, present = _matrix(pdf)
-        socs = pdf["soc_code"].to_numpy().astype(object)
-        norms = pdf["norm"].to_numpy().astype("float64")
-        blk = pdf["_block"].to_numpy()
-        sides = [(np.flatnonzero(blk == lo), np.flatnonzero(blk == hi))]
-        if lo != hi:
-            sides.append((sides[0][1], sides[0][0]))
-        out = []
-        for t_idx, c_idx in sides:
-            if len(t_idx) == 0 or len(c_idx) == 0:
-                continue
-            dots = m[t_idx] @ m[c_idx].T
-            shared = (present[t_idx] @ present[c_idx].T) > 0     # pairs meet only on a common skill
-            denom = np.outer(norms[t_idx], norms[c_idx])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sims = np.where(denom != 0, dots / denom, np.nan)
-            c_socs = socs[c_idx]
-            soc_order = np.argsort(c_socs, kind="stable")
-            for r, t in enumerate(t_idx):
-                valid = ~np.isnan(sims[r]) & shared[r] & (c_socs != socs[t])
-                if spreads:
-                    if valid.any():
-                        out.append((socs[t], float(np.min(sims[r][valid])),
-                                    float(np.max(sims[r][valid])), int(valid.sum())))
-                    continue
-                cand = soc_order[valid[soc_order]]          # candidates in category order
-                if len(cand) == 0:
-                    continue
-                best = cand[np.argsort(-sims[r][cand], kind="stable")[:k]]
-                out.extend((socs[t], c_socs[j], float(dots[r, j]), float(sims[r, j]))
-                           for j in best)
-        cols = (["target_soc", "sim_min", "sim_max", "candidates"] if spreads
-                else ["target_soc", "soc_code", "dot_product", "similarity"])
-        return pd.DataFrame(out, columns=cols)
-    return run
+def _pair_spreads(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per target of a block pair, the range of its similarities and their number."""
+    pdf = pdf.reset_index(drop=True)
+    lo, hi = int(pdf["_bi"].iat[0]), int(pdf["_bj"].iat[0])
+    m, present = _matrix(pdf)
+    socs = pdf["soc_code"].to_numpy().astype(object)
+    norms = pdf["norm"].to_numpy().astype("float64")
+    blk = pdf["_block"].to_numpy()
+    sides = [(np.flatnonzero(blk == lo), np.flatnonzero(blk == hi))]
+    if lo != hi:
+        sides.append((sides[0][1], sides[0][0]))
+    out = []
+    for t_idx, c_idx in sides:
+        if len(t_idx) == 0 or len(c_idx) == 0:
+            continue
+        dots = m[t_idx] @ m[c_idx].T
+        shared = (present[t_idx] @ present[c_idx].T) > 0     # pairs meet only on a common skill
+        denom = np.outer(norms[t_idx], norms[c_idx])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sims = np.where(denom != 0, dots / denom, np.nan)
+        for r, t in enumerate(t_idx):
+            valid = ~np.isnan(sims[r]) & shared[r] & (socs[c_idx] != socs[t])
+            if valid.any():
+                out.append((socs[t], float(np.min(sims[r][valid])), float(np.max(sims[r][valid])), int(valid.sum())))
+    return pd.DataFrame(out, columns=["target_soc", "sim_min", "sim_max", "candidates"])
 
 
 def _block_pairs(vec: DataFrame, blocks: int) -> DataFrame:
@@ -138,23 +119,23 @@ def _block_pairs(vec: DataFrame, blocks: int) -> DataFrame:
 
 
 def neighbour_candidates(skills: DataFrame, limit: int = 8, centered: bool = True,
-                         block_size: int = 2048) -> DataFrame:
+                         block_size: int | None = None) -> DataFrame:
     """Exact top-``limit`` (target_soc, soc_code, dot_product, similarity) rows."""
+    return neighbour_search(skills, limit, centered, block_size).neighbours
+
+
+def neighbour_search(skills: DataFrame, limit: int = 8, centered: bool = True,
+                     block_size: int | None = None) -> neighbours.Search:
+    """The same with what was scored for it; the rows don't depend on ``block_size``."""
     if limit < 1:
         raise ValueError(f"limit must be at least 1, got {limit}")
-    vec = vectors(centred(skills, centered))
-    blocks = _blocks(vec.count(), block_size, shuffle_partitions(skills.sparkSession))
-    per_group = (_block_pairs(vec, blocks).groupBy("_bi", "_bj")
-                 .applyInPandas(_pair_group(limit, False), PAIR_SCHEMA))
-    w = Window.partitionBy("target_soc").orderBy(F.col("similarity").desc(), "soc_code")
-    return (per_group.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= limit).drop("_rn"))
+    return neighbours.search(vectors(centred(skills, centered)), limit, block_size)
 
 
 def skill_adjacency(skills: DataFrame, limit: int = 8, centered: bool = True,
-                    labels: DataFrame | None = None, block_size: int = 2048) -> DataFrame:
+                    labels: DataFrame | None = None, block_size: int | None = None) -> DataFrame:
     """Q3 for every target: neighbours with similarity, shared strengths and labels."""
-    top = neighbour_candidates(skills, limit, centered, block_size)
+    top = neighbour_candidates(skills, limit, centered, block_size).checkpoint(eager=True)   # ``limit`` rows a target, read twice
     # only skills where both deviations are positive contribute, so both sides are
     # filtered before the join; pairs without any keep count 0 and NULL strengths
     dev = centred(skills, centered).where(F.col("deviation") > 0)
@@ -183,7 +164,7 @@ def similarity_spread(skills: DataFrame, block_size: int = 2048) -> DataFrame:
         vec = vectors(centred(skills, centered))
         blocks = _blocks(vec.count(), block_size, shuffle_partitions(skills.sparkSession))
         parts = (_block_pairs(vec, blocks).groupBy("_bi", "_bj")
-                 .applyInPandas(_pair_group(0, True), SPREAD_SCHEMA))
+                 .applyInPandas(_pair_spreads, SPREAD_SCHEMA))
         return parts.groupBy("target_soc").agg(F.min("sim_min").alias("lo"),
                                                F.max("sim_max").alias("hi"),
                                                F.sum("candidates").alias("candidates"))
