@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import flat
-from marketlens.llm.common import text_blocks
+from marketlens.llm.common import broadcast_if_small, table, text_blocks
 
 #: A seed is the shortest run of 3 to 8 words whose chance under the corpus's word shares is below this,
 #: or the longest run that the item has.
@@ -211,9 +211,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leaked item, with all their columns; rows without a doc_id are
-    judged by a leak among rows without a doc_id."""
-    from marketlens.llm.common import broadcast_if_small, table
-    bad = table(leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "leaked")
-    bad = broadcast_if_small(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents without a leaked item, with all their columns.
+
+    A leak is a matter of the text alone, so texts are judged and rows are dropped by their text (two 64-bit
+    hashes), never by doc_id: rows that share an id, or have none, don't decide about each other."""
+    def key(text):
+        return F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit("second"), text)))
+    leaked = leaks(docs.where("text IS NOT NULL").select(key(F.col("text")).alias("doc_id"), "text"), benchmark)
+    bad = broadcast_if_small(table(leaked.select(F.col("doc_id").alias("_bad")).distinct(), "leaked"))
+    return docs.join(bad, F.when(docs["text"].isNotNull(), key(docs["text"])) == bad["_bad"], "left_anti")

@@ -98,10 +98,12 @@ def mix(docs: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATUR
 
 def sample(docs: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATURE) -> DataFrame:
     """The sampled documents with all their columns, and ``mix_weight``, the inverse of the
-    probability: sums weighted by it estimate the whole corpus."""
+    probability: sums weighted by it estimate the whole corpus. A ``mix_weight`` that ``docs`` has
+    already, from an earlier sample, is replaced."""
+    docs = docs.drop("mix_weight")
     known = broadcast_if_small(_plan(docs, budget, temperature).select(
         *(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "prob"))
     rows = with_topic(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", "lang"))
     return (rows.join(known, F.expr("coalesce(cast(source as string), '') = _source AND "
                                     "coalesce(cast(lang as string), '') = _lang AND topic = _topic"))
-            .where(_DRAWN).select("_row.*", F.expr("round(1 / prob, 6)").alias("mix_weight")))
+            .where(_DRAWN).select("_row.*", F.expr("1 / prob").alias("mix_weight")))

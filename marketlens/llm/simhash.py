@@ -141,11 +141,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The document with the smallest doc_id of each component, whole. Of rows that share a doc_id
-    the least row stays; rows without a doc_id can't be told apart and stay as they are."""
-    ids = (near_duplicates(docs.where("doc_id IS NOT NULL"), shingle, bits)
-           .where("doc_id = component_id").select("doc_id").distinct())
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = (docs.join(table(ids, "kept"), "doc_id", "left_semi").groupBy("doc_id")
-            .agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*"))
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component, whole: the one with the smallest doc_id (null last), then with the least hash
+    of the whole row. Every row takes part under a key of its own, made of its doc_id and that hash, so rows that
+    share a doc_id or have none are kept or dropped by their texts like any other; rows equal in every
+    column count as one. Columns of any type, maps included."""
+    content = F.to_json("_row")
+    key = F.concat_ws("-", F.hex(F.xxhash64(content)), F.hex(F.xxhash64(F.lit("second"), content)))
+    rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_key", key)
+    ident = F.struct(F.col("_row.doc_id").isNull().alias("none"), F.col("_row.doc_id").alias("id"), F.col("_key").alias("key"))
+    judged = near_duplicates(rows.select(ident.alias("doc_id"), F.col("_row.text").alias("text")), shingle, bits)
+    kept = table(judged.where("doc_id <=> component_id").select(F.col("doc_id.key").alias("_key")).distinct(), "kept")
+    return (rows.join(kept, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row"))
+            .select(*(F.col("_row").getField(c).alias(c) for c in docs.columns)))
