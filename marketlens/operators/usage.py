@@ -96,6 +96,53 @@ def usage_summary(log: DataFrame, days: int, as_of: str,
         F.max("distinct_occupations").alias("distinct_occupations"))
 
 
+# ------------------------------------------------- distinct over windows --
+def rolling_users(log: DataFrame, window: int, days: int, as_of: str) -> DataFrame:
+    """For each of the last ``days`` days the exact number of distinct session keys seen in the ``window`` days
+    that end with it (null keys aren't counted, days without any count 0).
+
+    A key seen on a day is in the windows that end on that day and the ``window - 1`` days after it; its days merge
+    into intervals, of which only the ends are kept: +1 where one begins, -1 after it ends. One shuffle, on the
+    key, of its distinct days (at most ``days + window - 1``); sums of differences by day do the rest."""
+    if window < 1:
+        raise ValueError(f"window must be at least 1, got {window}")
+    start, last = _start(days, as_of), dt.date.fromisoformat(as_of)
+    held = (in_window(log, days + window - 1, as_of).where(F.col("session_id").isNotNull())
+            .select("session_id", F.date_diff(F.to_date("occurred_at"), F.lit(start)).alias("n"))
+            .where(F.col("n") < days))                                   # day numbers from the first window's end
+    seen = held.groupBy("session_id").agg(F.array_sort(F.collect_set("n")).alias("d"))
+    begins = F.filter("d", lambda x, i: (i == 0) | (x - F.element_at("d", F.greatest(i, F.lit(1))) > window))
+    ends = F.filter("d", lambda x, i: (i == F.size("d") - 1) | (F.element_at("d", F.least(i + 2, F.size("d"))) - x > window))
+    changes = F.concat(F.transform(begins, lambda x: F.struct(F.greatest(x, F.lit(0)).alias("n"), F.lit(1).alias("by"))),
+                       F.transform(ends, lambda x: F.struct(F.greatest(x + window, F.lit(0)).alias("n"), F.lit(-1).alias("by"))))
+    by_day = seen.select(F.inline(changes)).groupBy("n").agg(F.sum("by").alias("by"))
+    folded = by_day.agg(F.collect_list(F.struct("n", "by")).alias("all"))       # one entry a day
+    at = F.explode(F.sequence(F.lit(0), F.lit((last - start).days)))
+    total = F.expr("aggregate(filter(all, x -> x.n <= at), 0L, (s, x) -> s + x.by)")
+    return folded.select("all", at.alias("at")).select(F.date_add(F.lit(start), F.col("at")).alias("day"), total.alias("users"))
+
+
+#: Log2 of an HLL sketch's registers, and the relative error it is trusted to (three standard errors, 3 * 1.04 / 64).
+SKETCH_LOG2, SKETCH_ERROR = 12, 0.05
+
+
+def daily_sketches(log: DataFrame) -> DataFrame:
+    """Q8a, stored form: per (day, view) events, last event and a mergeable sketch of the session keys; a few KB a
+    row whatever the number of events."""
+    return log.groupBy(F.to_date("occurred_at").alias("day"), "view_name").agg(
+        F.count(F.lit(1)).alias("events"), F.max("occurred_at").alias("last_seen"),
+        F.hll_sketch_agg("session_id", SKETCH_LOG2).alias("sketch"))
+
+
+def window_from_sketches(daily: DataFrame, days: int, as_of: str) -> DataFrame:
+    """Q8a over any window from the stored rows, without reading events: sketches are united per view.
+    ``sessions`` is within ``SKETCH_ERROR`` of the exact count with three standard errors."""
+    start = _start(days, as_of).isoformat()
+    return (daily.where(F.col("day") >= F.lit(start).cast("date")).groupBy("view_name")
+            .agg(F.sum("events").alias("events"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sessions"),
+                 F.max("last_seen").alias("last_seen")))
+
+
 # ---------------------------------------------------------------- findings --
 def usage_headline(log: DataFrame, days: int, as_of: str) -> DataFrame:
     """total views, the top view, its share and the concentration flag."""

@@ -1127,3 +1127,27 @@ SELECT 2, 'newer', COUNT(*) FILTER (n % 3 = 0 OR n % 7 = 1), COUNT(*) FILTER (n
 """))
 def x6_publish_history(spark, sf_dir):
     return aggregates.history(spark, _republished(spark, sf_dir))
+
+
+# ------------------------------------------------- distinct over windows ---
+@register("x3_rolling_users", with_ctes(USAGE_CTE, f"""
+ends AS (SELECT CAST(unnest(generate_series(DATE '{testmart.AS_OF}' - 29, DATE '{testmart.AS_OF}', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT day, COUNT(DISTINCT session_id) AS users
+FROM ends LEFT JOIN usage_log ON CAST(occurred_at AS DATE) BETWEEN day - 6 AND day GROUP BY day
+"""))
+def x3_rolling_users(spark, sf_dir):
+    return usage.rolling_users(testmart.usage_log(spark, sf_dir), 7, 30, testmart.AS_OF)
+
+
+@register("q8_sketch_window", ORACLES["q8_usage_by_view"])
+def q8_sketch_window(spark, sf_dir):
+    """The window from stored daily sketches; the estimate is replaced by the exact count where it lies within the
+    stated error, so the comparison fails only where it doesn't."""
+    log = testmart.usage_log(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    usage.daily_sketches(log).write.parquet(path)
+    found = usage.window_from_sketches(spark.read.parquet(path), 30, testmart.AS_OF)
+    exact = usage.usage_by_view(log, 30, testmart.AS_OF).select("view_name", F.col("sessions").alias("exact"))
+    near = F.abs(F.col("sessions") - F.col("exact")) <= usage.SKETCH_ERROR * F.col("exact")
+    return (found.join(exact, "view_name", "left")
+            .select("view_name", "events", F.when(near, F.col("exact")).otherwise(F.col("sessions")).alias("sessions"), "last_seen"))
