@@ -160,3 +160,41 @@ def row_count_drift(current: DataFrame, previous: DataFrame, keys: list[str]) ->
 
 def fatal_violations(report: DataFrame) -> DataFrame:
     return report.where((F.col("severity") == "fatal") & (F.col("violations") > 0))
+
+
+#: A value is an outlier if it lies more than this many robust standard deviations from the series' median.
+DRIFT_LIMIT = 3.5
+#: Robust standard deviation of a normal series, in median absolute deviations.
+MAD_SCALE = 1.4826
+#: Relative difference below which two values are the same: sums of doubles depend on the order of rows.
+DRIFT_NOISE = 1e-9
+
+
+def version_metrics(market: DataFrame, skills: DataFrame) -> DataFrame:
+    """``(metric, value)`` of one version, one aggregate a table."""
+    m = market.agg(F.count(F.lit(1)).cast("double").alias("market_rows"),
+                   F.count_distinct("soc_code").cast("double").alias("categories"),
+                   F.count_distinct("area_code").cast("double").alias("places"),
+                   F.sum("employment").alias("employment"), F.avg("wage_p50").alias("mean_median_wage"),
+                   F.avg(F.col("employment_prior").isNotNull().cast("double")).alias("prior_match_rate"))
+    s = skills.agg(F.count(F.lit(1)).cast("double").alias("skill_rows"), F.avg("importance").alias("mean_importance"))
+
+    def long(df: DataFrame) -> DataFrame:
+        return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in df.columns])))
+    return long(m).unionByName(long(s))
+
+
+def drift_history(series: DataFrame) -> DataFrame:
+    """D17 over any number of versions: each value of ``series(version, committed_at, metric, value)`` against its
+    metric's median over all versions, in robust standard deviations (``score``; null where most of the series
+    stands still, up to ``DRIFT_NOISE``). ``outlier``: beyond ``DRIFT_LIMIT``, or off a series that stands still.
+    Null values have neither. The series of a metric has one value a version."""
+    middle = series.groupBy("metric").agg(F.median("value").alias("typical"))
+    apart = series.join(middle, "metric").withColumn("_off", F.col("value") - F.col("typical"))
+    spread = apart.groupBy("metric").agg((F.median(F.abs("_off")) * MAD_SCALE).alias("_spread"))
+    noise = F.abs(F.col("typical")) * DRIFT_NOISE
+    moving = F.col("_spread") > noise
+    score = F.when(moving, F.col("_off") / F.col("_spread"))
+    outlier = F.when(moving, F.abs(score) > DRIFT_LIMIT).otherwise(F.abs("_off") > noise)
+    return (apart.join(spread, "metric")
+            .select("committed_at", "version", "metric", "value", "typical", score.alias("score"), outlier.alias("outlier")))

@@ -1151,3 +1151,35 @@ def q8_sketch_window(spark, sf_dir):
     near = F.abs(F.col("sessions") - F.col("exact")) <= usage.SKETCH_ERROR * F.col("exact")
     return (found.join(exact, "view_name", "left")
             .select("view_name", "events", F.when(near, F.col("exact")).otherwise(F.col("sessions")).alias("sessions"), "last_seen"))
+
+
+# ---------------------------------------------------------- drift history --
+#: Pool sizes of five published versions against the market's: the last is far off.
+DRIFT = (1.0, 1.01, 1.02, 0.99, 1.5)
+
+
+@register("d17_version_history", with_ctes(MARKET_CTE, SKILLS_LABEL_CTE, """
+version AS (SELECT * FROM (VALUES """ + ", ".join(f"('v{i}', {f}::DOUBLE)" for i, f in enumerate(DRIFT)) + """) v(version, factor)),
+one AS (SELECT COUNT(*)::DOUBLE AS market_rows, COUNT(DISTINCT soc_code)::DOUBLE AS categories, COUNT(DISTINCT area_code)::DOUBLE AS places,
+               SUM(employment) AS employment, AVG(wage_p50) AS mean_median_wage,
+               AVG((employment_prior IS NOT NULL)::INTEGER) AS prior_match_rate FROM market),
+two AS (SELECT COUNT(*)::DOUBLE AS skill_rows, AVG(importance) AS mean_importance FROM skills),
+series AS (
+    SELECT version, unnest(['market_rows', 'categories', 'places', 'employment', 'mean_median_wage', 'prior_match_rate',
+                            'skill_rows', 'mean_importance']) AS metric,
+           unnest([market_rows, categories, places, employment * factor, mean_median_wage, prior_match_rate,
+                   skill_rows, mean_importance]) AS value FROM version, one, two),
+typical AS (SELECT metric, MEDIAN(value) AS typical FROM series GROUP BY metric),
+spread AS (SELECT metric, MEDIAN(ABS(value - typical)) * 1.4826 AS spread FROM series JOIN typical USING (metric) GROUP BY metric)
+SELECT version, metric, ROUND(value, 4) AS value, ROUND(typical, 4) AS typical,
+       CASE WHEN spread > 1e-6 THEN ROUND((value - typical) / spread, 4) END AS score,
+       CASE WHEN spread > 1e-6 THEN ABS(value - typical) / spread > 3.5 ELSE ABS(value - typical) > 1e-6 END AS outlier
+FROM series JOIN typical USING (metric) JOIN spread USING (metric)
+"""))
+def d17_version_history(spark, sf_dir):
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    market, skills = testmart.market(spark, sf_dir), testmart.skills(spark, sf_dir, "label").checkpoint()
+    for i, factor in enumerate(DRIFT):
+        publish.publish(market.withColumn("employment", F.col("employment") * factor), skills, base, version=f"v{i}")
+    found = publish.version_history(spark, base)
+    return _rounded(found.drop("committed_at"), {"value": 4, "typical": 4, "score": 4})

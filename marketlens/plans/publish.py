@@ -95,6 +95,7 @@ def publish(market: DataFrame, skills: DataFrame, base: str, scope: DataFrame |
     if fatal:
         raise PublishError(f"version {v} rejected: {len(fatal)} fatal rule(s) failed; "
                            "the previous version stays live", fatal)
+    quality.version_metrics(written_m, written_s).write.mode("overwrite").parquet(_metrics(base, v))
     marker = spark.range(1).select(F.lit(v).alias("version"),
                                    F.lit(dt.datetime.now(dt.timezone.utc).isoformat(timespec="microseconds"))
                                    .alias("committed_at"))
@@ -102,6 +103,23 @@ def publish(market: DataFrame, skills: DataFrame, base: str, scope: DataFrame |
     return v
 
 
+def _metrics(base: str, version: str) -> str:
+    return f"{base.rstrip('/')}/_metrics/version={version}"
+
+
+def version_history(spark: SparkSession, base: str) -> DataFrame:
+    """D17 over the committed versions: ``(committed_at, version, metric, value, typical, score, outlier)``, see
+    :func:`quality.drift_history`. Metrics were written with each version, so its tables aren't read again;
+    an attempt that was never committed isn't part of the series."""
+    commits = committed_versions(spark, base)
+    if commits.isEmpty():
+        series = spark.createDataFrame([], "version string, committed_at string, metric string, value double")
+    else:
+        kept = spark.read.schema("metric string, value double, version string").parquet(f"{base.rstrip('/')}/_metrics")
+        series = kept.join(commits, "version")
+    return quality.drift_history(series)
+
+
 def analyze(spark: SparkSession, table_name: str) -> None:
     """Refresh optimizer statistics of a catalog table."""
     spark.sql(f"ANALYZE TABLE {table_name} COMPUTE STATISTICS FOR ALL COLUMNS")
