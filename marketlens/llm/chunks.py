@@ -73,10 +73,23 @@ def release() -> None:
         trim(0)
 
 
+def rows_of(batch: pa.RecordBatch):
+    """The rows of a batch, one at a time: a chunk's row can be large, so a batch is never opened as a whole."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> flat.U(40)) * flat.U(n) >> flat.U(24)).astype(np.int64)
 
 
+def _stretches(at: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The buckets met in a sorted array and where each begins, and the end: work by the buckets that a
+    chunk has hashes for, never by all there are, so a chunk's cost is bounded by its own hashes."""
+    found, first = np.unique(at, return_index=True)
+    return found, [*first.tolist(), len(at)]
+
+
 def pack(x, width: int = 7) -> bytes:
     """The low ``width`` bytes of each value; width 0: byte strings, their lengths first."""
     if not width:
@@ -102,16 +115,15 @@ def ask(rows: DataFrame, n: int, question: Callable, answer: Callable, widths: d
 
     def send(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in rows_of(b):
                 h, fields = question(row)
                 at = bucket_of(h, n)
                 order = np.argsort(at, kind="stable")
-                cut = np.searchsorted(at[order], np.arange(n + 1))
-                found = [i for i in range(n) if cut[i] < cut[i + 1]]
+                found, cut = _stretches(at[order])
                 cols = [pa.array(found, pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64())]
                 for f in names:
                     v = fields[f][order] if widths[f] else [fields[f][i] for i in order]
-                    cols.append(pa.array([zstandard.compress(pack(v[cut[i]:cut[i + 1]], widths[f]), 1) for i in found], pa.binary()))
+                    cols.append(pa.array([zstandard.compress(pack(v[x:z], widths[f]), 1) for x, z in zip(cut, cut[1:])], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", *names])
         release()
 
@@ -143,13 +155,14 @@ def replied(answers: list, h: np.ndarray, n: int, reply: str, width: int) -> np.
     out = np.zeros(len(h), np.uint64) if width else np.empty(len(h), object)
     at = bucket_of(h, n)
     order = np.argsort(at, kind="stable")
-    cut = np.searchsorted(at[order], np.arange(n + 1))
+    found, cut = _stretches(at[order])
+    place = {i: (x, z) for i, x, z in zip(found.tolist(), cut, cut[1:])}
     for a in answers or ():
-        i = a["bucket"]
+        x, z = place[a["bucket"]]
         got = unpack(opener.decompress(a[reply]), width)
         if not width:
             got = np.fromiter(got, object, len(got))
-        out[order[cut[i]:cut[i + 1]]] = got
+        out[order[x:z]] = got
     return out
 
 

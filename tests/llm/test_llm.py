@@ -8,11 +8,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marketlens.llm import brown, chat, components, debruijn, decontam, lyndon, mixing, pii, quality, simhash, urls
+from marketlens.llm import brown, chat, chunks, components, debruijn, decontam, lyndon, mixing, pii, quality, simhash, urls
 from marketlens.llm.common import prepare
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -479,3 +480,39 @@ def test_repeats_within_one_text(sp):
     got = _by_id(debruijn.repeated_spans(sp.createDataFrame(rows, "doc_id bigint, text string")))
     assert got[1].n_removed == got[1].n_words == 210
     assert got[2].n_removed == 60
+
+
+def test_meeting_pieces_taken_by_anchor(monkeypatch):
+    rng = random.Random(5)
+    texts, anchors = [], []
+    for g in range(12):
+        base = bytes(rng.randrange(4) for _ in range(90))
+        for _ in range(rng.randrange(1, 6)):
+            k = rng.randrange(0, 30)
+            texts.append(base[k:k + 60] if rng.random() < 0.5 else bytes(rng.randrange(4) for _ in range(60)))
+            anchors.append(g)
+    texts.append(b"")
+    anchors.append(3)
+    key = np.array(anchors, np.uint64)
+    strings = [[t[j:j + 50] for j in range(len(t) - 49)] for t in texts]
+    times = {}
+    for a, ss in zip(anchors, strings):
+        for x in ss:
+            times[a, x] = times.get((a, x), 0) + 1
+    want = [any(times[a, x] > 1 for x in ss) for a, ss in zip(anchors, strings)]
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(lyndon, "MEET_BYTES", size)
+        assert lyndon._meeting(texts, key).tolist() == want
+
+
+def test_runs_are_spread_again():
+    values = np.array([5, 5, 5, 7, 7, 5, 5, 9], np.int64)
+    starts = np.array([0, 2, 6])
+    got = [lyndon._spread(r).tolist() for r in lyndon._runs(values, starts)]
+    assert got == [[5, 5], [5, 7, 7, 5], [5, 9]]
+
+
+def test_rows_sent_are_bounded_by_a_chunks_hashes():
+    at = np.sort(chunks.bucket_of(lyndon.flat.mix(np.arange(50, dtype=np.uint64)), 1 << 20))
+    found, cut = chunks._stretches(at)
+    assert len(found) <= 50 and cut[-1] == 50 and len(cut) == len(found) + 1
