@@ -1,8 +1,8 @@
 """Data-quality rules (D1-D11, D14, D16, D17) as one report DataFrame.
 
-Each table is scanned by one aggregate that evaluates all of its row-level
-rules at once; key and group rules are a ``groupBy`` each; membership rules are
-anti joins. The report has one row per rule:
+Each table is scanned once: a row becomes entries for the keys that its rules
+look at, with the states of its row-level rules, and the entries of all tables
+are merged by key, then by category, then into the report. The report has one row per rule:
 ``(rule_id, description, severity, table_name, violations, metric)``.
 
 Severity tiers: ``fatal`` rejects a publish, ``warn`` loads and logs, ``note``
@@ -36,106 +36,110 @@ def _row(rule_id, description, severity, table_name, violations: Column,
             (metric if metric is not None else F.lit(None)).cast("double").alias("metric")]
 
 
-def market_row_rules(market: DataFrame) -> DataFrame:
-    """D1, D2, D5 and D11 in one pass over the market table, then stacked to rows."""
-    agg = market.agg(
-        F.count_if(~ordered_percentiles_ok()).alias("d1"),
-        F.count_if(F.coalesce(F.col("wage_p50") <= 0, F.lit(False))
-                   | F.coalesce(F.col("employment") <= 0, F.lit(False))).alias("d2"),
-        *[F.count_if(F.col(c).isNull()).alias(f"d5_{c}") for c in schema.MARKET_REQUIRED],
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_if(F.col("employment_prior").isNotNull()).alias("_matched"))
-    rows = [_row("D1", "wage percentiles ordered (adjacent pairs)", "fatal", "market",
-                 F.col("d1")),
-            _row("D2", "positive median wage and employment", "fatal", "market", F.col("d2")),
-            *[_row("D5", f"required column {c} not null", "fatal", "market", F.col(f"d5_{c}"))
-              for c in schema.MARKET_REQUIRED],
-            _row("D11", "share of rows matched to the prior vintage", "warn", "market",
-                 F.lit(0), F.col("_matched") / F.when(F.col("_rows") > 0, F.col("_rows")))]
-    return _stack(agg, rows)
-
-
-def _stack(one_row: DataFrame, rows: list[list[Column]]) -> DataFrame:
-    """Turn one aggregated row into several report rows (array of structs + inline)."""
-    structs = [F.struct(*r) for r in rows]
-    return one_row.select(F.inline(F.array(*structs)))
-
-
-def duplicate_keys(df: DataFrame, keys: list[str], table_name: str) -> DataFrame:
-    """Number of keys carried by more than one row."""
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1)
-    return dup.agg(*_row("D4", f"unique key ({', '.join(keys)})", "fatal", table_name,
-                         F.count(F.lit(1))))
-
-
-def constant_within(df: DataFrame, group: str, column: str, table_name: str) -> DataFrame:
-    """Groups where ``column`` takes more than one distinct value."""
-    g = df.groupBy(group).agg(F.countDistinct(column).alias("_d")).where(F.col("_d") > 1)
-    return g.agg(*_row("D7", f"{column} constant within {group}", "fatal", table_name,
-                       F.count(F.lit(1))))
-
-
-def full_vectors(skills: DataFrame) -> DataFrame:
-    """Categories whose skill count differs from the largest count."""
-    counts = skills.groupBy("soc_code").agg(F.countDistinct("skill").alias("_n"))
-    full = counts.select(F.max("_n")).scalar()
-    return counts.agg(*_row("D8", "every category carries the full skill vector", "fatal",
-                            "skills", F.count_if(F.col("_n") != full)))
-
-
-def importance_on_scale(skills: DataFrame) -> DataFrame:
-    """D3: importance between 1 and 5 (NULL passes a CHECK)."""
-    bad = ~F.coalesce(F.col("importance").between(schema.IMPORTANCE_MIN, schema.IMPORTANCE_MAX),
-                      F.lit(True))
-    return skills.agg(*_row("D3", "importance between 1 and 5", "fatal", "skills",
-                            F.count_if(bad)))
-
-
-def scope_membership(market: DataFrame, scope: DataFrame) -> DataFrame:
-    """Categories outside the scope dimension, and labels that disagree with it."""
-    outside = market.join(scope.select("soc_code"), "soc_code", "left_anti")
-    lab = (market.select("soc_code", "occupation", "occupation_group").distinct()
-           .join(scope.select("soc_code", F.col("occupation").alias("_o"),
-                              F.col("occupation_group").alias("_g")), "soc_code")
-           .where(~F.col("occupation").eqNullSafe(F.col("_o"))
-                  | ~F.col("occupation_group").eqNullSafe(F.col("_g"))))
-    return (outside.agg(*_row("D6", "category in scope", "fatal", "market", F.count(F.lit(1))))
-            .unionByName(lab.agg(*_row("D6", "labels agree with the scope dimension", "fatal",
-                                       "market", F.count(F.lit(1))))))
-
-
-def coverage_rule(market: DataFrame, skills: DataFrame) -> DataFrame:
-    """Market categories that have no skill vector."""
-    missing = (market.select("soc_code").distinct()
-               .join(skills.select("soc_code").distinct(), "soc_code", "left_anti"))
-    return missing.agg(*_row("D9", "every market category has a skill vector", "warn",
-                             "market", F.count(F.lit(1))))
-
-
-def provenance(market: DataFrame) -> DataFrame:
-    """Few distinct places means a synthetic fixture (a note, not a failure)."""
-    return market.agg(*_row("D16", f"synthetic if at most {schema.SYNTHETIC_MAX_METROS} places",
-                            "note", "market",
-                            F.lit(0), F.countDistinct("area_code")))
+def _market_states() -> dict[str, Column]:
+    """States of the row-level rules: a name, and the condition by which a row counts."""
+    positive = F.coalesce(F.col("wage_p50") <= 0, F.lit(False)) | F.coalesce(F.col("employment") <= 0, F.lit(False))
+    return {"d1": ~ordered_percentiles_ok(), "d2": positive, "matched": F.col("employment_prior").isNotNull(),
+            **{f"d5_{c}": F.col(c).isNull() for c in schema.MARKET_REQUIRED}}
+
+
+def _skill_states() -> dict[str, Column]:
+    on_scale = F.col("importance").between(schema.IMPORTANCE_MIN, schema.IMPORTANCE_MAX)
+    return {"d3": ~F.coalesce(on_scale, F.lit(True))}
+
+
+def _entry(kind: str, category: Column | None = None, second: Column | None = None, third: Column | None = None,
+           rows: int = 1, scoped: int = 0, value: Column | None = None) -> Column:
+    none = F.lit(None)
+    pick = lambda c, t, name: (none if c is None else c).cast(t).alias(name)
+    return F.struct(F.lit(kind).alias("kind"), pick(category, "string", "category"), pick(second, "string", "second"),
+                    pick(third, "string", "third"), F.lit(rows).cast("long").alias("rows"),
+                    F.lit(scoped).cast("long").alias("scoped"), pick(value, "double", "value"))
+
+
+def _entries(df: DataFrame, entries: list[Column], states: dict[str, Column]) -> DataFrame:
+    """The entries of every row; its first one carries the row-level states."""
+    flags = df.select(F.struct(*[cond.cast("long").alias(c) for c, cond in states.items()]).alias("_s"),
+                      F.array(*entries).alias("_e")) if states else df.select(F.array(*entries).alias("_e"))
+    each = flags.select(*(["_s"] if states else []), F.posexplode("_e").alias("_at", "_entry"))
+    return each.select("_entry.*", *[F.when(F.col("_at") == 0, F.col(f"_s.{c}")).alias(c) for c in states])
 
 
 def quality_report(market: DataFrame, skills: DataFrame,
                    scope: DataFrame | None = None) -> DataFrame:
-    """Every rule in one report."""
-    parts = [market_row_rules(market),
-             duplicate_keys(market, schema.MARKET_KEYS, "market"),
-             constant_within(market, "soc_code", "national_wage_p50", "market"),
-             importance_on_scale(skills),
-             duplicate_keys(skills, schema.SKILL_KEYS, "skills"),
-             full_vectors(skills),
-             coverage_rule(market, skills),
-             provenance(market)]
+    """Every rule in one report, from one scan of each table.
+
+    Null categories are a category of their own, outside every scope and without skills. The rules D6 are
+    reported only if there is a scope; its rows without a category are not read. Empty tables break no rule."""
+    m_states, s_states = _market_states(), _skill_states()
+    soc = F.col("soc_code")
+    entries = (
+        _entries(market, [_entry("cell", soc, F.col("area_code"), value=F.col("national_wage_p50")),
+                          _entry("labels", soc, F.col("occupation"), F.col("occupation_group")),
+                          _entry("place", None, F.col("area_code"))], m_states)
+        .unionByName(_entries(skills, [_entry("skill", soc, F.col("skill"))], s_states), allowMissingColumns=True))
+    if scope is not None:
+        entries = entries.unionByName(
+            _entries(scope.where(soc.isNotNull()),
+                     [_entry("labels", soc, F.col("occupation"), F.col("occupation_group"), rows=0, scoped=1)], {}),
+            allowMissingColumns=True)
+    states = [*m_states, *s_states]
+    added = [F.sum(c).alias(c) for c in states]
+    keys = entries.groupBy("kind", "category", "second", "third").agg(
+        F.sum("rows").alias("rows"), F.sum("scoped").alias("scoped"),
+        F.min("value").alias("low"), F.max("value").alias("high"), *added)
+
+    # per category; places have none and merge into the null category, told apart by their kind
+    def count(kind: str, cond: Column | None = None) -> Column:
+        return F.count_if((F.col("kind") == kind) & (F.lit(True) if cond is None else cond))
+
+    labels = F.col("kind") == "labels"
+    category = keys.groupBy("category").agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == "cell", F.col("rows"))), F.lit(0)).alias("n"),
+        count("cell", F.col("rows") > 1).alias("twice_m"), count("skill", F.col("rows") > 1).alias("twice_s"),
+        (F.min("low") < F.max("high")).alias("varies"), count("skill").alias("skills"),
+        count("skill", F.col("second").isNotNull()).alias("named"),
+        count("place", F.col("second").isNotNull()).alias("places"),
+        count("labels", F.col("rows") > 0).alias("labels"), F.sum(F.when(labels, F.col("scoped"))).alias("scoped"),
+        F.sum(F.when(labels & (F.col("rows") > 0), F.col("scoped"))).alias("agree"), *added)
+    in_scope = F.coalesce(F.col("scoped"), F.lit(0))
+    has_skills = F.col("skills") > 0
+    per_size = category.groupBy(F.when(has_skills, F.col("named")).alias("size")).agg(
+        F.count(F.lit(1)).alias("categories"), F.sum("n").alias("n"), F.sum("twice_m").alias("twice_m"),
+        F.sum("twice_s").alias("twice_s"), F.count_if("varies").alias("varies"), F.sum("places").alias("places"),
+        F.count_if((F.col("n") > 0) & (~has_skills | F.col("category").isNull())).alias("bare"),
+        F.sum(F.when(in_scope == 0, F.col("n"))).alias("outside"),
+        F.sum(F.col("labels") * in_scope - F.coalesce(F.col("agree"), F.lit(0))).alias("disagree"), *added)
+    sized = F.when(F.col("size").isNotNull(), F.col("categories"))
+    total = per_size.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+          for c in ["n", "twice_m", "twice_s", "varies", "places", "bare", "outside", "disagree", *states]],
+        (F.coalesce(F.sum(sized), F.lit(0)) - F.coalesce(F.max_by(sized, "size"), F.lit(0))).alias("ragged"))
+    c = F.col
+    rows = [
+        _row("D1", "wage percentiles ordered (adjacent pairs)", "fatal", "market", c("d1")),
+        _row("D2", "positive median wage and employment", "fatal", "market", c("d2")),
+        *[_row("D5", f"required column {x} not null", "fatal", "market", c(f"d5_{x}")) for x in schema.MARKET_REQUIRED],
+        _row("D11", "share of rows matched to the prior vintage", "warn", "market",
+             F.lit(0), c("matched") / F.when(c("n") > 0, c("n"))),
+        _row("D4", f"unique key ({', '.join(schema.MARKET_KEYS)})", "fatal", "market", c("twice_m")),
+        _row("D7", "national_wage_p50 constant within soc_code", "fatal", "market", c("varies")),
+        _row("D3", "importance between 1 and 5", "fatal", "skills", c("d3")),
+        _row("D4", f"unique key ({', '.join(schema.SKILL_KEYS)})", "fatal", "skills", c("twice_s")),
+        _row("D8", "every category carries the full skill vector", "fatal", "skills", c("ragged")),
+        _row("D9", "every market category has a skill vector", "warn", "market", c("bare")),
+        # few distinct places: a synthetic fixture
+        _row("D16", f"synthetic if at most {schema.SYNTHETIC_MAX_METROS} places", "note", "market", F.lit(0), c("places"))]
     if scope is not None:
-        parts.append(scope_membership(market, scope))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*REPORT_COLUMNS)
+        rows += [_row("D6", "category in scope", "fatal", "market", c("outside")),
+                 _row("D6", "labels agree with the scope dimension", "fatal", "market", c("disagree"))]
+    return total.select(F.inline(F.array(*[F.struct(*r) for r in rows]))).select(*REPORT_COLUMNS)
+
+
+def is_synthetic(report: DataFrame) -> DataFrame:
+    """D16 as a flag: one row, whether the report's market has no more places than a fixture."""
+    return (report.where(F.col("rule_id") == "D16")
+            .select((F.col("metric") <= schema.SYNTHETIC_MAX_METROS).alias("synthetic")))
 
 
 def load_summary(market: DataFrame, skills: DataFrame) -> DataFrame:

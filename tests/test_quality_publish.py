@@ -23,12 +23,51 @@ def test_rules_catch_violations(spark, market, skills):
     assert rep[("D4", "unique key (soc_code, area_code)")] == 1
 
 
-def test_ragged_vector_flagged(skills):
+def test_ragged_vector_flagged(market, skills):
     short = skills.where(~((F.col("soc_code") == "Brand#1") & (F.col("skill") == "skill_00")))
-    (r,) = quality.full_vectors(short).collect()
+    (r,) = quality.quality_report(market, short).where("rule_id = 'D8'").collect()
     assert r.violations == 1
 
 
+def _counts(report):
+    return {(r.rule_id, r.description): (r.violations, r.metric) for r in report.collect()}
+
+
+def test_report_over_empty_tables_and_null_keys(spark, market, skills):
+    scope = market.select("soc_code", "occupation", "occupation_group").distinct()
+    empty = _counts(quality.quality_report(market.limit(0), skills.limit(0), scope))
+    assert {v for v, _ in empty.values()} == {0} and empty["D11", "share of rows matched to the prior vintage"][1] is None
+    # a null category is outside the scope, has no skills, and its rows share one key if their place is one
+    lost = market.withColumn("soc_code", F.when(F.col("soc_code") != "Brand#1", F.col("soc_code")))
+    n = market.where("soc_code = 'Brand#1'").count()
+    got = _counts(quality.quality_report(lost.unionByName(lost), skills, scope.unionByName(scope)))
+    assert got["D6", "category in scope"][0] == 2 * n
+    bare = market.select("soc_code").distinct().join(skills, "soc_code", "left_anti").count()
+    assert got["D9", "every market category has a skill vector"][0] == bare + 1
+    assert got["D5", "required column soc_code not null"][0] == 2 * n
+    assert got["D4", "unique key (soc_code, area_code)"][0] == market.count()
+    assert got["D6", "labels agree with the scope dimension"][0] == 0
+
+
+def test_report_reads_each_table_once(spark, market, skills):
+    scope = market.select("soc_code", "occupation", "occupation_group").distinct()
+    paths = []
+    for name, df in (("m", market), ("s", skills), ("sc", scope)):
+        paths.append(f"{tempfile.mkdtemp(prefix='ml-report-')}/{name}")
+        df.write.parquet(paths[-1])
+    report = quality.quality_report(*[spark.read.parquet(p) for p in paths])
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Scan parquet") == 3 and initial.count("Exchange") <= 4
+    assert "Join" not in initial
+
+
+def test_synthetic_flag(market, skills):
+    report = quality.quality_report(market, skills)
+    places = market.select("area_code").distinct().count()
+    assert quality.is_synthetic(report).first().synthetic == (places <= 45)
+
+
 def test_publish_commits_and_rejects(spark, market, skills):
     base = tempfile.mkdtemp(prefix="ml-publish-")
     v1 = publish.publish(market, skills, base, version="v1")
