@@ -23,7 +23,7 @@ from marketlens.plans.oracle import (
 )
 from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources import raw, testmart
-from marketlens.streaming import usage_stream
+from marketlens.streaming import event_log, late_rows, usage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -991,6 +991,75 @@ def q8s_view_sessions_stream(spark, sf_dir):
                                     ["day", "view_name"])
 
 
+# events land in waves of six days; every 17th event comes one wave late
+_WAVE_DAYS = 6
+
+
+@register("q7d_dropped_late_rows", f"""
+WITH e AS (
+    SELECT ts, CAST(ts AS DATE) AS day,
+           COALESCE(date_diff('day', (SELECT MIN(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) // {_WAVE_DAYS}, 0)
+               + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS wave
+    FROM events
+),
+marks AS (
+    SELECT wave, MAX(MAX(ts)) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark
+    FROM e GROUP BY wave
+),
+judged AS (
+    SELECT day, COALESCE(CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= mark - INTERVAL 1 DAY, false) AS late
+    FROM e JOIN marks ON e.wave = marks.wave
+)
+SELECT day, COUNT(*) FILTER (WHERE NOT late) AS events, COUNT(*) FILTER (WHERE late) AS dropped
+FROM judged GROUP BY day
+""")
+def q7d_dropped_late_rows(spark, sf_dir):
+    """Every wave is landed and read by a run of its own, which goes on where the last one stopped."""
+    ev = testmart.table(spark, sf_dir, "events")
+    first = ev.select(F.min(F.to_date("ts"))).scalar()
+    ev = ev.withColumn("_wave", F.coalesce(F.floor(F.date_diff(F.to_date("ts"), first) / _WAVE_DAYS), F.lit(0))
+                       + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/late-{uuid.uuid4().hex}"
+    ss, base = usage_stream.stream_session(spark), None
+    waves = _by_wave(ev, f"{root}/waves")
+    # one number for each six days
+    for (wave,) in sorted(waves.select("_wave").distinct().collect()):
+        waves.where(F.col("_wave") == wave).drop("_wave").write.mode("append").parquet(f"{root}/landing")
+        query, base = late_rows.run_counts(usage_stream.events_stream(ss, f"{root}/landing"), "days", root=root)
+        query.awaitTermination()
+    if base is None:
+        return spark.createDataFrame([], "day date, events bigint, dropped bigint")
+    return late_rows.daily(spark, base)
+
+
+def _by_wave(df, path):
+    """``df`` written by wave, so that a wave's rows are read without the others."""
+    df.write.partitionBy("_wave").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@register("i24_appended_events", """
+SELECT CAST(ts AS DATE) AS day, event_type AS view_name, COUNT(*) AS events FROM events GROUP BY 1, 2
+""")
+def i24_appended_events(spark, sf_dir):
+    """Each week of events appended as a batch, and every batch sent twice, as after a lost answer."""
+    log = usage_stream.usage_from_events(testmart.table(spark, sf_dir, "events"))
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/event-log-{uuid.uuid4().hex}"
+    week = F.coalesce(F.date_trunc("week", "occurred_at").cast("date").cast("string"), F.lit("none"))
+    for (key,) in sorted(log.select(week).distinct().collect()) * 2:
+        event_log.append_batch(log.where(week == key), base, key)
+    return (event_log.read(spark, base, log.schema)
+            .groupBy(F.to_date("occurred_at").alias("day"), "view_name").agg(F.count(F.lit(1)).alias("events")))
+
+
+@register("d16_synthetic_flag", with_ctes(MARKET_CTE, """
+SELECT COUNT(DISTINCT area_code) <= 45 AS synthetic FROM market
+"""))
+def d16_synthetic_flag(spark, sf_dir):
+    return quality.is_synthetic(quality.quality_report(testmart.market(spark, sf_dir),
+                                                       testmart.skills(spark, sf_dir, "label")))
+
+
 # ---------------------------------------------------------------- extensions --
 @register("x1_adoption_funnel", with_ctes(USAGE_CTE, """
 per AS (
