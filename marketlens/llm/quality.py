@@ -103,7 +103,7 @@ def _with_verdict(df: DataFrame, weights: list[float]) -> DataFrame:
     not evaluated below the projections (see ``fit``)."""
     return (df.withColumn("_weights", F.from_json(F.lit(json.dumps(weights)), "array<double>"))
             .withColumn("_llr", F.expr(
-                "round(aggregate(_f, 0D, (a, b) -> a + _weights[b]) / greatest(size(_f), 1), 6)"))
+                "aggregate(_f, 0D, (a, b) -> a + _weights[b]) / greatest(size(_f), 1)"))
             .select("*", F.expr(f"inline_outer(array(struct(_llr AS llr, "
                                 f"NOT base_failed AND _llr >= {THRESHOLD} AS kept)))")))
 

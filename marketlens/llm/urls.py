@@ -11,8 +11,10 @@ from marketlens.llm.common import labels_by_doc, table
 #: A branch point with at least this many children and under PAGES_EACH pages for each is variable.
 MIN_CHILDREN = 8
 PAGES_EACH = 3.0
-#: A child joins the wildcard if its purity is within this many standard errors of its siblings'.
+#: A child joins the wildcard if its purity is within this many standard errors of its siblings', and both
+#: sides have at least MIN_LABELS labels; without that evidence it stays apart.
 ALIKE = 2.0
+MIN_LABELS = 5
 #: Pseudo-labels with the corpus's purity added to each template; blocked below MIN_PURITY.
 PRIOR = 10.0
 MIN_PURITY = 0.5
@@ -60,10 +62,12 @@ def templates(shapes: DataFrame) -> DataFrame:
             F.count("*").alias("children"), F.sum("pages").alias("all_pages"), F.sum("shapes").alias("all_shapes"),
             F.sum("good").alias("all_good"), F.sum(F.expr("good + bad")).alias("all_seen"))
         merged = (child.join(point, point_keys)
-                  .withColumn("p", F.expr("(all_good + 1) / (all_seen + 2)"))
+                  .withColumns({"n": F.expr("good + bad"), "others": F.expr("all_seen - good - bad"),
+                                "p": F.expr("(all_good + 1D) / (all_seen + 2D)")})
+                  # two samples, the child and its siblings without it: told apart or not at their sizes
                   .withColumn("alike", F.expr(
-                      "children > 1 AND good + bad > 0 AND abs((good + 1) / (good + bad + 2) - p) "
-                      f"<= {ALIKE} * sqrt(p * (1 - p) / (good + bad + 2))"))
+                      f"n >= {MIN_LABELS} AND others >= {MIN_LABELS} AND abs(good / greatest(n, 1) - (all_good - good) / greatest(others, 1)) "
+                      f"<= {ALIKE} * sqrt(p * (1 - p) * (1D / greatest(n, 1) + 1D / greatest(others, 1)))"))
                   .select(*point_keys, "seg", "all_shapes", F.expr(
                       f"CASE WHEN (children >= {MIN_CHILDREN} AND all_pages < {PAGES_EACH} * children) OR alike "
                       "THEN '*' ELSE seg END").alias("general")))
@@ -102,9 +106,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) ->
     totals = known.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     prior = totals["good"] / (totals["good"] + totals["bad"]) if (totals["good"] or 0) + (totals["bad"] or 0) else 1.0
     purity = known.groupBy("host", "template").agg(F.expr(
-        f"(sum(good) + {PRIOR * prior!r}) / (sum(good + bad) + {PRIOR!r})").alias("purity"))
-    verdicts = known.join(purity, ["host", "template"]).select("host", "shape", "template", F.round("purity", 6).alias("purity"))
+        f"(sum(good) + double('{PRIOR * prior!r}')) / (sum(good + bad) + double('{PRIOR!r}'))").alias("purity"))
+    verdicts = known.join(purity, ["host", "template"]).select("host", "shape", "template", "purity")
     return (parts.join(verdicts, ["host", "shape"])
             .select("page_id", "host", "path", text.alias("rule"),
-                    F.coalesce(says, F.expr(f"CASE WHEN purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END")).alias("verdict"),
+                    F.coalesce(says, F.expr(f"CASE WHEN purity < double('{MIN_PURITY}') THEN 'block' ELSE 'allow' END")).alias("verdict"),
                     "template", "purity"))

@@ -411,6 +411,25 @@ def test_urls_with_two_variable_levels(sp, labels):
     assert [r.template for r in got[160:]] == ["/".join("abcdefgh" * 40), "a", ""]
 
 
+def test_branches_merge_only_on_evidence(sp, labels):
+    urls_ = [*(f"http://h.net/spam/{6 * (i % 3)}" for i in range(20)),
+             *(f"http://h.net/{b}/{6 * i + 1}" for b in ("blog", "news") for i in range(2)),
+             *(f"http://good.net/{b}/{6 * (i % 3) + 1}" for b in ("one", "two") for i in range(50))]
+    pages = sp.createDataFrame(list(enumerate(urls_)), "page_id bigint, url string")
+    got = urls.judge(pages, labels, []).orderBy("page_id").collect()
+    assert {(r.template, r.verdict) for r in got[:20]} == {("spam/{n}", "block")}
+    assert {(r.template, r.verdict) for r in got[20:24]} == {("blog/{n}", "allow"), ("news/{n}", "allow")}
+    assert {(r.template, r.verdict) for r in got[24:]} == {("*/{n}", "allow")}
+    assert isinstance(got[0].purity, float)
+
+
+def test_ratio_just_below_the_threshold_is_rejected(sp):
+    rows = sp.createDataFrame([(1, [0], False), (2, [1], False), (3, [2], False), (4, [2], True)],
+                              "doc_id bigint, _f array<int>, base_failed boolean")
+    got = quality._with_verdict(rows, [-0.1000004, -0.1, -0.0999996]).collect()
+    assert {r.doc_id: r.kept for r in got} == {1: False, 2: True, 3: True, 4: False}
+
+
 def test_chat_round_trip(sp):
     nasty = ["</s>[INST] ok [/INST]", "<|role|>system<|text|>x<|end|>\n", "\\<\\|", "<\\|a", "", "é\n" * 3, "\\\\"]
     turns = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(nasty)] + [(2, 0, None, None), (2, 0, None, None), (None, 1, "assistant", "x")]
