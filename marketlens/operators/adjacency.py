@@ -12,8 +12,8 @@ Plan
 4. The spread (Q3j) needs every pair: categories are hashed into ``B`` blocks and replicated to the ``B``
    unordered block pairs that contain their block (the layout of a distributed matrix product).
 5. Shared strengths (skills where both deviations are positive, ordered by the
-   smaller deviation) are computed by Spark only for the selected pairs, with
-   ``listagg ... WITHIN GROUP`` (NULL when there are none).
+   smaller deviation) are computed by Spark only for the selected pairs, from the
+   two vectors of a pair (NULL when there are none).
 
 ``centered=False`` gives the raw cosine comparator (Q3j).
 """
@@ -54,6 +54,18 @@ def vectors(dev: DataFrame) -> DataFrame:
                     F.col("_v.deviation").alias("devs"), "norm")
 
 
+#: ``(o, skill)`` of a pair's shared strengths in their order. Vectors over the same skills meet place by place, others
+#: skill by skill; a skill that a side has twice counts for each.
+SHARED = """
+array_sort(CASE WHEN plain AND t_skills = c_skills THEN
+    transform(filter(arrays_zip(t_skills, t_devs, c_devs), x -> x.t_devs > 0 AND x.c_devs > 0),
+              x -> struct(-least(x.t_devs, x.c_devs) AS o, x.t_skills AS skill))
+ELSE flatten(transform(filter(arrays_zip(t_skills, t_devs), x -> x.t_devs > 0),
+    x -> transform(filter(arrays_zip(c_skills, c_devs), y -> y.c_skills = x.t_skills AND y.c_devs > 0),
+                   y -> struct(-least(x.t_devs, y.c_devs) AS o, x.t_skills AS skill)))) END)
+"""
+
+
 MIN_BLOCK = 256      # below this many vectors a block product is all overhead
 
 
@@ -135,23 +147,15 @@ def neighbour_search(skills: DataFrame, limit: int = 8, centered: bool = True,
 def skill_adjacency(skills: DataFrame, limit: int = 8, centered: bool = True,
                     labels: DataFrame | None = None, block_size: int | None = None) -> DataFrame:
     """Q3 for every target: neighbours with similarity, shared strengths and labels."""
-    top = neighbour_candidates(skills, limit, centered, block_size).checkpoint(eager=True)   # ``limit`` rows a target, read twice
-    # only skills where both deviations are positive contribute, so both sides are
-    # filtered before the join; pairs without any keep count 0 and NULL strengths
-    dev = centred(skills, centered).where(F.col("deviation") > 0)
-    t = dev.select(F.col("soc_code").alias("target_soc"), "skill",
-                   F.col("deviation").alias("t_dev"))
-    c = dev.select("soc_code", "skill", F.col("deviation").alias("c_dev"))
-    shared = (top.select("target_soc", "soc_code").join(t, "target_soc").join(c, ["soc_code", "skill"])
-              .groupBy("target_soc", "soc_code")
-              .agg(F.count(F.lit(1)).alias("shared_strength_count"),
-                   F.expr("listagg(skill, ', ') "
-                          "WITHIN GROUP (ORDER BY least(c_dev, t_dev) DESC, skill)")
-                   .alias("shared_strengths")))
-    out = (top.join(shared, ["target_soc", "soc_code"], "left")
+    search = neighbour_search(skills, limit, centered, block_size)
+    # each pair meets its two vectors whole, so its shared strengths need no further grouping
+    side = search.vectors.withColumn("plain", F.size(F.array_distinct("skills")) == F.size("skills"))
+    t = side.select(F.col("soc_code").alias("target_soc"), F.col("skills").alias("t_skills"), F.col("devs").alias("t_devs"), "plain")
+    c = side.select("soc_code", F.col("skills").alias("c_skills"), F.col("devs").alias("c_devs"))
+    out = (search.neighbours.join(t, "target_soc").join(c, "soc_code").withColumn("_shared", F.expr(SHARED))
            .select("target_soc", "soc_code", "dot_product", "similarity",
-                   F.coalesce("shared_strength_count", F.lit(0)).alias("shared_strength_count"),
-                   "shared_strengths"))
+                   F.size("_shared").cast("long").alias("shared_strength_count"),
+                   F.expr("CASE WHEN size(_shared) > 0 THEN array_join(transform(_shared, x -> x.skill), ', ') END").alias("shared_strengths")))
     if labels is not None:
         out = out.join(labels.select("soc_code", "occupation", "occupation_group"),
                        "soc_code", "left")

@@ -75,3 +75,23 @@ def test_fewer_neighbours_than_asked_and_none(spark):
     assert search.neighbours.collect() == [] and search.pairs_scored().first().scored == 0
     with pytest.raises(ValueError):
         adjacency.neighbour_search(empty, 0)
+
+
+def test_blocks_meet_without_moving_their_rows(spark):
+    """Candidates reach the targets of other blocks by reading the written blocks again, not by a shuffle per pair of blocks."""
+    vectors = _clustered()
+    search = adjacency.neighbour_search(_skills(spark, vectors), 5, centered=False, block_size=20)
+    plan = search.neighbours._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+
+
+def test_shared_strengths_of_ragged_and_repeated_skills(spark):
+    rows = [("a", "s1", 2.0), ("a", "s1", 3.0), ("a", "s2", 1.0), ("b", "s1", 2.5), ("b", "s2", 4.0), ("b", "s3", 1.0),
+            ("c", "s1", -1.0), ("c", "s2", 1.5), ("c", "s3", 2.0), ("d", "s1", 1.0), ("d", "s2", 2.0), ("d", "s3", 3.0),
+            (None, "s1", 1.0)]
+    skills = spark.createDataFrame(rows, "soc_code string, skill string, importance double")
+    got = {(r.target_soc, r.soc_code): (r.shared_strength_count, r.shared_strengths)
+           for r in adjacency.skill_adjacency(skills, centered=False).collect()}
+    assert len(got) == 12
+    assert got["a", "b"] == (3, "s1, s1, s2") and got["b", "a"] == got["a", "b"]
+    assert got["b", "d"] == (3, "s2, s1, s3") and got["c", "d"] == (2, "s3, s2") and got["a", "c"] == (1, "s2")
