@@ -189,6 +189,11 @@ def percentile_cont_distributed(df: DataFrame, keys: list[str], value: str,
     ``name -> p`` in ``fractions``; nulls ignored. One row per key."""
     base = df.where(F.col(value).isNotNull())
     cum = cumulative_before(base, keys, Order(value, True, False), weight=weight, unique=unique)
+    return _interpolated(cum, keys, value, fractions)
+
+
+def _interpolated(cum: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    """The percentiles from ``(keys, value, _w, _before, _total)`` rows, which hold all that a position falls on."""
     last = F.col("_before") + F.col("_w") - 1
     aggs = []
     cols = []
@@ -203,3 +208,43 @@ def percentile_cont_distributed(df: DataFrame, keys: list[str], value: str,
         lo_v, hi_v, frac = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
         cols.append((lo_v + (hi_v - lo_v) * frac).alias(name))
     return cum.groupBy(*keys).agg(*aggs).select(*keys, *cols)
+
+
+#: Buckets of a value for each factor of e.
+BUCKETS = 256
+#: Buckets up to this number are broadcast to the rows.
+_BROADCAST = 100_000
+
+
+def value_bucket(value: str) -> Column:
+    """A bucket number that never falls as the value rises (NaN last); null for null."""
+    x = F.col(value).cast("double")
+    size = F.floor(F.least(F.log1p(F.abs(x)), F.lit(1000.0)) * BUCKETS)
+    return F.when(F.isnan(x), F.lit(1 << 20)).otherwise(F.signum(x) * size).cast("int")
+
+
+def percentile_buckets(counts: DataFrame, keys: list[str], fractions: dict[str, float]) -> DataFrame:
+    """``(keys, _b, _ahead, _total)`` of the buckets that a percentile's position falls on, from the rows ``n`` of every
+    ``(keys, _b)``: ``_ahead`` rows of the key lie in lower buckets, ``_total`` in all."""
+    by = Window.partitionBy(*keys)
+    placed = counts.select(
+        *keys, "_b", "n", F.sum("n").over(by).alias("_total"),
+        F.coalesce(F.sum("n").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    held = F.lit(False)
+    for p in fractions.values():
+        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        for at in (F.floor(pos), F.ceil(pos)):
+            held = held | ((F.col("_ahead") <= at) & (at < F.col("_ahead") + F.col("n")))
+    ensure_checkpoint_dir(counts.sparkSession)
+    out = placed.where(held).select(*keys, "_b", "_ahead", "_total").checkpoint(eager=True)
+    return F.broadcast(out) if out.limit(_BROADCAST + 1).count() <= _BROADCAST else out
+
+
+def percentile_cont_in_buckets(rows: DataFrame, buckets: DataFrame, keys: list[str], value: str,
+                               fractions: dict[str, float]) -> DataFrame:
+    """Exact ``PERCENTILE_CONT`` as :func:`percentile_cont_distributed`, from the ``rows(keys, _b, value)`` of the
+    :func:`percentile_buckets` alone: the others are counted, not sorted."""
+    by = [*keys, "_b"]
+    cum = (cumulative_before(rows, by, Order(value, True, False)).drop("_total").join(buckets, by)
+           .withColumn("_before", F.col("_before") + F.col("_ahead")))
+    return _interpolated(cum, keys, value, fractions)

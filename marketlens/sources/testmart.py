@@ -29,7 +29,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.ranking import percentile_cont_distributed
+from marketlens.operators.ranking import percentile_buckets, percentile_cont_in_buckets, value_bucket
 from marketlens.session import ensure_checkpoint_dir
 
 # Fixed values of the mapping (shared with the SQL oracle).
@@ -105,11 +105,11 @@ def market(spark: SparkSession, sf_dir: str, materialize: bool = True,
 def _build_market(spark: SparkSession, sf_dir: str, materialize: bool) -> DataFrame:
     ensure_checkpoint_dir(spark)
     facts = market_facts(spark, sf_dir)
-    # One pass over the line facts: (cell, vintage, price) -> lines, quantity. The
-    # pools, the range sampling and both percentile levels read this table, so it
-    # is persisted (recomputable from lineage if an executor is lost; the range
-    # table that needs stable partition ids is checkpointed inside the percentile).
-    base = (facts.groupBy("soc_code", "area_code", "is_current", "l_extendedprice")
+    # Lines are joined once and kept narrow (recomputable from lineage if an executor is lost). Their first pass
+    # counts them by cell, vintage and price bucket: the pools and both percentile levels follow from these counts and
+    # from the lines of the few buckets that a percentile falls on, so no pass groups or sorts all prices.
+    facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
+    base = (facts.groupBy("soc_code", "area_code", "is_current", value_bucket("l_extendedprice").alias("_b"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     pools = (base.groupBy("soc_code", "area_code").agg(
@@ -119,12 +119,16 @@ def _build_market(spark: SparkSession, sf_dir: str, materialize: bool) -> DataFr
 
     # exact percentiles of the current vintage per cell and per brand (area "*"),
     # both levels in one distributed pass
-    cell_prices = base.where("is_current").select("soc_code", "area_code", "l_extendedprice", "n")
-    brand_prices = (cell_prices.groupBy("soc_code", "l_extendedprice").agg(F.sum("n").alias("n"))
-                    .select("soc_code", F.lit(ALL_PLACES).alias("area_code"), "l_extendedprice", "n"))
-    levels = percentile_cont_distributed(cell_prices.unionByName(brand_prices),
-                                         ["soc_code", "area_code"], "l_extendedprice",
-                                         WAGE_FRACTIONS, weight="n", unique=True)
+    keys = ["soc_code", "area_code"]
+    cells = base.where("is_current AND _b IS NOT NULL").select(*keys, "_b", "n")
+    brands = (cells.groupBy("soc_code", "_b").agg(F.sum("n").alias("n"))
+              .select("soc_code", F.lit(ALL_PLACES).alias("area_code"), "_b", "n"))
+    found = percentile_buckets(cells.unionByName(brands), keys, WAGE_FRACTIONS)
+    lines = (facts.where("is_current AND l_extendedprice IS NOT NULL")
+             .select(*keys, value_bucket("l_extendedprice").alias("_b"), "l_extendedprice"))
+    near = [level.join(found.select(*keys, "_b"), [*keys, "_b"], "left_semi")
+            for level in (lines, lines.withColumn("area_code", F.lit(ALL_PLACES)))]
+    levels = percentile_cont_in_buckets(near[0].unionByName(near[1]), found, keys, "l_extendedprice", WAGE_FRACTIONS)
     # the brand level rides along each brand's cells (one row per place + 1)
     wages = (levels.withColumn("national_wage_p50", F.max(F.when(
         F.col("area_code") == ALL_PLACES, F.col("wage_p50"))).over(Window.partitionBy("soc_code")))
@@ -161,6 +165,7 @@ def _build_market(spark: SparkSession, sf_dir: str, materialize: bool) -> DataFr
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/market-{uuid.uuid4().hex}"
     out.write.parquet(path)
     base.unpersist()
+    facts.unpersist()
     return spark.read.schema(out.schema).parquet(path)
 
 

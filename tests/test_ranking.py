@@ -101,3 +101,38 @@ def test_property_percentile_and_rank(spark, rows, p):
     w = {r.id: r.pr for r in df.select("id", percent_rank_window(["k"], order).alias("pr")).collect()}
     d = {r.id: r.pr for r in percent_rank_distributed(df, ["k"], order, "pr").select("id", "pr").collect()}
     assert d == pytest.approx(w)
+
+
+def test_percentiles_from_buckets_equal_those_of_all_rows(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marketlens.operators.ranking import percentile_buckets, percentile_cont_in_buckets, value_bucket
+    rng = random.Random(5)
+    rows = [("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 6)) for _ in range(400)]
+    rows += [("one", 7.5)] + [("ties", float(rng.randint(1, 3))) for _ in range(90)] + [("two", -1.0), ("two", 1e300), ("none", None)]
+    rows += [("narrow", 1000 + rng.random()) for _ in range(200)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    fr = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p75": 0.75, "p100": 1.0}
+    lines = df.where("v IS NOT NULL").withColumn("_b", value_bucket("v"))
+    found = percentile_buckets(lines.groupBy("k", "_b").agg(F.count("*").alias("n")), ["k"], fr)
+    near = lines.join(found.select("k", "_b"), ["k", "_b"], "left_semi")
+    assert near.where("k = 'wide'").count() < 100
+    got = {tuple(r) for r in percentile_cont_in_buckets(near, found, ["k"], "v", fr).collect()}
+    want = percentile_cont_distributed(df, ["k"], "v", fr).collect()
+    assert got == {tuple(r) for r in want} and len(got) == 5
+
+
+def test_market_sorts_few_of_its_prices(spark, monkeypatch):
+    from marketlens.operators import ranking
+    from marketlens.sources import testmart
+    sf, sorted_rows, layout = "/root/testdata/sf0.01", [], ranking.range_layout
+
+    def counted(df, *args, **kw):
+        sorted_rows.append(df.count())
+        return layout(df, *args, **kw)
+    monkeypatch.setattr(ranking, "range_layout", counted)
+    lines = testmart.market_facts(spark, sf).where("is_current").count()
+    assert testmart.market(spark, sf, reuse=False).count() > 0
+    assert sorted_rows and sum(sorted_rows) < lines / 2
