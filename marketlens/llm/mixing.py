@@ -43,16 +43,19 @@ def targets(cells: DataFrame, dimension: str, temperature: float = TEMPERATURE)
 
 def rake(cells: DataFrame, aims: dict[str, DataFrame], total: float, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (a row per source, language and topic, with ``tokens``) with the raked ``weight`` of a
-    token. Each round scales the weights to each dimension's targets in turn; rounds are written
-    tables. Hot values cost nothing extra: totals are partially aggregated and joined back."""
+    token. Each round scales the weights to each dimension's targets in turn; every step is a written
+    table, so its plan is one total and one join, and the driver holds no more than that at a time.
+    Hot values cost nothing extra: totals are partially aggregated and joined back."""
     out = cells.withColumn("weight", F.lit(1.0))
+    for d, aim in aims.items():
+        out = out.join(aim.withColumnRenamed("share", f"_{d}"), d)
+    out = table(out, "cells")
     for _ in range(rounds):
-        for d, aim in aims.items():
-            now = out.groupBy(d).agg(F.sum(F.expr("tokens * weight")).alias("now"))
-            factor = now.join(aim, d).select(d, (F.col("share") * total / F.col("now")).alias("factor"))
-            out = out.join(factor, d).withColumn("weight", F.expr("weight * factor")).drop("factor")
-        out = table(out, "cells")
-    return out
+        for d in aims:
+            factor = (out.groupBy(d).agg(F.sum(F.expr("tokens * weight")).alias("now"), F.max(f"_{d}").alias("share"))
+                      .select(d, (F.col("share") * total / F.col("now")).alias("factor")))
+            out = table(out.join(factor, d).withColumn("weight", F.expr("weight * factor")).drop("factor"), "cells")
+    return out.drop(*(f"_{d}" for d in aims))
 
 
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:

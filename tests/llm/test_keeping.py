@@ -64,3 +64,25 @@ def test_sampling_a_sample(sp):
     assert once.columns == twice.columns == [*docs.columns, "mix_weight"]
     assert 0 < once.count() < 200 and once.agg(F.min("mix_weight")).first()[0] >= 1
     assert {r.doc_id for r in twice.collect()} <= {r.doc_id for r in once.collect()}
+
+
+def test_a_raking_step_is_one_total_and_one_join(sp, monkeypatch):
+    """The driver plans and broadcasts no more at a time, however many dimensions and rounds there are."""
+    rows = [(i, _say(i, 5 + i % 7), ("en", "de", None)[i % 3], f"s{i % 4}", 1) for i in range(40)]
+    cells = mixing.measured(sp.createDataFrame(rows, SCHEMA)).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens")).localCheckpoint()
+    aims = {d: mixing.targets(cells, d).localCheckpoint() for d in mixing.DIMENSIONS}
+    plans = []
+    monkeypatch.setattr(mixing, "table", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.localCheckpoint())
+    got = mixing.rake(cells, aims, 1000.0, 4)
+    assert set(got.columns) == {*cells.columns, "weight"}
+    assert len(plans) > 4 and all(p.count("Join") <= len(aims) and p.count("Aggregate") <= 1 for p in plans)
+    want = {tuple(r[d] for d in mixing.DIMENSIONS): [r.tokens, 1.0] for r in cells.collect()}
+    share = {d: {r[d]: r.share for r in aims[d].collect()} for d in aims}
+    for _ in range(4):
+        for k, d in enumerate(mixing.DIMENSIONS):
+            now = {}
+            for key, (n, w) in want.items():
+                now[key[k]] = now.get(key[k], 0) + n * w
+            for key, x in want.items():
+                x[1] *= share[d][key[k]] * 1000 / now[key[k]]
+    assert {tuple(r[d] for d in mixing.DIMENSIONS): r.weight for r in got.collect()} == pytest.approx({k: w for k, (_, w) in want.items()})
