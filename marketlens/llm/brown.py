@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from marketlens.llm import flat
 from marketlens.llm.chunks import (MIN_BUCKETS, ask, bucket_of, buckets, chunked, joined, opened, pack, release, replied,
                                    rows_of, unpack)
-from marketlens.llm.common import BLOCK_BYTES, table
+from marketlens.llm.common import table
 from marketlens.session import ensure_checkpoint_dir
 
 #: A word with at least this many training tokens takes part in the exchange.
@@ -33,6 +33,8 @@ CLASSES = 48
 STEP_BYTES = 1 << 20
 #: Text bytes of a chunk: the larger it is, the fewer chunks hold the same word.
 CHUNK_BYTES = 1 << 22
+#: Text bytes hashed at a time: hashing holds some 50 bytes for each.
+BLOCK_BYTES = 1 << 18
 #: Words whose contexts a bucket holds open at once.
 BLOCK_WORDS = 1 << 14
 #: The exchange ends when neither half of the words raises the likelihood by this share.
